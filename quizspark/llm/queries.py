@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
 from .common import table
+from .neardup import near_duplicates
 from .packing import pack_best_fit
 from .sharding import external_shuffle
 
@@ -18,18 +20,45 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _remainder(by: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(by))
+
+
+def _predicted(scores: DataFrame, held_out) -> DataFrame:
+    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder(5) == 0
+    model = toxicity.fit(toxicity.learn(docs, labels, "toxic", ~held_out))
+    return _predicted(toxicity.score_toxicity(docs, model), held_out)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = external_shuffle(table(spark, sf_dir, "documents"), shards=16)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     return out.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder(3) == 1
+    model = quality.fit(quality.with_roles(toxicity.learn(docs, labels, "quality", ~held_out)))
+    return _predicted(quality.score_quality(docs, model), held_out)
+
+
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
+    "op5_quality": op5_quality,
+    "op9_neardup": op9_neardup,
     "op10_packing": op10_packing,
 }
 
