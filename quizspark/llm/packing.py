@@ -18,7 +18,9 @@ stays null. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import functools
 import os
+import string
 import zlib
 from collections.abc import Callable, Iterable
 
@@ -36,41 +38,83 @@ _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequ
 
 
 class ChunkIds(dict):
-    """Chunk bytes -> its ids as little-endian 32-bit bytes. Cleared when it has `most` entries, to bound memory."""
+    """Chunk bytes -> its ids as little-endian 32-bit bytes. Cleared when it has `most` entries, to bound memory.
 
-    def __init__(self, tokenizer_json: str, most: int = 300_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    A chunk of Latin-1 letters with ASCII punctuation behind it is two pre-tokens, and case doesn't matter to its letters. New
+    letter runs are encoded many at once: joined by spaces, each ends at the first id that closes a word.
+    """
+
+    def __init__(self, tokenizer_json: str, most: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_str(tokenizer_json).encode_batch_fast
-        self.most = most
+        tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.encode, self.most = tokenizer.encode_batch_fast, most
+        vocab = tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.runs: dict[str, bytes] = {}
 
     def learn(self, chunks: Iterable[bytes]) -> None:
-        new = [c for c in chunks if c not in self]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.encode([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self[c] = np.asarray(e.ids, dtype="<u4").tobytes()
+        other, split, runs = [], [], {}
+        for c in chunks:
+            s = c.decode()
+            run = s.rstrip(string.punctuation).lower()
+            if run.isalpha() and max(run) < "\u0100" and len(run) < 100:
+                split.append((c, run, s[len(run) :]))
+                if run not in self.runs:
+                    runs[run] = None
+                if len(split[-1][2]) and split[-1][2] not in self.runs:
+                    other.append(split[-1][2])
+            else:
+                other.append(s)
+        for names, keep in ((list(runs), self.runs), (list(dict.fromkeys(other)), None)):
+            for i in range(0, len(names), 4096):
+                part = names[i : i + 4096]
+                if keep is None:
+                    for s, e in zip(part, self.encode(part, add_special_tokens=False), strict=True):
+                        ids = np.asarray(e.ids, dtype="<u4").tobytes()
+                        self[s.encode()] = self.runs[s] = ids
+                    continue
+                ids = np.asarray(self.encode([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+                ends, data, at = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist(), ids.tobytes(), 0
+                for run, end in zip(part, ends, strict=True):
+                    keep[run] = data[at:end]
+                    at = end
+        for c, run, rest in split:
+            self[c] = self.runs[run] + self.runs[rest] if rest else self.runs[run]
 
     def ids(self, text: bytes) -> bytes:
-        chunks = text.split()
-        self.learn(set(chunks))
-        out = b"".join(map(self.__getitem__, chunks))
+        return self.all_ids([text])[0]
+
+    def all_ids(self, texts: list[bytes]) -> list[bytes]:
+        cut = [t.split() for t in texts]
+        if new := set().union(*cut) - self.keys():
+            self.learn(new)
+        out = [b"".join(map(self.__getitem__, chunks)) for chunks in cut]
         if len(self) > self.most:
             self.clear()
+        if len(self.runs) > self.most:
+            self.runs.clear()
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def chunk_ids(tokenizer_json: str) -> ChunkIds:
+    """One for each Python worker, which serves many tasks."""
+    return ChunkIds(tokenizer_json)
+
+
 def _tokenise(tokenizer_json, capacity: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("local_rank", pa.int64())])
-        cache, seen, end, step = ChunkIds(tokenizer_json.value), [0] * (capacity + 1), np.array([END_ID], "<u4").tobytes(), 4 * capacity
+        cache, seen, end, step = chunk_ids(tokenizer_json.value), [0] * (capacity + 1), np.array([END_ID], "<u4").tobytes(), 4 * capacity
         part = TaskContext.get().partitionId()
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
-                ids = cache.ids(text or b"") + end
+            for doc, ids in zip(b.column(0).to_pylist(), _by_mb(cache, text_bytes(b.column(1))), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     piece = ids[at : at + step]
                     n = len(piece) // 4
@@ -81,6 +125,18 @@ def _tokenise(tokenizer_json, capacity: int) -> Callable[[Batches], Batches]:
     return run
 
 
+def _by_mb(cache: ChunkIds, texts: list[bytes | None]) -> Iterable[bytes]:
+    """Ids of each text; about a MB of texts at a time, so that new chunks are encoded together."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t or b"")
+        size += len(some[-1])
+        if size >= 1 << 20:
+            yield from cache.all_ids(some)
+            some, size = [], 0
+    yield from cache.all_ids(some)
+
+
 def plan_best_fit(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     """Best-fit decreasing over counts. Entries (length, first rank, first sequence, offset): ranks from the entry's first one
     up to the next entry's take consecutive sequences at that offset. Returns the entries by (length, rank), and the sequences."""
@@ -151,5 +207,5 @@ def pack_best_fit(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id
     histogram = {r[0]: r[1] for r in parts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(plan_best_fit(histogram, capacity)[0])
     offsets = parts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = pieces.join(offsets, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local_rank")).alias("rank"))
+    ranked = pieces.join(offsets.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local_rank")).alias("rank"))
     return ranked.mapInArrow(_place(plan), _PLACED)
