@@ -25,14 +25,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, batch_rows: int = 512) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, which cuts lineage and survives lost executors.
 
-    The folder is removed when the driver's JVM ends.
+    Arrow batches hold at most batch_rows rows meanwhile. The folder is removed when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quizspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

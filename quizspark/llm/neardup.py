@@ -9,8 +9,9 @@ on the full sets (as sorted 64-bit shingle hashes). Components of the links are
 2. Documents with equal sets are one node (the smallest doc_id), which removes groups of exact copies before any pair.
 3. Nodes that share a band are a bucket. Each node gets one edge to the smallest node of its bucket: as many edges as
    members. An edge is confirmed by intersecting both sets.
-4. Exactness within buckets: where a bucket still holds several components, further members become centres, twice as
-   many each round, and meet only the members of other components, until every such pair has been tried or merged.
+4. Exactness: where candidates that hang together (a cluster) still fall into several components, the members of all but its
+   largest component meet the others block by block. Blocks hold bounded numbers of shingles and meet only where their
+   set sizes allow a link; a cell of two blocks counts intersections over its shingles and returns links, never pairs.
 
 With bins = 240, rows = 6 a pair at similarity 0.8 shares no band with probability (1 - 0.8**6)**40 < 6e-6.
 
@@ -20,6 +21,7 @@ share an id are one document. Repeated rows give repeated result rows. An empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -117,6 +119,62 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _open_clusters(members: DataFrame, candidates: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cluster, node, n, root, rest) for the nodes of buckets of over two members that hold several components.
+
+    rest: the node is outside the largest component of its cluster. Two members were compared in full already.
+    """
+    labelled = members.where("members > 2").select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    nodes = labelled.join(mixed, "bucket").groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+    clusters = components(candidates.select("u", "v")).select("node", F.col("root").alias("cluster"))
+    nodes = materialise(nodes.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")))
+    largest = nodes.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots"))
+    nodes = nodes.join(largest.where("roots > 1").select("cluster", F.col("top.root").alias("top")), "cluster")
+    return nodes.select("cluster", "node", "n", "root", (F.col("root") != F.col("top")).alias("rest"))
+
+
+def _cells(nodes: DataFrame, sets: DataFrame, percent: int, most: int = 1 << 17) -> DataFrame:
+    """Links between components of a cluster. A block holds about `most` shingles of sets whose sizes are within the threshold's ratio."""
+    ratio = math.log(100 / percent) or 1.0
+    sized = nodes.withColumn("step", F.floor(F.log("n") / ratio).cast("int"))
+    blocks = sized.groupBy("cluster", "step", "rest").agg(F.ceil(F.greatest(F.sum("n") / most, F.count("*") / 512)).cast("int").alias("blocks"))
+    blocks = materialise(blocks)
+    own = sized.join(blocks, ["cluster", "step", "rest"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
+    own = materialise(own.join(sets, "node"), 64)
+    left = own.where("rest").join(blocks.select("cluster", F.col("step").alias("to_step"), F.col("rest").alias("to_rest"), "blocks"), "cluster").where("abs(step - to_step) <= 1")
+    left = left.select("cluster", F.col("step").alias("a"), F.col("block").alias("i"), F.col("to_rest").alias("side"), F.col("to_step").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", "root", "n", "hashes")
+    own = own.select(*(F.col(c).alias(c) for c in own.columns))  # other columns than the left side's
+    right = own.join(blocks.where("rest").select("cluster", F.col("step").alias("from_step"), "blocks"), "cluster").where("abs(step - from_step) <= 1")
+    right = right.select("cluster", F.col("from_step").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("rest").alias("side"), F.col("step").alias("b"), F.col("block").alias("j"), "node", "root", "n", "hashes")
+    once = "not side or a < b or (a = b and i <= j)"  # blocks of the rest meet once
+    key = ["cluster", "a", "i", "side", "b", "j"]
+    return left.where(once).groupBy(*key).cogroup(right.where(once).groupBy(*key)).applyInArrow(_meet(percent), "u long, v long").distinct()
+
+
+def _meet(percent: int) -> Callable:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            lists = [np.frombuffer(x, np.uint64) for x in right.column("hashes").to_pylist()]
+            hashes, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            order = np.argsort(hashes, kind="stable")
+            hashes, owner = hashes[order], owner[order]
+            node, root, n = (right.column(c).to_numpy() for c in ("node", "root", "n"))
+            for u, r, x in zip(*(left.column(c).to_pylist() for c in ("node", "root", "hashes")), strict=True):
+                x = np.frombuffer(x, np.uint64)
+                lo, hi = np.searchsorted(hashes, x, "left"), np.searchsorted(hashes, x, "right")
+                width = hi - lo
+                at = np.repeat(lo - np.cumsum(width) + width, width) + np.arange(width.sum())
+                both = np.bincount(owner[at], minlength=len(lists))
+                near = (100 * both >= percent * (len(x) + n - both)) & (root != r)
+                _, one = np.unique(root[near], return_index=True)  # one link to a component is enough
+                found += [(u, v) for v in node[near][one].tolist()]
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins: int = 240, rows: int = 6, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns doc_id, n_shingles, component_id (smallest id of the group) and kept for every row of docs."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -139,23 +197,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
         b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("y"))
         return materialise(near.join(b, "v").join(a, "u").select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long"))
 
-    links = confirm(members.where("node <> centre.node").select(F.col("centre.node").alias("u"), F.col("centre.n").alias("un"), F.col("node").alias("v"), F.col("n").alias("vn")))
+    candidates = members.where("node <> centre.node").select(F.col("centre.node").alias("u"), F.col("centre.n").alias("un"), F.col("node").alias("v"), F.col("n").alias("vn"))
+    links = confirm(candidates)
     roots = components(links)
-    open_buckets, first = members.where("members > 2"), 1
-    while True:
-        labelled = open_buckets.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-        mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where(f"lo <> hi and size > {first + 1}")
-        ranked = materialise(labelled.join(mixed.select("bucket"), "bucket").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))))
-        centres = ranked.where(F.col("rank").between(first + 1, 2 * first)).select("bucket", F.col("node").alias("u"), F.col("n").alias("un"), F.col("root").alias("ur"), F.col("rank").alias("urank"))
-        pairs = centres.join(ranked, "bucket").where("root <> ur and rank > urank").select("u", "un", F.col("node").alias("v"), F.col("n").alias("vn"))
-        if ranked.isEmpty():
-            break
-        more = confirm(pairs)
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = components(links)
-        first *= 2
-    keyed = nodes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
+    rest = _open_clusters(members, candidates, roots)
+    more = materialise(_cells(rest, sets, percent))
+    if not more.isEmpty():
+        roots = components(links.union(more))
+    keyed = whole.groupBy("set_key").agg(F.min("doc_id").alias("node")).join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(keyed, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

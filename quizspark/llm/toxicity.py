@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import Batches, batch
 
-MAX_ROWS = 12_000
-MAX_FEATURES = 3_000
+MAX_ROWS = 10_000
+MAX_FEATURES = 1_500
 G_LEAST = 12.0
 COUNTERFACTUAL = 4.0
 
@@ -83,61 +83,83 @@ def counterfactuals(text: str | None) -> Iterable[tuple[str, str]]:
                     yield term, other
 
 
-def _extract(batches: Batches) -> Batches:
-    schema = pa.schema([("label", pa.int32()), ("features", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("swaps", pa.list_(pa.string()))])
+class WordFeatures(dict):
+    """Word -> its features. Cleared when it has `most` entries, to bound memory."""
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = found = features(word)
+        return found
+
+
+def _count(batches: Batches) -> Batches:
+    """(feature, rows of label 1, rows) of a partition, in parts of bounded size."""
+    schema = pa.schema([("feature", pa.int64()), ("pos", pa.int64()), ("df", pa.int64())])
+    known, pos, df = WordFeatures(), Counter(), Counter()
     for b in batches:
-        rows = []
         for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            counts = Counter(x for w in distinct_words(text) for x in features(w))
-            rows.append((label, list(counts), list(counts.values()), sorted({f"{a} {c}" for a, c in counterfactuals(text)})))
-        yield batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 4))
+            found = {x for w in distinct_words(text) for x in known[w]}
+            df.update(found)
+            if label == 1:
+                pos.update(found)
+            if len(df) > 500_000:
+                yield batch(schema, list(df), [pos[x] for x in df], list(df.values()))
+                pos, df = Counter(), Counter()
+    yield batch(schema, list(df), [pos[x] for x in df], list(df.values()))
 
 
-def fit(labelled: DataFrame, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """labelled: label (0 or 1), text; at most MAX_ROWS rows."""
-    rows = labelled.mapInArrow(_extract, "label int, features array<long>, counts array<int>, swaps array<string>").toArrow()
-    return fit_rows(*(rows.column(k) for k in range(4)), counterfactual)
+def _extract(chosen) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        schema = pa.schema([("label", pa.int32()), ("features", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("swaps", pa.list_(pa.string()))])
+        known, wanted = WordFeatures(), chosen.value
+        for b in batches:
+            rows = []
+            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts = Counter(x for w in distinct_words(text) for x in known[w] if x in wanted)
+                rows.append((label, list(counts), list(counts.values()), sorted({f"{a} {c}" for a, c in counterfactuals(text)})))
+            yield batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 4))
+
+    return run
 
 
-def fit_rows(labels, found, counts, swaps, counterfactual: float = COUNTERFACTUAL) -> Model:
-    y = np.asarray(labels.to_pylist(), dtype=np.float64)
-    rate = (y.sum() + 1) / (len(y) + 2)
-    if len(y) == 0 or y.min() == y.max():
+def fit(labelled: DataFrame, counterfactual: float = COUNTERFACTUAL) -> Model:
+    """labelled: label (0 or 1), text; at most MAX_ROWS rows. The driver gets MAX_FEATURES features and the rows' share of these."""
+    n, n1 = labelled.agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if n1 in (0, n):
+        rate = (n1 + 1) / (n + 2)
         return Model(math.log(rate / (1 - rate)))
-    sizes = np.array([len(x) for x in found], dtype=np.int64)
-    flat = found.combine_chunks().values.to_numpy() if hasattr(found, "combine_chunks") else found.values.to_numpy()
-    times = counts.combine_chunks().values.to_numpy() if hasattr(counts, "combine_chunks") else counts.values.to_numpy()
-    row = np.repeat(np.arange(len(y)), sizes)
-    names, ids = np.unique(flat, return_inverse=True)
-    pos = np.bincount(ids, weights=y[row], minlength=len(names))
-    df = np.bincount(ids, minlength=len(names))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p, q, n1, n0 = pos, df - pos, y.sum(), len(y) - y.sum()
-        term = lambda o, e: np.where(o > 0, o * np.log(o / e), 0.0)
-        g = 2 * (term(p, df * n1 / len(y)) + term(q, df * n0 / len(y)) + term(n1 - p, (len(y) - df) * n1 / len(y)) + term(n0 - q, (len(y) - df) * n0 / len(y)))
-    chosen = np.flatnonzero((g >= G_LEAST) & (df >= 5))
-    chosen = chosen[np.argsort(-g[chosen], kind="stable")][:MAX_FEATURES]
-    pairs = Counter(s for swap in swaps.to_pylist() for s in swap)
-    terms = {x for pair in pairs for w in pair.split() for x in features(w)}
-    chosen = np.union1d(chosen, np.flatnonzero(np.isin(names, np.array(sorted(terms), dtype=np.int64)))) if terms else chosen
-    column = np.full(len(names), -1)
-    column[chosen] = np.arange(len(chosen))
-    use = column[ids] >= 0
-    x = np.zeros((len(y), len(chosen)), dtype=np.float32)
-    x[row[use], column[ids[use]]] = np.minimum(times[use], 4)
-    at = {int(names[c]): k for k, c in enumerate(chosen)}
-    change = np.zeros((len(pairs), len(chosen)), dtype=np.float32)
+    counted = labelled.mapInArrow(_count, "feature long, pos long, df long").groupBy("feature").agg(F.sum("pos").alias("p"), F.sum("df").alias("df")).where("df >= 5")
+
+    def term(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    p, df = F.col("p"), F.col("df")
+    g = 2 * (term(p, df * n1 / n) + term(df - p, df * (n - n1) / n) + term(n1 - p, (n - df) * n1 / n) + term(n - n1 - df + p, (n - df) * (n - n1) / n))
+    best = counted.select("feature", g.alias("g")).where(F.col("g") >= G_LEAST).orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).collect()
+    of_terms = {x for w in _SWAPS for x in features(w)}  # a fixed list
+    chosen = labelled.sparkSession.sparkContext.broadcast({r[0] for r in best} | of_terms)
+    rows = labelled.mapInArrow(_extract(chosen), "label int, features array<long>, counts array<int>, swaps array<string>").toArrow()
+    return _fit_rows(rows, sorted(chosen.value), counterfactual)
+
+
+def _fit_rows(rows: pa.Table, names: list[int], counterfactual: float) -> Model:
+    y = np.asarray(rows.column("label").to_pylist(), dtype=np.float32)
+    at = {name: k for k, name in enumerate(names)}
+    x = np.zeros((len(y), len(names)), dtype=np.float32)
+    for r, (found, counts) in enumerate(zip(rows.column("features").to_pylist(), rows.column("counts").to_pylist(), strict=True)):
+        x[r, [at[f] for f in found]] = np.minimum(counts, 4)
+    pairs = Counter(s for swap in rows.column("swaps").to_pylist() for s in swap)
+    change = np.zeros((len(pairs), len(names)), dtype=np.float32)
     for k, pair in enumerate(pairs):
         for w, sign in zip(pair.split(), (-1, 1), strict=True):
             for f in features(w):
-                if f in at:
-                    change[k, at[f]] += sign
-    weight = np.array([pairs[p] for p in pairs], dtype=np.float32)
-    w, b = _descend(x, y.astype(np.float32), change, weight, counterfactual)
-    return Model(float(b), {int(names[c]): float(v) for c, v in zip(chosen, w, strict=True) if v})
+                change[k, at[f]] += sign
+    w, b = _descend(x, y, change, np.array(list(pairs.values()), dtype=np.float32), counterfactual)
+    return Model(float(b), {name: float(v) for name, v in zip(names, w, strict=True) if v})
 
 
-def _descend(x, y, change, times, counterfactual: float, steps: int = 400) -> tuple[np.ndarray, float]:
+def _descend(x, y, change, times, counterfactual: float, steps: int = 250) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on the mean log loss + L2 + mean squared score change over the counterfactual pairs."""
     n, k = x.shape
     l2, v = 2e-4, np.random.default_rng(1).random(k + 1).astype(np.float32)
@@ -145,18 +167,18 @@ def _descend(x, y, change, times, counterfactual: float, steps: int = 400) -> tu
 
     def curve(u):
         z = x @ u[:k] + u[k]
-        return np.append(x.T @ z / (4 * n) + l2 * u[:k] + 2 * change.T @ (share * (change @ u[:k])), z.sum() / (4 * n))
+        return np.append(z @ x / (4 * n) + l2 * u[:k] + 2 * change.T @ (share * (change @ u[:k])), z.sum() / (4 * n))
 
     for _ in range(30):  # the largest curvature, by power iteration
         v = curve(v)
-        v /= np.linalg.norm(v)
-    rate = 1 / (1.1 * float(v @ curve(v)))
-    w = m = np.zeros(k + 1, dtype=np.float64)
+        v = (v / np.linalg.norm(v)).astype(np.float32)
+    rate = np.float32(1 / (1.1 * float(v @ curve(v))))
+    w = m = np.zeros(k + 1, dtype=np.float32)
     for t in range(steps):
-        ahead = m + t / (t + 3) * (m - w)
+        ahead = m + np.float32(t / (t + 3)) * (m - w)
         w = m
         e = 1 / (1 + np.exp(-np.clip(x @ ahead[:k] + ahead[k], -30, 30))) - y
-        slope = np.append(x.T @ e / n + l2 * ahead[:k] + 2 * change.T @ (share * (change @ ahead[:k])), e.mean())
+        slope = np.append(e @ x / n + l2 * ahead[:k] + 2 * change.T @ (share * (change @ ahead[:k])), e.mean(dtype=np.float32)).astype(np.float32)
         m = ahead - rate * slope
     return m[:k], m[k]
 
