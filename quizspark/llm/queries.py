@@ -12,6 +12,7 @@ from .common import table
 from .neardup import near_duplicates
 from .packing import pack_best_fit
 from .sharding import external_shuffle
+from .topk import top_k_inner_products
 
 
 def tokenizer_path() -> str:
@@ -40,6 +41,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder(3) == 1
     model = quality.fit(quality.with_roles(toxicity.learn(docs, labels, "quality", ~held_out)))
@@ -57,6 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
+    "op4_topk": op4_topk,
     "op5_quality": op5_quality,
     "op9_neardup": op9_neardup,
     "op10_packing": op10_packing,

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, batch
+from .common import Batches, batch, materialise
 
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 4096
@@ -116,7 +116,7 @@ def _cell(k: int) -> Callable:
                     if len(s) > 4 * k:  # ties at the k-th score all stay until they are sorted by id
                         near = s >= np.partition(s, len(s) - k)[len(s) - k]
                         s, i = s[near], i[near]
-                    top = np.lexsort((i, -s))[:k] if len(s) < 2**31 else np.arange(0)
+                    top = np.lexsort((i, -s))[:k]
                     best[r, : len(top)], who[r, : len(top)] = s[top], i[top]
                     held[r, : len(top)] = True
             found.append((np.repeat(qid, held.sum(axis=1)), who[held], best[held]))
@@ -130,14 +130,11 @@ def top_k_inner_products(vectors: DataFrame, queries, k: int = 5, scale: float =
     """queries: condition on the rows of vectors. Components become floor(scale * x). Returns query_id, rank, vec_id, score."""
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     valid = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & finite)
-    scaled = F.transform(vector_col, lambda x: F.rint(F.floor(F.lit(scale) * x.cast("double")).cast("double"))) if False else F.col(vector_col).cast("array<double>")
-    valid = valid.withColumn("__v", scaled)
+    valid = valid.withColumn("__v", F.col(vector_col).cast("array<double>"))
     wanted = valid.where(queries).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min("__v").alias("v"))
     kind = "block long, dim int, ids binary, vectors binary"
     qblocks = wanted.mapInArrow(_scaled(scale, QUERY_BLOCK), kind)
     cblocks = valid.select(F.col(id_col).cast("long"), "__v").mapInArrow(_scaled(scale, CANDIDATE_BLOCK), kind)
-    from .common import materialise
-
     qblocks, cblocks = materialise(qblocks), materialise(cblocks)
     nq = qblocks.count()
     groups = max(1, -(-cblocks.count() // GROUP_BLOCKS))
