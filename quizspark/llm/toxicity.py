@@ -155,32 +155,30 @@ def _fit_rows(rows: pa.Table, names: list[int], counterfactual: float) -> Model:
         for w, sign in zip(pair.split(), (-1, 1), strict=True):
             for f in features(w):
                 change[k, at[f]] += sign
-    w, b = _descend(x, y, change, np.array(list(pairs.values()), dtype=np.float32), counterfactual)
+    w, b = _newton(x, y, change, np.array(list(pairs.values()), dtype=np.float32), counterfactual)
     return Model(float(b), {name: float(v) for name, v in zip(names, w, strict=True) if v})
 
 
-def _descend(x, y, change, times, counterfactual: float, steps: int = 250) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent on the mean log loss + L2 + mean squared score change over the counterfactual pairs."""
+def _newton(x, y, change, times, counterfactual: float, l2: float = 1e-4, steps: int = 12) -> tuple[np.ndarray, float]:
+    """Newton's method on the mean log loss + L2 + mean squared score change over the counterfactual pairs."""
     n, k = x.shape
-    l2, v = 2e-4, np.random.default_rng(1).random(k + 1).astype(np.float32)
-    share = counterfactual * times / max(1.0, times.sum())
-
-    def curve(u):
-        z = x @ u[:k] + u[k]
-        return np.append(z @ x / (4 * n) + l2 * u[:k] + 2 * change.T @ (share * (change @ u[:k])), z.sum() / (4 * n))
-
-    for _ in range(30):  # the largest curvature, by power iteration
-        v = curve(v)
-        v = (v / np.linalg.norm(v)).astype(np.float32)
-    rate = np.float32(1 / (1.1 * float(v @ curve(v))))
-    w = m = np.zeros(k + 1, dtype=np.float32)
-    for t in range(steps):
-        ahead = m + np.float32(t / (t + 3)) * (m - w)
-        w = m
-        e = 1 / (1 + np.exp(-np.clip(x @ ahead[:k] + ahead[k], -30, 30))) - y
-        slope = np.append(e @ x / n + l2 * ahead[:k] + 2 * change.T @ (share * (change @ ahead[:k])), e.mean(dtype=np.float32)).astype(np.float32)
-        m = ahead - rate * slope
-    return m[:k], m[k]
+    x = np.hstack([x, np.ones((n, 1), np.float32)])
+    share = counterfactual * times / max(1.0, float(times.sum()))
+    still = np.zeros((k + 1, k + 1))
+    still[:k, :k] = 2 * (change.T * share) @ change
+    still[np.arange(k), np.arange(k)] += 2 * l2
+    w = np.zeros(k + 1)
+    w[k] = math.log((y.sum() + 1) / (n - y.sum() + 1))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
+        slope = (p - y) @ x / n + still @ w
+        curve = (x.T * (p * (1 - p) / n)) @ x + still
+        curve[k, k] += 1e-9
+        step = np.linalg.solve(curve, slope)
+        w -= step / max(1.0, np.abs(step).max() / 4)
+        if np.abs(step).max() < 1e-3:
+            break
+    return w[:k], w[k]
 
 
 def _score(model: Model) -> Callable[[Batches], Batches]:
