@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import quality, secrets, toxicity
+from . import spans as S
 from .common import table
 from .neardup import near_duplicates
 from .packing import pack_best_fit
@@ -51,6 +52,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality.score_quality(docs, model), held_out)
 
 
+def _digest(scanned: DataFrame, kinds: tuple[str, ...], based: int) -> DataFrame:
+    """Counts and hash of the base spans (kinds before `based`), and all spans."""
+    counts = [S.count(F.col("base"), k).alias(f"n_{kinds[k]}") for k in range(based)]
+    base = F.sha2(S.render(F.col("base"), kinds).cast("binary"), 256)
+    return scanned.select("doc_id", *counts, base.alias("base_sha256"), S.render(F.concat("base", "added"), kinds).alias("spans"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(secrets.scan_secrets(table(spark, sf_dir, "documents")), secrets.KINDS, 3)
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -64,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op4_topk": op4_topk,
     "op5_quality": op5_quality,
+    "op7_secrets": op7_secrets,
     "op9_neardup": op9_neardup,
     "op10_packing": op10_packing,
 }
