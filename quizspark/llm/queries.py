@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import quality, secrets, toxicity
 from . import spans as S
 from .common import table
+from .decontam import find_contained
 from .neardup import near_duplicates
 from .packing import pack_best_fit
 from .sharding import external_shuffle
@@ -52,6 +53,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality.score_quality(docs, model), held_out)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _digest(scanned: DataFrame, kinds: tuple[str, ...], based: int) -> DataFrame:
     """Counts and hash of the base spans (kinds before `based`), and all spans."""
     counts = [S.count(F.col("base"), k).alias(f"n_{kinds[k]}") for k in range(based)]
@@ -76,9 +81,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op4_topk": op4_topk,
     "op5_quality": op5_quality,
+    "op6_decontamination": op6_decontamination,
     "op7_secrets": op7_secrets,
     "op9_neardup": op9_neardup,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+OP6_SQL = r"""
+WITH items AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), 5) AS width FROM items WHERE len(w) > 0),
+item_grams AS (SELECT DISTINCT item_id, width, array_to_string(w[i:i + width - 1], ' ') AS gram
+               FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS i FROM sized)),
+totals AS (SELECT item_id, width, count(*) AS n_item FROM item_grams GROUP BY ALL),
+docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+doc_grams AS (SELECT DISTINCT doc_id, width, array_to_string(w[i:i + width - 1], ' ') AS gram
+              FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM docs, (SELECT DISTINCT width FROM sized)))
+SELECT doc_id, item_id, count(*) AS n_shared, n_item
+FROM doc_grams JOIN item_grams USING (width, gram) JOIN totals USING (item_id, width)
+GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
+"""
+
+ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL}
