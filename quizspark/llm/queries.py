@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets, toxicity
+from . import pii, quality, secrets, toxicity
 from . import spans as S
 from .common import table
 from .decontam import find_contained
@@ -68,6 +68,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(secrets.scan_secrets(table(spark, sf_dir, "documents")), secrets.KINDS, 3)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(pii.scan_pii(table(spark, sf_dir, "documents")), pii.KINDS, 4)
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
     "op7_secrets": op7_secrets,
+    "op8_pii": op8_pii,
     "op9_neardup": op9_neardup,
     "op10_packing": op10_packing,
 }
