@@ -181,19 +181,30 @@ def _newton(x, y, change, times, counterfactual: float, l2: float = 1e-4, steps:
     return w[:k], w[k]
 
 
+class WordWeights(dict):
+    """Word -> its weight. Cleared when it has `most` entries, to bound memory."""
+
+    def __init__(self, model: Model, most: int = 400_000):
+        super().__init__()
+        self.model, self.most = model, most
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = value = self.model.word(word)
+        return value
+
+    def score(self, text: str | None) -> float:
+        total = self.model.bias + math.fsum(map(self.__getitem__, distinct_words(text)))
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, total))))
+
+
 def _score(model: Model) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
-        class Known(dict):
-            def __missing__(self, word: str) -> float:
-                if len(self) >= 400_000:
-                    self.clear()
-                self[word] = value = model.word(word)
-                return value
-
-        known = Known()
+        known = WordWeights(model)
         for b in batches:
-            scores = [1 / (1 + math.exp(-max(-40.0, min(40.0, model.bias + math.fsum(map(known.__getitem__, distinct_words(t))))))) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "score"])
+            scores = [known.score(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=[b.schema.names[0], "score"])
 
     return run
 
@@ -203,6 +214,20 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(_score(model), f"{id_col} {dict(docs.dtypes)[id_col]}, score double")
 
 
+def _keep(model: Model, at: int, threshold: float) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        known = WordWeights(model)
+        for b in batches:
+            yield b.filter(pa.array([known.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """docs whose text scores below the threshold, in the same pass; all columns stay. The text is a string column."""
+    return docs.mapInArrow(_keep(model, docs.columns.index(text_col), threshold), docs.schema)
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str, allowed, max_rows: int = MAX_ROWS) -> DataFrame:
     """(label, text) of at most max_rows labelled rows for which `allowed` holds, by hash order of the id."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed).select("doc_id", F.col(label).cast("int").alias("label"))
