@@ -11,6 +11,7 @@ from . import pii, quality, secrets, toxicity
 from . import spans as S
 from .common import table
 from .decontam import find_contained
+from .lmscore import score_documents
 from .neardup import near_duplicates
 from .packing import pack_best_fit
 from .sharding import external_shuffle
@@ -43,6 +44,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = score_documents(table(spark, sf_dir, "documents"), order=3)
+    return scores.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -83,6 +89,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
+    "op3_lmscore": op3_lmscore,
     "op4_topk": op4_topk,
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
@@ -106,4 +113,27 @@ FROM doc_grams JOIN item_grams USING (width, gram) JOIN totals USING (item_id, w
 GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
 """
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6_SQL}
+OP3_SQL = r"""
+WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT doc_id, i, w[i] AS g1, CASE WHEN i > 1 THEN array_to_string(w[i - 1:i], ' ') END AS g2, CASE WHEN i > 2 THEN array_to_string(w[i - 2:i], ' ') END AS g3 FROM places),
+own1 AS (SELECT doc_id, g1 AS g, count(*) AS n FROM grams GROUP BY ALL), own2 AS (SELECT doc_id, g2 AS g, count(*) AS n FROM grams WHERE i > 1 GROUP BY ALL),
+own3 AS (SELECT doc_id, g3 AS g, count(*) AS n FROM grams WHERE i > 2 GROUP BY ALL),
+other1 AS (SELECT doc_id, g, sum(n) OVER (PARTITION BY g) - n AS c FROM own1), other2 AS (SELECT doc_id, g, sum(n) OVER (PARTITION BY g) - n AS c FROM own2),
+other3 AS (SELECT doc_id, g, sum(n) OVER (PARTITION BY g) - n AS c FROM own3),
+sizes AS (SELECT doc_id, len(w) AS n_words, sum(len(w)) OVER () - len(w) AS rest FROM words),
+counted AS (SELECT x.doc_id, x.i, a.c AS c1, b.c AS c2, t.c AS c3, p.c AS before1, q.c AS before2
+            FROM grams x JOIN other1 a ON a.doc_id = x.doc_id AND a.g = x.g1 LEFT JOIN other2 b ON b.doc_id = x.doc_id AND b.g = x.g2
+            LEFT JOIN other3 t ON t.doc_id = x.doc_id AND t.g = x.g3 LEFT JOIN grams y ON y.doc_id = x.doc_id AND y.i = x.i - 1
+            LEFT JOIN other1 p ON p.doc_id = y.doc_id AND p.g = y.g1 LEFT JOIN other2 q ON q.doc_id = y.doc_id AND q.g = y.g2),
+scored AS (SELECT c.doc_id, CASE WHEN c3 > 0 THEN ln(c3 / before2) WHEN c2 > 0 THEN ln(c2 / before1) + ln(0.4) * CASE WHEN i > 2 THEN 1 ELSE 0 END
+           ELSE ln(CASE WHEN c1 > 0 THEN c1 ELSE 0.5 END / greatest(rest, 1)) + ln(0.4) * least(i - 1, 2) END AS s
+           FROM counted c JOIN sizes USING (doc_id))
+SELECT doc_id, any_value(n_words) AS n_words, round(coalesce(sum(s), 0), 3) AS log_score FROM sizes LEFT JOIN scored USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_lmscore": OP3_SQL,
+    "op6_decontamination": OP6_SQL,
+}
