@@ -105,38 +105,54 @@ def _answer(blocks: pa.Table) -> pa.Table:
     return pa.table([blocks.column("part"), blocks.column("n"), blocks.column("range"), blocks.column("size"), pa.array([squeeze(t) for t in cut], pa.binary())], schema=_ANSWERED)
 
 
+def counts_of_others(found: list[np.ndarray], totals: np.ndarray) -> np.ndarray:
+    """For each n-gram of a part's documents, in order: its corpus count (totals: of the distinct ones, ascending) less its document's."""
+    sizes = [len(g) for g in found]
+    flat, doc = np.concatenate(found), np.repeat(np.arange(len(found), dtype=np.int32), sizes)
+    order = np.argsort(flat, kind="stable")  # equal n-grams stay in document order, so those of one document are a run
+    flat, doc = flat[order], doc[order]
+    other = np.ones(len(flat), dtype=bool)
+    other[1:] = flat[1:] != flat[:-1]
+    gram = np.cumsum(other) - 1
+    other[1:] |= doc[1:] != doc[:-1]
+    own = np.diff(np.append(np.flatnonzero(other), len(flat)))[np.cumsum(other) - 1]
+    out = np.empty(len(flat), dtype=np.int64)
+    out[order] = totals[gram].astype(np.int64) - own
+    return out
+
+
 def _sum(order: int) -> Callable:
     def run(part: pa.Table, answers: pa.Table) -> pa.Table:
         ids, docs = _of_part(part, order)
-        tables = []
+        others = []
         for n in range(order):
             mine = answers.filter(pa.compute.equal(answers.column("n"), n)).sort_by("range")
             totals = [unsqueeze(t, s) for t, s in zip(mine.column("totals").to_pylist(), mine.column("size").to_pylist(), strict=True)]
-            tables.append((_distinct(docs, n)[0] if docs else np.zeros(0, np.uint64), np.concatenate(totals) if totals else np.zeros(0, np.uint64)))
-        rows = [(i, *score(d, tables)) for i, d in zip(ids, docs, strict=True)]
+            found = [d[n] for d in docs]
+            counts = counts_of_others(found, np.concatenate(totals)) if totals else np.zeros(0, np.int64)
+            others.append(np.split(counts, np.cumsum([len(g) for g in found])[:-1]) if found else [])
+        rows = [(i, *score(list(c))) for i, c in zip(ids, zip(*others, strict=True), strict=True)]
         return pa.table(dict(zip(("doc_id", "n_words", "n_single", "log_ratio"), zip(*rows, strict=True) if rows else [[]] * 4, strict=True)), schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_single", pa.int64()), ("log_ratio", pa.float64())]))
 
     return run
 
 
-def score(doc: list[np.ndarray], tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, int, float]:
-    """(words, words scored without history, sum of ln S without the 1 / N of these)."""
-    size = len(doc[0])
+def score(others: list[np.ndarray]) -> tuple[int, int, float]:
+    """others: counts in other documents of the n-grams that start at each word, n = 1, 2, ...
+
+    Returns (words, words scored without history, sum of ln S without the 1 / N of these).
+    """
+    size, order = len(others[0]), len(others)
     if not size:
         return 0, 0, 0.0
-    others = []
-    for g, (values, totals) in zip(doc, tables, strict=True):
-        _, at, own = np.unique(g, return_inverse=True, return_counts=True)
-        others.append(totals[np.searchsorted(values, g)].astype(np.int64) - own[at])
-    out, longest = np.zeros(size), np.minimum(np.arange(size), len(doc) - 1)
+    out, longest = np.zeros(size), np.minimum(np.arange(size), order - 1)
     done = np.zeros(size, dtype=bool)
-    for n in range(len(doc) - 1, 0, -1):
+    for n in range(order - 1, 0, -1):
         top = others[n]
         if not len(top):
             continue
         use = ~done[n:] & (top > 0)
-        with np.errstate(divide="ignore"):
-            ratio = np.log(top / np.maximum(others[n - 1][: len(top)], 1)) + np.log(ALPHA) * (longest[n:] - n)
+        ratio = np.log(np.maximum(top, 1) / np.maximum(others[n - 1][: len(top)], 1)) + np.log(ALPHA) * (longest[n:] - n)
         out[n:][use] = ratio[use]
         done[n:] |= use
     single = ~done
