@@ -66,14 +66,14 @@ def score(question: Column, answer: Column, answer_score: Column, kind: Column)
     return F.bround(clamp(total + answer_score * 0.10), 4)
 
 
-def word_overlap(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the normalised words; 0 if either has none."""
+def _jaccard(a: Column, b: Column) -> Column:
+    """Of two sets as arrays; 0 if either is empty."""
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))
 
-    def of(s: Column) -> Column:
-        empty = (F.size(s["a"]) == 0) | (F.size(s["b"]) == 0)
-        return F.when(empty, 0.0).otherwise(F.size(F.array_intersect(s["a"], s["b"])) / F.greatest(F.size(F.array_union(s["a"], s["b"])), F.lit(1)))
 
-    return let(F.struct(word_set(a).alias("a"), word_set(b).alias("b")), of)
+def word_overlap(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the normalised words."""
+    return let(F.struct(word_set(a).alias("a"), word_set(b).alias("b")), lambda s: _jaccard(s["a"], s["b"]))
 
 
 def stem(question: Column) -> Column:
@@ -88,11 +88,15 @@ def gives_away(question: Column, answer: Column) -> Column:
 
 def too_similar(options: Column) -> Column:
     """No pair of the four options (an array) differs in most of its words."""
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    out = F.lit(True)
-    for i, j in pairs:
-        out = out & (word_overlap(F.get(options, F.lit(i)), F.get(options, F.lit(j))) >= 0.40)
-    return out
+
+    def of(sets: Column) -> Column:
+        out = F.lit(True)
+        for i in range(4):
+            for j in range(i + 1, 4):
+                out = out & (_jaccard(F.get(sets, F.lit(i)), F.get(sets, F.lit(j))) >= 0.40)
+        return out
+
+    return let(F.transform(options, word_set), of)
 
 
 def is_good(question: Column, answer: Column, options: Column) -> Column:

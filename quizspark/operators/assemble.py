@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import questions as Q
-from ..functions.columns import strings, strip
+from ..functions.columns import let, strings, strip
 
 
 def first_questions(questions: DataFrame) -> DataFrame:
@@ -18,19 +18,22 @@ def first_questions(questions: DataFrame) -> DataFrame:
 
 def build(questions: DataFrame) -> DataFrame:
     """questions (with distractors) as items: options, letter, explanation, labels."""
-    padded = F.col("distractors")
-    for k in (1, 2, 3):
-        padded = F.when(F.size(padded) < k, F.concat(padded, F.array(F.lit(f"None of the above ({k})")))).otherwise(padded)
-    items = questions.withColumn("__all", F.concat(F.array("answer"), F.slice(padded, 1, 3)))
-    items = items.withColumn("__order", Q.shuffled(F.col("question"), F.col("__all")))
-    letter = F.get(strings(Q.LETTERS), (F.array_position("__order", F.col("answer")) - 1).cast("int"))
+    padding = F.array(*(F.lit(f"None of the above ({k})") for k in (1, 2, 3)))
+    padded = let(F.slice("distractors", 1, 3), lambda x: F.concat(x, F.slice(padding, F.size(x) + 1, 3 - F.size(x))))
+    order = Q.shuffled(F.col("question"), F.concat(F.array("answer"), padded))
+
+    def placed(o: Column) -> Column:
+        letter = F.get(strings(Q.LETTERS), (F.array_position(o, F.col("answer")) - 1).cast("int"))
+        return F.struct(F.map_from_arrays(strings(Q.LETTERS), o).alias("options"), letter.alias("letter"))
+
+    items = questions.withColumn("__o", let(order, placed))
     return items.select(
         "doc_id",
         "sent_idx",
         "ans_rank",
         "question",
-        F.map_from_arrays(strings(Q.LETTERS), "__order").alias("options"),
-        letter.alias("answer"),
+        F.col("__o.options").alias("options"),
+        F.col("__o.letter").alias("answer"),
         F.col("answer").alias("answer_text"),
         Q.explanation(F.col("answer"), F.col("sentence")).alias("explanation"),
         Q.question_type(F.col("question")).alias("type"),

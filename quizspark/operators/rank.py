@@ -21,20 +21,30 @@ def terms(s: Column) -> Column:
     return let(words, lambda w: F.concat(w, pairs(w)))
 
 
-def tfidf(sents: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, n_sentences, term, w): unit vectors of 1 + ln(tf) times ln((1 + n) / (1 + df)) + 1."""
-    each = sents.select("doc_id", "sent_idx", "n_sentences", F.explode(terms(F.col("sentence"))).alias("term"))
-    tf = each.groupBy("doc_id", "sent_idx", "n_sentences", "term").agg(F.count("*").alias("tf"))
-    df = F.count("*").over(Window.partitionBy("doc_id", "term"))
-    raw = tf.withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n_sentences")) / (1 + df)) + 1))
+def _weights(sents: DataFrame) -> DataFrame:
+    """A row per term of a sentence, or one without a term: (doc_id, sent_idx, n_sentences, term, w, sentence on one of the rows).
+
+    Rows are dealt by document once; the aggregates and windows that follow all have the document in their keys.
+    """
+    dealt = sents.repartition("doc_id").select("doc_id", "sent_idx", "n_sentences", "sentence", F.posexplode_outer(terms(F.col("sentence"))).alias("place", "term"))
+    first = F.when(F.coalesce("place", F.lit(0)) == 0, F.col("sentence"))
+    tf = dealt.groupBy("doc_id", "sent_idx", "n_sentences", "term").agg(F.count("term").alias("tf"), F.max(first).alias("sentence"))
+    df = F.count("term").over(Window.partitionBy("doc_id", "term"))
+    raw = tf.withColumn("w", F.when(F.col("tf") > 0, (1 + F.log("tf")) * (F.log((1 + F.col("n_sentences")) / (1 + df)) + 1)))
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id", "sent_idx"))))
 
 
+def tfidf(sents: DataFrame) -> DataFrame:
+    """(doc_id, sent_idx, term, w): unit vectors of 1 + ln(tf) times ln((1 + n) / (1 + df)) + 1."""
+    return _weights(sents).where("term is not null").select("doc_id", "sent_idx", "term", "w")
+
+
 def centrality(sents: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, centrality) for sentences with a term, in documents of two or more sentences."""
-    v = tfidf(sents).withColumn("total", F.sum("w").over(Window.partitionBy("doc_id", "term")))
-    mean = F.sum(F.col("w") * F.col("total") - F.col("w") * F.col("w")) / (F.first("n_sentences") - 1)
-    return v.where("n_sentences > 1").groupBy("doc_id", "sent_idx").agg(mean.alias("centrality"))
+    """sents with centrality (0 without terms or other sentences) and n_terms, the number of its distinct terms."""
+    v = _weights(sents).withColumn("total", F.sum("w").over(Window.partitionBy("doc_id", "term")))
+    mean = F.try_divide(F.sum(F.col("w") * F.col("total") - F.col("w") * F.col("w")), F.col("n_sentences") - 1)
+    each = v.groupBy("doc_id", "sent_idx", "n_sentences").agg(F.max("sentence").alias("sentence"), F.coalesce(mean, F.lit(0.0)).alias("centrality"), F.count("term").alias("n_terms"))
+    return each.select("doc_id", "sent_idx", "n_sentences", "sentence", "centrality", "n_terms")
 
 
 def position_bonus(index: Column) -> Column:
@@ -63,9 +73,8 @@ def definition_bonus(s: Column) -> Column:
 
 def scored(sents: DataFrame) -> DataFrame:
     """sents with score: the weighted cues over the document's maximum; 1.0 for an only sentence, 0.5 if no term exists."""
-    s = F.col("sentence")
-    known = sents.join(centrality(sents), ["doc_id", "sent_idx"], "left").withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
-    termless = F.max(F.size(terms(s))).over(Window.partitionBy("doc_id")) == 0
+    s, known = F.col("sentence"), centrality(sents)
+    termless = F.max("n_terms").over(Window.partitionBy("doc_id")) == 0
     total = 0.45 * F.col("centrality") + 0.15 * position_bonus(F.col("sent_idx")) + 0.15 * length_score(s) + 0.10 * info_density(s) + 0.10 * entity_bonus(s) + 0.05 * definition_bonus(s)
     known = known.withColumn("raw", total)
     share = F.try_divide(F.col("raw"), F.max("raw").over(Window.partitionBy("doc_id")))
