@@ -26,22 +26,15 @@ def build(questions: DataFrame) -> DataFrame:
         letter = F.get(strings(Q.LETTERS), (F.array_position(o, F.col("answer")) - 1).cast("int"))
         return F.struct(F.map_from_arrays(strings(Q.LETTERS), o).alias("options"), letter.alias("letter"))
 
-    items = questions.withColumn("__o", let(order, placed))
-    return items.select(
-        "doc_id",
-        "sent_idx",
-        "ans_rank",
-        "question",
-        F.col("__o.options").alias("options"),
-        F.col("__o.letter").alias("answer"),
-        F.col("answer").alias("answer_text"),
-        Q.explanation(F.col("answer"), F.col("sentence")).alias("explanation"),
-        Q.question_type(F.col("question")).alias("type"),
-        Q.difficulty(F.col("question"), F.col("type")).alias("difficulty"),
-        F.col("question_score").alias("score"),
-        F.col("type").alias("answer_type"),
-        F.col("sentence").alias("source_sentence"),
-    )
+    # New columns get names of their own first: inside lambdas, a select's own aliases would hide input columns.
+    labels = {
+        "__o": let(order, placed),
+        "__explanation": Q.explanation(F.col("answer"), F.col("sentence")),
+        "__type": Q.question_type(F.col("question")),
+        "__difficulty": Q.difficulty(F.col("question"), F.col("type")),
+    }
+    items = questions.withColumns(labels).withColumnsRenamed({"answer": "answer_text", "type": "answer_type", "score": "answer_score", "question_score": "score", "sentence": "source_sentence", "__explanation": "explanation", "__type": "type", "__difficulty": "difficulty"})
+    return items.select("doc_id", "sent_idx", "ans_rank", "question", F.col("__o.options").alias("options"), F.col("__o.letter").alias("answer"), "answer_text", "explanation", "type", "difficulty", "score", "answer_type", "source_sentence")
 
 
 def good(items: DataFrame) -> DataFrame:

@@ -280,7 +280,7 @@ def embedding_rank(spark, d):
 
 @query
 def fk_grade(spark, d):
-    return sentences(_documents(spark, d)).select("doc_id", "sent_idx", F.round(Q.reading_grade(F.col("sentence")), 4).alias("grade"))
+    return sentences(_documents(spark, d)).select("doc_id", "sent_idx", F.round(Q.reading_grade(F.col("sentence")), 9).alias("grade"))
 
 
 @query
