@@ -61,13 +61,15 @@ def unsqueeze(data: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _of_part(part: pa.Table, order: int) -> tuple[list, list[list[np.ndarray]]]:
-    known = WordHashes()
-    return part.column("doc_id").to_pylist(), [grams(known.of(words(t)), order) for t in text_bytes(part.column("text"))]
-
-
-def _distinct(docs: list[list[np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([d[n] for d in docs]), return_counts=True)
+def _of_part(part: pa.Table, order: int) -> tuple[list, np.ndarray, list[np.ndarray]]:
+    """Ids, numbers of words, and for n = 1 to order the n-grams of all documents, one after the other."""
+    known, sizes, each = WordHashes(200_000), [], [[] for _ in range(order)]
+    for t in text_bytes(part.column("text")):
+        found = grams(known.of(words(t)), order)
+        sizes.append(len(found[0]))
+        for k, g in enumerate(found):
+            each[k].append(g)
+    return part.column("doc_id").to_pylist(), np.array(sizes, dtype=np.int64), [np.concatenate(each.pop(0)) if sizes else np.zeros(0, np.uint64) for _ in range(order)]
 
 
 def _bounds(values: np.ndarray, ranges: int) -> np.ndarray:
@@ -77,10 +79,10 @@ def _bounds(values: np.ndarray, ranges: int) -> np.ndarray:
 
 def _ask(order: int, ranges: int) -> Callable:
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-        _, docs = _of_part(part, order)
+        _, _, found = _of_part(part, order)
         rows = []
         for n in range(order):
-            values, counts = _distinct(docs, n)
+            values, counts = np.unique(found.pop(0), return_counts=True)
             bounds = _bounds(values, ranges)
             for r in np.flatnonzero(np.diff(bounds)):
                 v, c = values[bounds[r] : bounds[r + 1]], counts[bounds[r] : bounds[r + 1]]
@@ -105,32 +107,32 @@ def _answer(blocks: pa.Table) -> pa.Table:
     return pa.table([blocks.column("part"), blocks.column("n"), blocks.column("range"), blocks.column("size"), pa.array([squeeze(t) for t in cut], pa.binary())], schema=_ANSWERED)
 
 
-def counts_of_others(found: list[np.ndarray], totals: np.ndarray) -> np.ndarray:
+def counts_of_others(flat: np.ndarray, sizes: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """For each n-gram of a part's documents, in order: its corpus count (totals: of the distinct ones, ascending) less its document's."""
-    sizes = [len(g) for g in found]
-    flat, doc = np.concatenate(found), np.repeat(np.arange(len(found), dtype=np.int32), sizes)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     order = np.argsort(flat, kind="stable")  # equal n-grams stay in document order, so those of one document are a run
     flat, doc = flat[order], doc[order]
-    other = np.ones(len(flat), dtype=bool)
-    other[1:] = flat[1:] != flat[:-1]
-    gram = np.cumsum(other) - 1
-    other[1:] |= doc[1:] != doc[:-1]
-    own = np.diff(np.append(np.flatnonzero(other), len(flat)))[np.cumsum(other) - 1]
+    fresh = np.ones(len(flat), dtype=bool)
+    fresh[1:] = flat[1:] != flat[:-1]
+    counts = np.repeat(totals.astype(np.int64), np.diff(np.append(np.flatnonzero(fresh), len(flat))))
+    fresh[1:] |= doc[1:] != doc[:-1]
+    runs = np.diff(np.append(np.flatnonzero(fresh), len(flat)))
+    counts -= np.repeat(runs, runs)
     out = np.empty(len(flat), dtype=np.int64)
-    out[order] = totals[gram].astype(np.int64) - own
+    out[order] = counts
     return out
 
 
 def _sum(order: int) -> Callable:
     def run(part: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, docs = _of_part(part, order)
+        ids, sizes, found = _of_part(part, order)
         others = []
         for n in range(order):
             mine = answers.filter(pa.compute.equal(answers.column("n"), n)).sort_by("range")
             totals = [unsqueeze(t, s) for t, s in zip(mine.column("totals").to_pylist(), mine.column("size").to_pylist(), strict=True)]
-            found = [d[n] for d in docs]
-            counts = counts_of_others(found, np.concatenate(totals)) if totals else np.zeros(0, np.int64)
-            others.append(np.split(counts, np.cumsum([len(g) for g in found])[:-1]) if found else [])
+            own, flat = np.maximum(sizes - n, 0), found.pop(0)
+            counts = counts_of_others(flat, own, np.concatenate(totals)) if totals else np.zeros(0, np.int64)
+            others.append(np.split(counts, np.cumsum(own)[:-1]) if ids else [])
         rows = [(i, *score(list(c))) for i, c in zip(ids, zip(*others, strict=True), strict=True)]
         return pa.table(dict(zip(("doc_id", "n_words", "n_single", "log_ratio"), zip(*rows, strict=True) if rows else [[]] * 4, strict=True)), schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_single", pa.int64()), ("log_ratio", pa.float64())]))
 
