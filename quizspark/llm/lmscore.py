@@ -19,7 +19,7 @@ n-grams meet as 64-bit hashes. Words: A-Z lower-cased, cut at ASCII white space.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +37,28 @@ PART = 16 << 20
 RANGE = 4_000_000
 
 
-def grams(hashes: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of the n-grams that start at each word, for n = 1 to order."""
-    out, last = [], np.zeros(len(hashes), np.uint64)
-    for n in range(1, order + 1):
-        last = last[: max(0, len(hashes) - n + 1)]
-        last = mix((last + hashes[n - 1 : n - 1 + len(last)]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n))
-        out.append(last)
-    return out
+class Words:
+    """The words of a part's documents in one array; n-grams are made from it for one n at a time, to save memory."""
+
+    def __init__(self, part: pa.Table):
+        known, found = WordHashes(200_000), []
+        for t in text_bytes(part.column("text")):
+            found.append(known.of(words(t)))
+        self.ids = part.column("doc_id").to_pylist()
+        self.sizes = np.array([len(f) for f in found], dtype=np.int64)
+        self.hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        self.doc = np.repeat(np.arange(len(found), dtype=np.int32), self.sizes)
+        self.place = (np.arange(len(self.hashes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)).astype(np.int32)
+
+    def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For n = 1 to order: where a document's n-grams end, and their hashes."""
+        last = np.zeros(len(self.hashes), np.uint64)
+        for n in range(1, order + 1):
+            if n > 1:
+                last = np.append(np.zeros(min(1, len(last)), np.uint64), last[:-1])  # of the n - 1 words before
+            last = mix((last + self.hashes) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n))
+            ends = np.flatnonzero(self.place >= n - 1)
+            yield ends, last[ends]
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -61,17 +75,6 @@ def unsqueeze(data: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _of_part(part: pa.Table, order: int) -> tuple[list, np.ndarray, list[np.ndarray]]:
-    """Ids, numbers of words, and for n = 1 to order the n-grams of all documents, one after the other."""
-    known, sizes, each = WordHashes(200_000), [], [[] for _ in range(order)]
-    for t in text_bytes(part.column("text")):
-        found = grams(known.of(words(t)), order)
-        sizes.append(len(found[0]))
-        for k, g in enumerate(found):
-            each[k].append(g)
-    return part.column("doc_id").to_pylist(), np.array(sizes, dtype=np.int64), [np.concatenate(each.pop(0)) if sizes else np.zeros(0, np.uint64) for _ in range(order)]
-
-
 def _bounds(values: np.ndarray, ranges: int) -> np.ndarray:
     edges = np.array([i * 2**64 // ranges for i in range(1, ranges)], dtype=np.uint64)
     return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
@@ -79,10 +82,9 @@ def _bounds(values: np.ndarray, ranges: int) -> np.ndarray:
 
 def _ask(order: int, ranges: int) -> Callable:
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-        _, _, found = _of_part(part, order)
         rows = []
-        for n in range(order):
-            values, counts = np.unique(found.pop(0), return_counts=True)
+        for n, (_, found) in enumerate(Words(part).grams(order)):
+            values, counts = np.unique(found, return_counts=True)
             bounds = _bounds(values, ranges)
             for r in np.flatnonzero(np.diff(bounds)):
                 v, c = values[bounds[r] : bounds[r + 1]], counts[bounds[r] : bounds[r + 1]]
@@ -107,9 +109,8 @@ def _answer(blocks: pa.Table) -> pa.Table:
     return pa.table([blocks.column("part"), blocks.column("n"), blocks.column("range"), blocks.column("size"), pa.array([squeeze(t) for t in cut], pa.binary())], schema=_ANSWERED)
 
 
-def counts_of_others(flat: np.ndarray, sizes: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """For each n-gram of a part's documents, in order: its corpus count (totals: of the distinct ones, ascending) less its document's."""
-    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+def counts_of_others(flat: np.ndarray, doc: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """For each n-gram, of document doc: its corpus count (totals: of the distinct ones, ascending) less its document's."""
     order = np.argsort(flat, kind="stable")  # equal n-grams stay in document order, so those of one document are a run
     flat, doc = flat[order], doc[order]
     fresh = np.ones(len(flat), dtype=bool)
@@ -125,41 +126,35 @@ def counts_of_others(flat: np.ndarray, sizes: np.ndarray, totals: np.ndarray) ->
 
 def _sum(order: int) -> Callable:
     def run(part: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, sizes, found = _of_part(part, order)
-        others = []
-        for n in range(order):
+        w, others = Words(part), []
+        for n, (ends, found) in enumerate(w.grams(order)):
             mine = answers.filter(pa.compute.equal(answers.column("n"), n)).sort_by("range")
             totals = [unsqueeze(t, s) for t, s in zip(mine.column("totals").to_pylist(), mine.column("size").to_pylist(), strict=True)]
-            own, flat = np.maximum(sizes - n, 0), found.pop(0)
-            counts = counts_of_others(flat, own, np.concatenate(totals)) if totals else np.zeros(0, np.int64)
-            others.append(np.split(counts, np.cumsum(own)[:-1]) if ids else [])
-        rows = [(i, *score(list(c))) for i, c in zip(ids, zip(*others, strict=True), strict=True)]
-        return pa.table(dict(zip(("doc_id", "n_words", "n_single", "log_ratio"), zip(*rows, strict=True) if rows else [[]] * 4, strict=True)), schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_single", pa.int64()), ("log_ratio", pa.float64())]))
+            counts = np.zeros(len(w.hashes), dtype=np.int64)
+            if totals:
+                counts[ends] = counts_of_others(found, w.doc[ends], np.concatenate(totals))
+            others.append(counts)
+        out, single = scores(w.place, others)
+        n_single, log_ratio = (np.bincount(w.doc, weights=x, minlength=len(w.ids)) for x in (single, out))
+        return pa.table({"doc_id": pa.array(w.ids, pa.int64()), "n_words": w.sizes, "n_single": n_single.astype(np.int64), "log_ratio": log_ratio})
 
     return run
 
 
-def score(others: list[np.ndarray]) -> tuple[int, int, float]:
-    """others: counts in other documents of the n-grams that start at each word, n = 1, 2, ...
+def scores(place: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """place: of each word in its document; others: counts in other documents of the n-grams that end there, n = 1, 2, ...
 
-    Returns (words, words scored without history, sum of ln S without the 1 / N of these).
+    Returns ln S of each word, without the 1 / N of those scored without history, and whether it is one of these.
     """
-    size, order = len(others[0]), len(others)
-    if not size:
-        return 0, 0, 0.0
-    out, longest = np.zeros(size), np.minimum(np.arange(size), order - 1)
-    done = np.zeros(size, dtype=bool)
-    for n in range(order - 1, 0, -1):
-        top = others[n]
-        if not len(top):
-            continue
-        use = ~done[n:] & (top > 0)
-        ratio = np.log(np.maximum(top, 1) / np.maximum(others[n - 1][: len(top)], 1)) + np.log(ALPHA) * (longest[n:] - n)
-        out[n:][use] = ratio[use]
-        done[n:] |= use
-    single = ~done
-    out[single] = (np.log(np.where(others[0] > 0, others[0], UNSEEN)) + np.log(ALPHA) * longest)[single]
-    return size, int(single.sum()), float(out.sum())
+    out, single = np.zeros(len(place)), np.ones(len(place), dtype=bool)
+    for n in range(len(others) - 1, -1, -1):
+        at = np.flatnonzero(single & (others[n] > 0)) if n else np.flatnonzero(single)
+        shorter = np.log(ALPHA) * (np.minimum(place[at], len(others) - 1) - n)
+        count = others[n][at]
+        out[at] = shorter + (np.log(count / np.maximum(others[n - 1][at - 1], 1)) if n else np.log(np.where(count > 0, count, UNSEEN)))
+        if n:
+            single[at] = False
+    return out, single
 
 
 def score_documents(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
