@@ -18,7 +18,10 @@ def file_kind(path: Column, content: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, content, text, status): text files are decoded (bad bytes replaced and dropped); others wait for a provider."""
+    """(path, kind, content, text, status): text files are decoded without their bad bytes; others wait for a provider.
+
+    Files of no bytes give no row.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     kinds = files.withColumn("kind", file_kind(F.col("path"), F.col("content")))
     text = F.when(F.col("kind") == "text", from_text(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))))
