@@ -34,7 +34,7 @@ from .shingles import WordHashes, mix, words
 ALPHA = 0.4
 UNSEEN = 0.5
 PART = 16 << 20
-RANGE = 4_000_000
+RANGE = 1_000_000
 
 
 class Words:
