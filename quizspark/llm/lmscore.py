@@ -34,7 +34,7 @@ from .shingles import WordHashes, mix, words
 ALPHA = 0.4
 UNSEEN = 0.5
 PART = 16 << 20
-RANGE = 1_000_000
+RANGE = 2_000_000
 
 
 class Words:
@@ -75,20 +75,19 @@ def unsqueeze(data: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _bounds(values: np.ndarray, ranges: int) -> np.ndarray:
-    edges = np.array([i * 2**64 // ranges for i in range(1, ranges)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
+def _edges(ranges: int) -> np.ndarray:
+    return np.array([i * 2**64 // ranges for i in range(ranges)], dtype=np.uint64)
 
 
 def _ask(order: int, ranges: int) -> Callable:
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-        rows = []
+        rows, edges = [], _edges(ranges)
         for n, (_, found) in enumerate(Words(part).grams(order)):
             values, counts = np.unique(found, return_counts=True)
-            bounds = _bounds(values, ranges)
+            bounds = np.append(np.searchsorted(values, edges), len(values))
             for r in np.flatnonzero(np.diff(bounds)):
                 v, c = values[bounds[r] : bounds[r + 1]], counts[bounds[r] : bounds[r + 1]]
-                rows.append((key[0].as_py(), n, int(r), len(v), squeeze(np.diff(v, prepend=np.uint64(0))), squeeze(c.astype(np.uint64))))
+                rows.append((key[0].as_py(), n, int(r), len(v), squeeze(np.diff(v, prepend=edges[r])), squeeze(c.astype(np.uint64))))
         return pa.table(dict(zip(("part", "n", "range", "size", "grams", "counts"), zip(*rows, strict=True) if rows else [[]] * 6, strict=True)), schema=_ASKED)
 
     return run
@@ -99,7 +98,7 @@ _ANSWERED = pa.schema([("part", pa.int64()), ("n", pa.int32()), ("range", pa.int
 
 
 def _answer(blocks: pa.Table) -> pa.Table:
-    """The blocks of one range and one n."""
+    """The blocks of one range and one n. Their n-grams count from the range's edge."""
     sizes = blocks.column("size").to_pylist()
     values = np.concatenate([np.cumsum(unsqueeze(g, n), dtype=np.uint64) for g, n in zip(blocks.column("grams").to_pylist(), sizes, strict=True)])
     counts = np.concatenate([unsqueeze(c, n) for c, n in zip(blocks.column("counts").to_pylist(), sizes, strict=True)])
