@@ -37,24 +37,27 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-class ChunkIds(dict):
-    """Chunk bytes -> its ids as little-endian 32-bit bytes. Cleared when it has `most` entries, to bound memory.
+class ChunkIds:
+    """Chunk bytes -> its ids as little-endian 32-bit bytes. With `most` entries it becomes the old generation and starts anew;
+    what is met again moves over, so frequent chunks stay and memory is bounded.
 
     A chunk of Latin-1 letters with ASCII punctuation behind it is two pre-tokens, and case doesn't matter to its letters. New
     letter runs are encoded many at once: joined by spaces, each ends at the first id that closes a word.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 600_000):
+    def __init__(self, tokenizer_json: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         tokenizer = Tokenizer.from_str(tokenizer_json)
         self.encode, self.most = tokenizer.encode_batch_fast, most
         vocab = tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
 
     def learn(self, chunks: Iterable[bytes]) -> None:
         other, split, runs = [], [], {}
@@ -64,9 +67,12 @@ class ChunkIds(dict):
             if run.isalpha() and max(run) < "\u0100" and len(run) < 100:
                 split.append((c, run, s[len(run) :]))
                 if run not in self.runs:
-                    runs[run] = None
-                if len(split[-1][2]) and split[-1][2] not in self.runs:
-                    other.append(split[-1][2])
+                    if run in self.old_runs:
+                        self.runs[run] = self.old_runs[run]
+                    else:
+                        runs[run] = None
+                if (rest := split[-1][2]) and rest not in self.runs:
+                    other.append(rest)
             else:
                 other.append(s)
         for names, keep in ((list(runs), self.runs), (list(dict.fromkeys(other)), None)):
@@ -75,7 +81,7 @@ class ChunkIds(dict):
                 if keep is None:
                     for s, e in zip(part, self.encode(part, add_special_tokens=False), strict=True):
                         ids = np.asarray(e.ids, dtype="<u4").tobytes()
-                        self[s.encode()] = self.runs[s] = ids
+                        self.known[s.encode()] = self.runs[s] = ids
                     continue
                 ids = np.asarray(self.encode([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
                 ends, data, at = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist(), ids.tobytes(), 0
@@ -83,20 +89,23 @@ class ChunkIds(dict):
                     keep[run] = data[at:end]
                     at = end
         for c, run, rest in split:
-            self[c] = self.runs[run] + self.runs[rest] if rest else self.runs[run]
+            self.known[c] = self.runs[run] + self.runs[rest] if rest else self.runs[run]
 
     def ids(self, text: bytes) -> bytes:
         return self.all_ids([text])[0]
 
     def all_ids(self, texts: list[bytes]) -> list[bytes]:
         cut = [t.split() for t in texts]
-        if new := set().union(*cut) - self.keys():
+        new = set().union(*cut).difference(self.known)  # of an exact dict: by looking up, not by walking through it
+        met = [c for c in new if c in self.old]
+        self.known.update((c, self.old[c]) for c in met)
+        if new := new.difference(met):
             self.learn(new)
-        out = [b"".join(map(self.__getitem__, chunks)) for chunks in cut]
-        if len(self) > self.most:
-            self.clear()
+        out = [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut]
+        if len(self.known) > self.most:
+            self.old, self.known = self.known, {}
         if len(self.runs) > self.most:
-            self.runs.clear()
+            self.old_runs, self.runs = self.runs, {}
         return out
 
 
