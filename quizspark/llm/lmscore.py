@@ -33,7 +33,7 @@ from .shingles import WordHashes, mix, words
 
 ALPHA = 0.4
 UNSEEN = 0.5
-PART = 16 << 20
+PART = 14 << 20
 RANGE = 2_000_000
 
 
@@ -57,7 +57,7 @@ class Words:
             if n > 1:
                 last = np.append(np.zeros(min(1, len(last)), np.uint64), last[:-1])  # of the n - 1 words before
             last = mix((last + self.hashes) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n))
-            ends = np.flatnonzero(self.place >= n - 1)
+            ends = np.flatnonzero(self.place >= n - 1).astype(np.int32)
             yield ends, last[ends]
 
 
@@ -111,14 +111,18 @@ def _answer(blocks: pa.Table) -> pa.Table:
 def counts_of_others(flat: np.ndarray, doc: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """For each n-gram, of document doc: its corpus count (totals: of the distinct ones, ascending) less its document's."""
     order = np.argsort(flat, kind="stable")  # equal n-grams stay in document order, so those of one document are a run
-    flat, doc = flat[order], doc[order]
+    flat = flat[order]
     fresh = np.ones(len(flat), dtype=bool)
-    fresh[1:] = flat[1:] != flat[:-1]
-    counts = np.repeat(totals.astype(np.int64), np.diff(np.append(np.flatnonzero(fresh), len(flat))))
+    np.not_equal(flat[1:], flat[:-1], out=fresh[1:])
+    del flat
+    sizes = np.diff(np.append(np.flatnonzero(fresh), len(fresh)))
+    doc = doc[order]
     fresh[1:] |= doc[1:] != doc[:-1]
-    runs = np.diff(np.append(np.flatnonzero(fresh), len(flat)))
+    del doc
+    runs = np.diff(np.append(np.flatnonzero(fresh), len(fresh)))
+    counts = np.repeat(totals.astype(np.int64), sizes)
     counts -= np.repeat(runs, runs)
-    out = np.empty(len(flat), dtype=np.int64)
+    out = np.empty(len(order), dtype=np.int64)
     out[order] = counts
     return out
 
