@@ -132,8 +132,8 @@ LENGTH = f"CAST(CASE WHEN len({words('sentence')}) BETWEEN 8 AND 40 THEN 1.0 WHE
 DENSITY = rf"(len(list_filter({words('lower(sentence)')}, lambda x: regexp_matches(x, '^\p{{L}}+$') AND NOT list_contains({names(L.RANK_STOP_WORDS)}, x))) / greatest(len({words('sentence')}), 1))"
 DEFINITION = f"(CASE WHEN regexp_matches(lower(sentence), '(^|{NOT_WORD})({L.DEFINITION_CUES})({NOT_WORD}|$)') THEN CAST(0.15 AS DOUBLE) ELSE 0.0 END)"
 
-TERMS = rf"""{SENTENCES}, kept AS (SELECT *, list_filter(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({names(L.RANK_STOP_WORDS)}, x)) AS k FROM sents),
-termed AS (SELECT doc_id, sent_idx, n_sentences, unnest(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]))) AS term FROM kept),
+TERMS = rf"""{SENTENCES}, with_terms AS (SELECT *, list_filter(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({names(L.RANK_STOP_WORDS)}, x)) AS k FROM sents),
+termed AS (SELECT doc_id, sent_idx, n_sentences, unnest(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]))) AS term FROM with_terms),
 tf AS (SELECT doc_id, sent_idx, n_sentences, term, count(*) AS tf FROM termed GROUP BY ALL),
 raw AS (SELECT *, (1 + ln(tf)) * (ln((1 + n_sentences) / (1 + count(*) OVER (PARTITION BY doc_id, term))) + 1) AS r FROM tf),
 unit AS (SELECT *, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id, sent_idx)) AS w FROM raw)"""
@@ -244,7 +244,7 @@ def valid(e: str) -> str:
 _KINDS = ("such_as", "including", "parentheses", "known_as", "dash")
 
 
-def accepted(subjects: bool) -> str:
+def accepted(subjects: bool, given: str = FACTS) -> str:
     """CTEs up to kept(doc_id, sent_idx, answer, type, source, score, place): accepted answers without overlaps."""
     layers = [f"list_transform({SPANS[k][0]}, lambda s: {{'span': s, 'type': '{SPANS[k][1]}', 'source': 'PATTERN'}})" for k in _KINDS]
     if subjects:
@@ -257,7 +257,7 @@ def accepted(subjects: bool) -> str:
     base = "0.35 + CASE WHEN type IN ('DATE', 'NUMBER') THEN 0.30 WHEN type = 'CONCEPT' THEN 0.20 ELSE 0.0 END"
     size = f"CASE WHEN {n} BETWEEN 2 AND 6 THEN 0.20 WHEN {n} = 1 AND length(answer) >= 5 THEN 0.08 WHEN {n} > 8 THEN -0.10 ELSE 0.0 END"
     capital = r"CASE WHEN regexp_matches(answer, '^\p{Lu}') AND NOT starts_with(sentence, answer) THEN 0.05 ELSE 0.0 END"
-    return f"""{FACTS}, layered AS (SELECT doc_id, sent_idx, sentence, {joined} AS l FROM facts),
+    return f"""{given}, layered AS (SELECT doc_id, sent_idx, sentence, {joined} AS l FROM facts),
 proposed AS (SELECT doc_id, sent_idx, sentence, unnest(l) AS c, generate_subscripts(l, 1) AS place FROM layered),
 trimmed AS (SELECT doc_id, sent_idx, sentence, place, c.type AS type, c.source AS source, {trim("c.span")} AS answer FROM proposed),
 usable AS (SELECT * FROM trimmed WHERE {valid("answer")} QUALIFY row_number() OVER (PARTITION BY doc_id, sent_idx, answer ORDER BY place) = 1),
@@ -267,6 +267,9 @@ kept AS (SELECT * FROM enough e WHERE NOT EXISTS (SELECT 1 FROM enough o WHERE o
          AND contains(lower(o.answer), lower(e.answer))))"""
 
 
+_CHOSEN = f"""{SCORED}, place AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_idx) AS p FROM scored),
+facts AS (SELECT doc_id, sent_idx, sentence FROM place WHERE n_sentences <= 30 OR (p <= 30 AND score >= 0.05))"""
+TOPK_DOCUMENTS = f"""{accepted(True, _CHOSEN)}, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY score DESC, length(answer) DESC, place) - 1 AS ans_rank FROM kept)"""
 TOPK = f"""{accepted(True)}, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY score DESC, length(answer) DESC, place) - 1 AS ans_rank FROM kept),
 best AS (SELECT * FROM ranked WHERE ans_rank < 3)"""
 
@@ -427,6 +430,7 @@ ORACLES: dict[str, str] = {
     "subject_answers": f"WITH {SENTENCES}, x AS (SELECT doc_id, sent_idx, {subject('sentence')} AS subject FROM sents), y AS (SELECT *, {trim('subject')} AS trimmed FROM x WHERE length(subject) >= 3) SELECT *, {valid('trimmed')} AS valid FROM y",
     "answer_overlap": f"WITH {accepted(False)} SELECT doc_id, sent_idx, answer, type, source, score FROM kept",
     "answer_topk": f"WITH {TOPK} SELECT doc_id, sent_idx, ans_rank, answer, type, source, score FROM best",
+    "answer_topk_documents": f"WITH {TOPK_DOCUMENTS} SELECT type, source, count(*) AS n, round(avg(score), 6) AS avg_score FROM ranked WHERE ans_rank < 3 GROUP BY ALL",
     "highlight_input": f"""WITH {TOPK}, x AS (SELECT *, position(lower(answer) IN lower(sentence)) AS pos FROM best) SELECT doc_id, sent_idx, ans_rank, 'generate question: ' || CASE WHEN pos > 0 THEN left(sentence, pos - 1) || '<hl> '
  || substr(sentence, pos, length(answer)) || ' <hl>' || substr(sentence, pos + length(answer)) ELSE sentence || ' <hl> ' || answer || ' <hl>' END AS input FROM x""",
     "question_clean": f"""WITH {FACTS}, x AS (SELECT doc_id, sent_idx, {_RAW} AS raw FROM facts), y AS (SELECT doc_id, sent_idx, {_CLEAN} AS question FROM x)
@@ -445,6 +449,10 @@ ORACLES: dict[str, str] = {
  pooled AS (SELECT q.doc_id, q.sent_idx, q.ans_rank, list(u.answer ORDER BY u.sent_idx, u.ans_rank) FILTER (u.answer IS NOT NULL) AS pool FROM questions q LEFT JOIN usable_spans u ON u.doc_id = q.doc_id AND list_contains({_COMPATIBLE}, u.type)
             AND lower(u.answer) <> lower(q.answer) GROUP BY ALL)
  SELECT doc_id, sent_idx, ans_rank, coalesce(len(pool), 0) AS n, coalesce(array_to_string(pool[1:5], '|'), '') AS first FROM pooled""",
+    "bank_distractors": f"""WITH {ASKED}, counted AS (SELECT doc_id, sent_idx, ans_rank, answer, type, sentence AS t FROM questions), y AS (SELECT *, {", ".join(f"{e} AS n_{d}" for d, e in _COUNTS.items())} FROM counted),
+ z AS (SELECT *, {_TOP} AS top FROM y), banked AS (SELECT *, CASE {" ".join(f"WHEN type = '{k}' THEN {names(v)}" for k, v in L.TYPED_BANKS.items())} ELSE CASE CASE WHEN top = 0 THEN 'ai_general' {_CASES} END
+ {" ".join(f"WHEN '{k}' THEN {names(v)}" for k, v in L.CONCEPT_BANKS.items())} END END AS items FROM z)
+ SELECT doc_id, sent_idx, ans_rank, array_to_string(list_transform(list_sort(list_transform(items, lambda i: {{'k': md5(answer || '|' || i), 'i': i}})), lambda x: x.i), '|') AS bank FROM banked""",
     "embedding_rank": """WITH p AS (SELECT a.vec_id, b.vec_id AS other, list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)))
  / sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) * list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS c FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 10 = 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, CAST(other AS VARCHAR)) AS n FROM p WHERE c BETWEEN 0.20 AND 0.82),

@@ -8,7 +8,6 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quizspark.functions import lexicon as L
