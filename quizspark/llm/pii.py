@@ -2,12 +2,14 @@
 
 Formats (base spans): email, ip, card (Luhn) and phone with a plus sign. They always stay.
 Method (added spans): generators propose overlapping candidates: grouped digits, spelled-out addresses, account numbers,
-colon-separated hex. Each has format features (lengths, digits, groups, separators, checksums) and context features (words
-before it, what touches it). Boosted trees score them, a calibrated threshold selects; of candidates that overlap the best
-scored stays, and candidates that overlap a base span add nothing.
+colon-separated hex, and inside longer runs of digits the groups shaped like a phone, a card or a social security number.
+They read the text with the base spans blanked out, so what stands next to one is still proposed and none overlaps one.
+Each has format features (lengths, digits, groups, separators, checksums) and context features (words before it, what
+touches it). Boosted trees score them, a calibrated threshold selects; from the best scored down, a candidate stays if it
+overlaps none that stays.
 
 The trees are fitted on a fixed set of made-up examples (examples(): true formats and look-alikes such as dates, prices,
-versions, part numbers, in and out of context), half of it for calibration; the rows' features come from the same Column
+versions, part numbers, in and out of context; neighbours(): true formats next to other digits), half of it for calibration; the rows' features come from the same Column
 expressions that score documents, so both agree by construction. The model doesn't depend on the corpus.
 
 All of it is Column expressions in one projection of the scan: no shuffle, no Python on rows. Null texts count as empty; rows
@@ -38,11 +40,17 @@ LONGEST = 120
 
 #: High-recall generators.
 GENERATORS = (
-    r"[(]?[0-9](?:[\x20().\-/]{0,2}[0-9]){5,}+",
+    r"[(+]?[0-9](?:[\x20().\-/]{0,2}[0-9]){5,}+",
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+(?:\x20?[\[(]at[\])]\x20?|\x20at\x20|\x20@\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++",
     r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){10,30}+",
     r"(?<![0-9A-Za-z])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){5,7}+",
+    r"(?<![0-9])(?:[(][0-9]{3}[)][\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
+    r"(?<![0-9])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9])",
+    *(rf"\+[0-9]++(?:[\x20().-]{{1,3}}+[0-9]++){{{k}}}" for k in range(6)),
 )
+#: From here on generators find shapes inside runs; from PLUS on, a plus sign, k more groups and a phone's number of digits.
+SHAPES, PLUS = 4, 7
 #: Words before a candidate that speak for personal data, and against it.
 FOR = r"(?i)\b(?:phone|call|tel|telephone|mobile|cell|fax|contact|reach|ssn|social security|passport|iban|account|card|visa|mail|email|e-mail|address|host|mac|whatsapp)\b[^.!?\n]{0,12}$"
 AGAINST = r"(?i)\b(?:order|item|isbn|version|v|invoice|part|serial|model|page|pages|on|since|in|price|cost|total|population|ratio|score|id|ticket|ref|build|release|year|room|at about)\b[^.!?\n]{0,12}$"
@@ -87,7 +95,7 @@ def features(text: Column, span: Column) -> Column:
         return F.coalesce(condition, F.lit(False)).cast("int")
 
     named = {
-        "generator": span["kind"],
+        "generator": F.least(span["kind"], F.lit(PLUS)),
         "length": size,
         "digits": number,
         "letters": F.length(F.regexp_replace(value, "[^A-Za-z]", "")),
@@ -97,6 +105,7 @@ def features(text: Column, span: Column) -> Column:
         "dots": size - F.length(F.replace(value, F.lit("."), F.lit(""))),
         "slashes": size - F.length(F.replace(value, F.lit("/"), F.lit(""))),
         "hyphens": size - F.length(F.replace(value, F.lit("-"), F.lit(""))),
+        "plus": flag(value.startswith("+")),
         "brackets": size - F.length(F.replace(value, F.lit("("), F.lit(""))),
         "dated": flag(F.rlike(value, F.lit(r"^(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|^[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}"))),
         "luhn": flag((number >= 12) & luhn(value)),
@@ -109,8 +118,12 @@ def features(text: Column, span: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Proposed spans; kind is the generator's number."""
-    hint = (F.rlike(text, F.lit(r"[0-9][^0-9A-Za-z]{0,2}[0-9][^0-9A-Za-z]{0,2}[0-9]")), F.rlike(text, F.lit(r"(?:\bat\b|\x20@\x20)")), F.rlike(text, F.lit("[A-Z]{2}[0-9]{2}")), F.rlike(text, F.lit("[0-9A-Fa-f]:[0-9A-Fa-f]")))
-    return F.concat(*(S.matches(text, p, k, h) for k, (p, h) in enumerate(zip(GENERATORS, hint, strict=True))))
+    digits_close = F.rlike(text, F.lit(r"[0-9][^0-9A-Za-z]{0,2}[0-9][^0-9A-Za-z]{0,2}[0-9]"))
+    hint = (digits_close, F.rlike(text, F.lit(r"(?:\bat\b|\x20@\x20)")), F.rlike(text, F.lit("[A-Z]{2}[0-9]{2}")), F.rlike(text, F.lit("[0-9A-Fa-f]:[0-9A-Fa-f]")))
+    shaped = F.rlike(text, F.lit(r"[0-9][)\x20.-]{1,2}[0-9]{2,4}[\x20.-][0-9]{4}"))
+    hint += (*(shaped,) * (PLUS - SHAPES), *(F.rlike(text, F.lit(r"\+[0-9]")),) * (len(GENERATORS) - PLUS))
+    found = F.concat(*(S.matches(text, p, k, h) for k, (p, h) in enumerate(zip(GENERATORS, hint, strict=True))))
+    return F.filter(found, lambda s: (s["kind"] < PLUS) | digits(s["value"], 9, 15))
 
 
 def examples(seed: int = 7, each: int = 60) -> list[tuple[str, int]]:
@@ -157,6 +170,48 @@ def examples(seed: int = 7, each: int = 60) -> list[tuple[str, int]]:
     return out
 
 
+def neighbours(seed: int = 11, each: int = 60) -> list[tuple[str, str]]:
+    """Made-up sentences with personal data right next to other digits, and the personal data (or none): all else is none."""
+    r = random.Random(seed)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    w = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(3, 8)))
+    yes = (
+        lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}",
+        lambda: f"+{r.randint(20, 99)} {d(2)} {d(r.randint(6, 8))}",
+        lambda: f"+{r.randint(200, 999)}-{d(3)}-{d(3)}-{d(3)}",
+        lambda: f"+{r.randint(20, 99)}{d(10)}",
+        lambda: f"({d(3)}) {d(3)}-{d(4)}",
+        lambda: f"{r.randint(2, 9)}{d(2)}-{d(3)}-{d(4)}",
+        lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        lambda: _card(f"{r.randint(3, 5)}{d(14)}"),
+    )
+    other = (
+        lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
+        lambda: f"20{d(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}",
+        lambda: f"{r.randint(1, 28)}/{r.randint(1, 12)}/19{d(2)}",
+        lambda: d(r.randint(8, 12)),
+    )
+    pro = ("call me on ", "phone ", "tel: ", "contact ", "ssn ", "card ", "", "")
+    con = ("order ", "total ", "values ", "", "was ", "of ")
+    out = []
+    for make in yes:
+        for i in range(each):
+            value, more = make(), r.choice(other)()
+            out.append((f"{w()} {w()} {r.choice(pro)}{value} {more} {w()}." if i % 3 else f"{w()} {w()} {more} {value} {w()}.", value))
+    for _ in range(4 * each):
+        out.append((f"{w()} {w()} {r.choice(con)}{' '.join(d(r.randint(2, 5)) for _ in range(r.randint(4, 9)))} {w()}.", ""))
+        out.append((f"{w()} {w()} {r.choice(con)}{d(2)} {d(3)} {d(3)} {d(4)} {d(3)} {w()}.", ""))
+    r.shuffle(out)
+    return out
+
+
+def _card(head: str) -> str:
+    """The digits and the last one that makes them pass, in groups of four."""
+    total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(head)))
+    whole = f"{head}{-total % 10}"
+    return " ".join(whole[i : i + 4] for i in range(0, 16, 4))
+
+
 @functools.lru_cache(maxsize=1)
 def _fitted(rows: tuple[tuple[tuple[tuple[str, int], ...], int], ...]) -> boosting.Boosted:
     each = [(dict(f), y) for f, y in rows]
@@ -166,26 +221,26 @@ def _fitted(rows: tuple[tuple[tuple[tuple[str, int], ...], int], ...]) -> boosti
 
 
 def fit(spark: SparkSession) -> boosting.Boosted:
-    """The model of the fixed examples (about 1,500 rows)."""
-    rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(examples())], "i int, text string, label int")
-    spans = rows.select("i", "label", "text", F.explode(candidates(F.col("text"))).alias("s"))
+    """The model of the fixed examples (about 2,500 rows)."""
+    made = [(t, y, None) for t, y in examples()] + [(t, 1, v) for t, v in neighbours()]
+    rows = spark.createDataFrame([(i, *e) for i, e in enumerate(made)], "i int, text string, label int, private string")
+    spans = rows.select("i", "label", "text", "private", F.explode(candidates(S.blank(F.col("text"), base_spans(F.col("text"))))).alias("s"))
+    spans = spans.withColumn("label", F.when(F.col("private").isNull(), F.col("label")).otherwise((F.col("s.value") == F.col("private")).cast("int")))
     found = spans.select("i", "label", features(F.col("text"), F.col("s")).alias("f")).orderBy("i", "f").collect()
     return _fitted(tuple((tuple(r["f"].asDict().items()), r["label"]) for r in found))
 
 
 def added_spans(text: Column, base: Column, model: boosting.Boosted) -> Column:
-    proposed = S.outside(candidates(text), base)
-    scored = F.transform(proposed, lambda s: F.struct(S.let(features(text, s), model.probability).alias("p"), s.alias("s")))
+    scored = F.transform(S.let(S.blank(text, base), candidates), lambda s: F.struct(S.let(features(text, s), model.probability).alias("p"), s.alias("s")))
     likely = F.filter(scored, lambda c: (c["p"] >= model.threshold) & (F.length(c["s"]["value"]) <= LONGEST))
+    # Of equal scores the earlier, then the longer one comes first.
+    ranked = F.array_sort(F.transform(likely, lambda c: F.struct((-c["p"]).alias("p"), c["s"]["start"].alias("start"), (-c["s"]["end"]).alias("back"), c["s"]["kind"].alias("by"), c["s"]["value"].alias("value"))))
+    spans = F.transform(ranked, lambda c: F.struct(c["start"].alias("start"), F.lit(4).alias("kind"), (-c["back"]).alias("end"), c["value"].alias("value")))
 
-    def beaten(c: Column, other: Column) -> Column:
-        """By an overlapping candidate with a higher score; of equal scores the earlier, then the longer one stays."""
-        meet = (other["s"]["start"] < c["s"]["end"]) & (c["s"]["start"] < other["s"]["end"])
-        rank = lambda x: F.struct(-x["p"], x["s"]["start"], -x["s"]["end"], x["s"]["kind"])
-        return meet & (rank(other) < rank(c))
+    def take(kept: Column, s: Column) -> Column:
+        return F.when(F.exists(kept, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])), kept).otherwise(F.array_append(kept, s))
 
-    best = S.let(likely, lambda all_: F.filter(all_, lambda c: ~F.exists(all_, lambda o: beaten(c, o))))
-    return F.transform(best, lambda c: F.struct(c["s"]["start"].alias("start"), F.lit(4).alias("kind"), c["s"]["end"].alias("end"), c["s"]["value"].alias("value")))
+    return F.aggregate(spans, S.none(), take)
 
 
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

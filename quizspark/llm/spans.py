@@ -55,6 +55,19 @@ def outside(spans: Column, of: Column) -> Column:
     return F.filter(spans, lambda s: ~F.exists(of, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
 
+def blank(text: Column, spans: Column, mark: str = "\x00") -> Column:
+    """text with every character of the spans replaced by the mark, so all others keep their places."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        begin, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        piece = F.concat(F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(mark), end - begin))
+        return F.struct(end.alias("at"), F.concat(acc["out"], piece).alias("out"))
+
+    done = F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
 def replace(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
     """text with each span replaced; a span that begins inside an earlier one extends it without a second mark."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

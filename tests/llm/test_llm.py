@@ -333,6 +333,27 @@ def test_pii_added_spans_and_redaction(spark):
     assert out == ["call me on [CONTACT] please", "mail [CONTACT] today", texts[2], "write to [EMAIL]", None]
 
 
+def test_pii_next_to_other_digits(spark):
+    texts = {
+        "x +1 (826) 555-4081 190.137.223.204 y": ["+1 (826) 555-4081"],
+        "call 555-123-4567 555-765-4321 please": ["555-123-4567", "555-765-4321"],
+        "call 555-123-4567 190.137.223.204 please": ["555-123-4567"],
+        "phone +1 (826) 555-4081 12345678 x": ["+1 (826) 555-4081"],
+        "ssn 123-45-6789 555-123-4567 x": ["123-45-6789", "555-123-4567"],
+        "card 4111 1111 1111 1111 12345678 x": ["4111 1111 1111 1111"],
+        "total 12 345 678 9012 345 22 11 x": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.text: sorted(s.value for s in r.added) for r in pii.scan_pii(df).collect()}
+    assert out == {t: sorted(v) for t, v in texts.items()}
+
+
+def test_blanked_texts_keep_their_places(spark):
+    spans = [(1, 0, 4, ""), (2, 0, 6, ""), (2, 1, 3, ""), (8, 0, 9, "")]
+    df = spark.createDataFrame([("ab😀cdefgxij", spans), ("abc", [])], f"t string, s {S.SPAN}")
+    assert [r[0] for r in df.select(S.blank(F.col("t"), F.col("s"), "_")).collect()] == ["a_____fg_ij", "abc"]
+
+
 @pytest.mark.parametrize("scan", [secrets.scan_secrets, pii.scan_pii])
 def test_scans_of_edges(scan, edge, none):
     assert scan(edge).count() == len(EDGE) and scan(none).count() == 0
