@@ -18,6 +18,7 @@ from quizspark.operators.answers import extract_answers, generate_questions, que
 from quizspark.operators.sentences import sentences
 from quizspark.plans.facts import facts
 from quizspark.plans.pipeline import QuizPipeline
+from quizspark.plans.queries import QUERIES
 from quizspark.sources import providers
 
 
@@ -192,3 +193,29 @@ def test_providers(spark):
     assert {r.question for r in generate_questions(asked, "raw").collect()} == {"Who wrote the first program?"}
     vectors = providers.with_vectors(extract_answers(sents), lambda: lambda rows: [[1.0, 0.0] for _ in rows])
     assert vectors.count() == len({r.answer for r in plain})
+
+
+def brute_similar(rows, k=3):
+    def dot(a, b):
+        return sum(float(x) * float(y) for x, y in zip(a, b, strict=True))
+
+    out = {}
+    for v, x, label in rows:
+        cosines = [(-dot(x, y) / math.sqrt(dot(x, x) * dot(y, y)), str(w)) for w, y, other in rows if other == label and dot(x, x) * dot(y, y) > 0]
+        out[v] = "|".join(w for _, w in sorted(c for c in cosines if 0.20 <= -c[0] <= 0.82)[:k])
+    return out
+
+
+def test_every_vector_is_ranked(spark, sf):
+    rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    got = QUERIES["embedding_rank_all"](spark, sf).collect()
+    assert len(got) == len(rows) and {r.vec_id: r.best for r in got} == brute_similar(rows)
+
+
+def test_blocks_dont_change_ranks(spark):
+    rows = [(i, [float(i % 7), float(i % 3), 1.0], 0) for i in range(60)] + [(60, [0.0, 0.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "key long, vector array<float>, label int")
+    spans = df.select("label", F.col("key").cast("string").alias("answer"), "vector")
+    for block in (7, 1024):
+        got = {r.key: "|".join(r.best) for r in distract.rank_similar(df, spans, "label", block=block).collect()}
+        assert got == {v: b for v, b in brute_similar(rows).items() if b}
