@@ -4,8 +4,9 @@ Formats (base spans): assignments to a secret's name, access key ids, long runs
 Entropy (added spans): a candidate is a run of 20 or more characters of a key alphabet that has a letter and a digit. Over its
 characters a window of WINDOW slides: the sum of c * log2(c) over the counts c in the window changes by the character that
 leaves and the one that enters only. Windows over the threshold of the candidate's class (hex, letters and digits) make a
-span, from the first such window to the last. An allow list (placeholders, identifiers, checksums named as such) suppresses
-candidates; base spans always stay, and a candidate that overlaps one adds nothing.
+span, from the first such window to the last. An allow list suppresses candidates (identifiers, checksums named as such) and
+spans whose value, what follows the last equals sign inside, holds a placeholder; base spans always stay, and a
+candidate that overlaps one adds nothing.
 
 All of it is Column expressions in one projection of the scan: no shuffle, no Python. Null texts count as empty; rows are
 independent, so ties and repeated rows need no rule.
@@ -28,15 +29,16 @@ CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}+"
 WINDOW = 20
 #: Bits a character of a window of WINDOW: of random hex about 3.4, of random letters and digits about 4.1, of words below 3.5.
 HEX_BITS, MIXED_BITS = 2.9, 3.75
+#: Marks of a span that is no secret.
+PLACEHOLDER = r"(?i)(?:example|placeholder|changeme|your[-_]|xxxx|0{8}|1234567)[^=]*=*$"
 #: Candidates that are no secrets.
 ALLOWED = (
-    r"(?i)example|placeholder|changeme|your[-_]|xxxx|0{8}|1234567",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"^[a-z]+([-_/][a-z]+){2,}[-_/]?[0-9]{0,4}$",
     r"^[0-9+/=_-]+$",
 )
 #: What stands right before candidates that are no secrets.
-ALLOWED_BEFORE = r"(?i)(commit|revision|checksum|integrity|md5|sha-?[0-9]{1,3}|uuid|https?:/*[\w.]*)[-\s:=/\"']*$"
+ALLOWED_BEFORE = r"(?i)(commit|revision|checksum|integrity|md5|sha-?[0-9]{1,3}|uuid)[-\s:=/\"']*$"
 
 
 def base_spans(text: Column) -> Column:
@@ -89,9 +91,13 @@ def entropy_spans(text: Column, base: Column) -> Column:
         return out & ~F.rlike(before, F.lit(ALLOWED_BEFORE))
 
     hot = F.transform(F.filter(S.outside(found, base), suspect), lambda s: F.struct(s.alias("s"), _entropy_range(s["value"]).alias("r")))
+
+    def hot_value(h: Column) -> Column:
+        return F.substring(h["s"]["value"], h["r"]["first"] + 1, h["r"]["last"] - h["r"]["first"])
+
     return F.transform(
-        F.filter(hot, lambda h: h["r"]["first"].isNotNull()),
-        lambda h: F.struct((h["s"]["start"] + h["r"]["first"]).alias("start"), F.lit(3).alias("kind"), (h["s"]["start"] + h["r"]["last"]).alias("end"), F.substring(h["s"]["value"], h["r"]["first"] + 1, h["r"]["last"] - h["r"]["first"]).alias("value")),
+        F.filter(hot, lambda h: h["r"]["first"].isNotNull() & ~F.rlike(hot_value(h), F.lit(PLACEHOLDER))),
+        lambda h: F.struct((h["s"]["start"] + h["r"]["first"]).alias("start"), F.lit(3).alias("kind"), (h["s"]["start"] + h["r"]["last"]).alias("end"), hot_value(h).alias("value")),
     )
 
 

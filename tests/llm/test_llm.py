@@ -327,6 +327,15 @@ def test_allow_list_and_redaction(spark):
     assert out[0].n_chars == len("key is [SECRET] here") and out[4].n_chars == 7
 
 
+def test_allow_list_leaves_no_key_in_urls_and_assignments(spark):
+    key = "q8ZrT2mXw9LkP4vNb7HsD1fG"
+    texts = [f"clone https://oauth2:{key}@git.site.org/x", f"post to https://hooks.slack.com/{key} now", f"example_service_key={key} end", "aws wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "see https://site.org/guides/how-to-write-tests"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()}
+    assert all(key not in out[i] and "[SECRET]" in out[i] for i in range(3)), out
+    assert [out[3], out[4]] == texts[3:]
+
+
 def test_pii_added_spans_and_redaction(spark):
     texts = ["call me on 555-123-4567 please", "mail jane at example dot org today", "released 2020-11-12 as version 1.22.33.444", "write to bob@x.org", None]
     out = [r.text for r in pii.redact_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
