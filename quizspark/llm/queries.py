@@ -55,7 +55,7 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder(3) == 1
-    model = quality.fit(quality.with_roles(toxicity.learn(docs, labels, "quality", ~held_out)))
+    model = quality.fit(quality.with_roles(toxicity.learn(docs, labels, "quality", ~held_out, max_rows=quality.MAX_ROWS)))
     return _predicted(quality.score_quality(docs, model), held_out)
 
 

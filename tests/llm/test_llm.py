@@ -222,6 +222,13 @@ def test_quality_tells_junk_from_prose(spark):
     assert len(out) > 100 and sum(right) / len(right) >= 0.95
 
 
+def test_quality_learns_from_its_own_number_of_rows(spark, sf, monkeypatch):
+    seen, learn = [], toxicity.learn
+    monkeypatch.setattr(toxicity, "learn", lambda *a, **k: seen.append(k.get("max_rows")) or learn(*a, **k))
+    QUERIES["op5_quality"](spark, sf)
+    assert seen == [quality.MAX_ROWS]
+
+
 def test_quality_edges(spark, edge, none):
     labels = edge.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     model = quality.fit(quality.with_roles(toxicity.learn(edge, labels, "quality", F.lit(True))))
