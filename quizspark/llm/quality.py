@@ -5,7 +5,7 @@ by all of it and never by what its own beginning taught the compressor. Feature:
 over the chunks' sums. A logistic curve fitted on labelled rows that gave nothing to the dictionaries makes it a score.
 
 Fit on a bounded sample of labelled rows (MAX_ROWS, by hash order): two thirds give the dictionaries' samples, at most
-MAX_CHUNKS chunks for either label spread over the rows, the rest calibrates.
+MAX_CHUNKS chunks for either label, those of the smallest hash wherever they stand, the rest calibrates.
 
 Nulls and empty texts: difference 0. Without labels of both kinds every score is the smoothed label rate. Repeated rows are
 scored each; other columns are ignored.
@@ -78,13 +78,14 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a / unit, b
 
 
-def _sample(per_label: int, every: int) -> Callable[[Batches], Batches]:
-    """Chunks of the dictionary rows, `every`-th only so that at most MAX_CHUNKS are expected; whole texts stay on executors."""
+def _sample(share: float) -> Callable[[Batches], Batches]:
+    """Chunks of the dictionary rows whose hash is among the lowest share of all hashes; whole texts stay on executors."""
+    below = int(share * 2**64)
 
     def run(batches: Batches) -> Batches:
         schema = pa.schema([("label", pa.int32()), ("chunk", pa.binary())])
         for b in batches:
-            rows = [(label, c) for label, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True) for c in chunks(t or b"")[::every] if len(c) >= 8]
+            rows = [(label, c) for label, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True) for c in chunks(t or b"") if len(c) >= 8 and hash_order(c) < below]
             yield batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 2))
 
     return run
@@ -113,11 +114,11 @@ def with_roles(labelled: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame) -> Model:
     """labelled: label, text, role (0, 1: dictionary, 2: calibration); at most MAX_ROWS rows."""
     for_dictionaries = labelled.where("role < 2")
-    total = {r[0]: r[1] for r in for_dictionaries.groupBy("label").agg(F.sum(F.octet_length("text") / CHUNK + 1)).collect()}
+    total = {r[0]: r[1] for r in for_dictionaries.groupBy("label").agg(F.sum(F.greatest(F.lit(1.0), F.round(F.octet_length("text") / CHUNK)))).collect()}
     samples: dict[int, list[bytes]] = {0: [], 1: []}
     for label in samples:
-        every = max(1, math.ceil((total.get(label) or 0) / MAX_CHUNKS))
-        rows = for_dictionaries.where(F.col("label") == label).select("label", "text").mapInArrow(_sample(MAX_CHUNKS, every), "label int, chunk binary").toArrow()
+        share = min(1.0, 1.25 * MAX_CHUNKS / max(1, total.get(label) or 0))  # some over, so that the smallest MAX_CHUNKS are among them
+        rows = for_dictionaries.where(F.col("label") == label).select("label", "text").mapInArrow(_sample(share), "label int, chunk binary").toArrow()
         samples[label] = sorted(rows.column(1).to_pylist(), key=lambda c: hash_order(c))[:MAX_CHUNKS]
     held = labelled.where("role = 2").select("label", "text")
     if not samples[0] or not samples[1]:

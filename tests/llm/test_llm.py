@@ -229,6 +229,18 @@ def test_quality_learns_from_its_own_number_of_rows(spark, sf, monkeypatch):
     assert seen == [quality.MAX_ROWS]
 
 
+def test_dictionary_chunks_are_those_of_the_smallest_hash(spark, monkeypatch):
+    rng, seen = np.random.default_rng(5), []
+    monkeypatch.setattr(quality, "MAX_CHUNKS", 60)
+    monkeypatch.setattr(quality, "dictionary", lambda samples: seen.append(samples) or b"".join(samples))
+    texts = ["".join(rng.choice(list("abcdefgh "), size=8 * 1024)) for _ in range(60)]
+    rows = [(i % 2, t, 2 if i > 55 else 0) for i, t in enumerate(texts)]
+    quality.fit(spark.createDataFrame(rows, "label int, text string, role int"))
+    for label, samples in zip((1, 0), seen, strict=True):
+        every = [c for y, t, role in rows if y == label and role < 2 for c in quality.chunks(t.encode())]
+        assert samples == sorted(every, key=quality.hash_order)[:60]
+
+
 def test_quality_edges(spark, edge, none):
     labels = edge.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     model = quality.fit(quality.with_roles(toxicity.learn(edge, labels, "quality", F.lit(True))))
