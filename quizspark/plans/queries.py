@@ -252,6 +252,13 @@ def type_pool(spark, d):
     return pooled.select("doc_id", "sent_idx", "ans_rank", F.size("pool").alias("n"), F.array_join(F.slice("pool", 1, 5), "|").alias("first"))
 
 
+@query
+def type_pool_all(spark, d):
+    """The whole pools, a row for each span; no SQL (that of type_pool shows the first five), tested by brute force."""
+    pooled = OD.type_pool(*_pool(spark, d))
+    return pooled.select("doc_id", "sent_idx", "ans_rank", F.posexplode("pool").alias("pos", "span"))
+
+
 @query
 def bank_distractors(spark, d):
     questions = _questions(spark, d)

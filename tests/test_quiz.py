@@ -219,3 +219,12 @@ def test_blocks_dont_change_ranks(spark):
     for block in (7, 1024):
         got = {r.key: "|".join(r.best) for r in distract.rank_similar(df, spans, "label", block=block).collect()}
         assert got == {v: b for v, b in brute_similar(rows).items() if b}
+
+
+def test_whole_pools(spark, monkeypatch):
+    rows = [(1, i, 0, f"Answer {i}", "DATE") for i in range(9)] + [(2, 0, 0, "Alone", "DATE")]
+    asked = spark.createDataFrame(rows, "doc_id long, sent_idx int, ans_rank int, answer string, type string")
+    monkeypatch.setattr("quizspark.plans.queries._pool", lambda spark, d: (asked, asked))
+    got = {(r.doc_id, r.sent_idx, r.pos): r.span for r in QUERIES["type_pool_all"](spark, "").collect()}
+    want = {i: [f"Answer {j}" for j in range(9) if j != i] for i in range(9)}
+    assert got == {(1, i, k): s for i, pool in want.items() for k, s in enumerate(pool)}
