@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +48,19 @@ def materialise(df: DataFrame, batch_rows: int = 512) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(taken: Iterable[str], name: str) -> str:
+    """name, or with underscores behind it, such that no column of `taken` is called so in any case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as one identifier, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -9,16 +9,18 @@ touches it). Boosted trees score them, a calibrated threshold selects; from the
 overlaps none that stays.
 
 The trees are fitted on a fixed set of made-up examples (examples(): true formats and look-alikes such as dates, prices,
-versions, part numbers, in and out of context; neighbours(): true formats next to other digits), half of it for calibration; the rows' features come from the same Column
-expressions that score documents, so both agree by construction. The model doesn't depend on the corpus.
-
-All of it is Column expressions in one projection of the scan: no shuffle, no Python on rows. Null texts count as empty; rows
-are independent, so ties and repeated rows need no rule.
+versions, part numbers, in and out of context; neighbours(): true formats next to other digits), half of it for calibration;
+the rows' features come from the same Column expressions that score documents, so both agree by construction. The model
+doesn't depend on the corpus.
+
+All of it is Column expressions in one projection of the scan: no shuffle, no Python on rows. Null texts count as empty; empty
+tables give empty results; rows are independent, so ties between rows, repeated rows and ids of any type (or none) need no rule.
+Of candidates with equal scores the earlier, then the longer one comes first. The time is nearly linear in the text, however
+long, see spans.py. redact_pii keeps all columns, whatever they are called.
 """
 
 from __future__ import annotations
 
-import functools
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import boosting
 from . import spans as S
+from .common import quoted, unused
 
 KINDS = ("email", "ip", "card", "phone", "contact")
 # Possessive groups never backtrack, and a run is tried from its first character only: same matches, in linear time.
@@ -35,13 +38,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CARD_HINT = r"[0-9](?:[\x20-]?[0-9]){11}"
 
-#: No format of a contact is longer.
-LONGEST = 120
-
 #: High-recall generators.
 GENERATORS = (
     r"[(+]?[0-9](?:[\x20().\-/]{0,2}[0-9]){5,}+",
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+(?:\x20?[\[(]at[\])]\x20?|\x20at\x20|\x20@\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+(?:\x20?[\[(]at[\])]\x20?|\x20at\x20|\x20@\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++",
     r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){10,30}+",
     r"(?<![0-9A-Za-z])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){5,7}+",
     r"(?<![0-9])(?:[(][0-9]{3}[)][\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
@@ -57,10 +57,14 @@ AGAINST = r"(?i)\b(?:order|item|isbn|version|v|invoice|part|serial|model|page|pa
 
 
 def base_spans(text: Column) -> Column:
-    ip = F.filter(S.matches(text, IP, 1), lambda s: F.forall(F.split(s["value"], r"\."), _at_most_255))
-    card = F.filter(S.matches(text, CARD, 2, F.rlike(text, F.lit(CARD_HINT))), lambda s: digits(s["value"], 12, 19) & luhn(s["value"]))
-    phone = F.filter(S.matches(text, PHONE, 3, text.contains("+")), lambda s: digits(s["value"], 9, 15))
-    return F.concat(S.matches(text, EMAIL, 0, text.contains("@")), ip, card, phone)
+    found = S.matches(text, ((EMAIL, 0, text.contains("@")), (IP, 1, None), (CARD, 2, F.rlike(text, F.lit(CARD_HINT))), (PHONE, 3, text.contains("+"))))
+
+    def valid(s: Column) -> Column:
+        ip = F.when(s["kind"] == 1, F.forall(F.split(s["value"], r"\."), _at_most_255))
+        card = ip.when(s["kind"] == 2, digits(s["value"], 12, 19) & luhn(s["value"]))
+        return card.when(s["kind"] == 3, digits(s["value"], 9, 15)).otherwise(True)
+
+    return F.filter(found, valid)
 
 
 def _at_most_255(part: Column) -> Column:
@@ -83,10 +87,13 @@ def luhn(value: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
-def features(text: Column, span: Column) -> Column:
+def features(chunks: Column, span: Column) -> Column:
+    """chunks: of the text the span stands in."""
+    return S.let(F.struct(span.alias("s"), S.piece(chunks, span["start"] - 40, span["start"]).alias("before"), S.piece(chunks, span["end"], span["end"] + 1).alias("after")), lambda v: _features(v["s"], v["before"], v["after"]))
+
+
+def _features(span: Column, before: Column, after: Column) -> Column:
     value = span["value"]
-    before = F.substring(text, F.greatest(F.lit(1), span["start"] - 39), F.least(F.lit(40), span["start"]))
-    after = F.substring(text, span["end"] + 1, 1)
     groups = F.filter(F.split(value, "[^0-9]+"), lambda g: g != "")
     size = F.length(value)
     number = F.length(only_digits(value))
@@ -108,7 +115,7 @@ def features(text: Column, span: Column) -> Column:
         "plus": flag(value.startswith("+")),
         "brackets": size - F.length(F.replace(value, F.lit("("), F.lit(""))),
         "dated": flag(F.rlike(value, F.lit(r"^(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|^[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}"))),
-        "luhn": flag((number >= 12) & luhn(value)),
+        "luhn": flag(number.between(12, 19) & luhn(value)),
         "word_before": flag(F.rlike(before, F.lit(FOR))),
         "word_against": flag(F.rlike(before, F.lit(AGAINST))),
         "glued": flag(F.rlike(before, F.lit(r"[A-Za-z0-9$€£#_.,:/-]$"))) + flag(F.rlike(after, F.lit("[A-Za-z0-9_%:/]"))),
@@ -122,7 +129,7 @@ def candidates(text: Column) -> Column:
     hint = (digits_close, F.rlike(text, F.lit(r"(?:\bat\b|\x20@\x20)")), F.rlike(text, F.lit("[A-Z]{2}[0-9]{2}")), F.rlike(text, F.lit("[0-9A-Fa-f]:[0-9A-Fa-f]")))
     shaped = F.rlike(text, F.lit(r"[0-9][)\x20.-]{1,2}[0-9]{2,4}[\x20.-][0-9]{4}"))
     hint += (*(shaped,) * (PLUS - SHAPES), *(F.rlike(text, F.lit(r"\+[0-9]")),) * (len(GENERATORS) - PLUS))
-    found = F.concat(*(S.matches(text, p, k, h) for k, (p, h) in enumerate(zip(GENERATORS, hint, strict=True))))
+    found = S.matches(text, [(p, k, h) for k, (p, h) in enumerate(zip(GENERATORS, hint, strict=True))])
     return F.filter(found, lambda s: (s["kind"] < PLUS) | digits(s["value"], 9, 15))
 
 
@@ -212,41 +219,39 @@ def _card(head: str) -> str:
     return " ".join(whole[i : i + 4] for i in range(0, 16, 4))
 
 
-@functools.lru_cache(maxsize=1)
-def _fitted(rows: tuple[tuple[tuple[tuple[str, int], ...], int], ...]) -> boosting.Boosted:
-    each = [(dict(f), y) for f, y in rows]
-    first, second = each[::2], each[1::2]
-    model = boosting.fit([f for f, _ in first], [y for _, y in first])
-    return boosting.calibrated(model, [f for f, _ in second], [y for _, y in second], precision=0.98)
+_FITTED: list[boosting.Boosted] = []
 
 
 def fit(spark: SparkSession) -> boosting.Boosted:
-    """The model of the fixed examples (about 2,500 rows)."""
-    made = [(t, y, None) for t, y in examples()] + [(t, 1, v) for t, v in neighbours()]
-    rows = spark.createDataFrame([(i, *e) for i, e in enumerate(made)], "i int, text string, label int, private string")
-    spans = rows.select("i", "label", "text", "private", F.explode(candidates(S.blank(F.col("text"), base_spans(F.col("text"))))).alias("s"))
-    spans = spans.withColumn("label", F.when(F.col("private").isNull(), F.col("label")).otherwise((F.col("s.value") == F.col("private")).cast("int")))
-    found = spans.select("i", "label", features(F.col("text"), F.col("s")).alias("f")).orderBy("i", "f").collect()
-    return _fitted(tuple((tuple(r["f"].asDict().items()), r["label"]) for r in found))
+    """The model of the fixed examples (about 2,500 rows). It is the same each time, so a process fits it once."""
+    if not _FITTED:
+        made = [(t, y, None) for t, y in examples()] + [(t, 1, v) for t, v in neighbours()]
+        rows = spark.createDataFrame([(i, *e) for i, e in enumerate(made)], "i int, text string, label int, private string").withColumn("base", base_spans(F.col("text")))
+        spans = rows.select("i", "label", "text", "private", F.explode(S.let(S.blank(F.col("text"), F.col("base")), candidates)).alias("s"))
+        spans = spans.withColumn("label", F.when(F.col("private").isNull(), F.col("label")).otherwise((F.col("s.value") == F.col("private")).cast("int")))
+        found = spans.select("i", "label", features(S.chunks(F.col("text")), F.col("s")).alias("f")).orderBy("i", "f").collect()
+        each = [(r["f"].asDict(), r["label"]) for r in found]
+        model = boosting.fit([f for f, _ in each[::2]], [y for _, y in each[::2]])
+        _FITTED.append(boosting.calibrated(model, [f for f, _ in each[1::2]], [y for _, y in each[1::2]], precision=0.98))
+    return _FITTED[0]
 
 
 def added_spans(text: Column, base: Column, model: boosting.Boosted) -> Column:
-    scored = F.transform(S.let(S.blank(text, base), candidates), lambda s: F.struct(S.let(features(text, s), model.probability).alias("p"), s.alias("s")))
-    likely = F.filter(scored, lambda c: (c["p"] >= model.threshold) & (F.length(c["s"]["value"]) <= LONGEST))
-    # Of equal scores the earlier, then the longer one comes first.
-    ranked = F.array_sort(F.transform(likely, lambda c: F.struct((-c["p"]).alias("p"), c["s"]["start"].alias("start"), (-c["s"]["end"]).alias("back"), c["s"]["kind"].alias("by"), c["s"]["value"].alias("value"))))
-    spans = F.transform(ranked, lambda c: F.struct(c["start"].alias("start"), F.lit(4).alias("kind"), (-c["back"]).alias("end"), c["value"].alias("value")))
-
-    def take(kept: Column, s: Column) -> Column:
-        return F.when(F.exists(kept, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])), kept).otherwise(F.array_append(kept, s))
+    def among(v: Column) -> Column:
+        scored = F.transform(v["found"], lambda s: F.struct(S.let(features(v["chunks"], s), model.probability).alias("p"), s.alias("s")))
+        likely = F.filter(scored, lambda c: c["p"] >= model.threshold)
+        ranked = F.array_sort(F.transform(likely, lambda c: F.struct((-c["p"]).alias("p"), c["s"]["start"].alias("start"), (-c["s"]["end"]).alias("back"), c["s"]["kind"].alias("by"), c["s"]["value"].alias("value"))))
+        spans = F.transform(ranked, lambda c: F.struct(c["start"].alias("start"), F.lit(4).alias("kind"), (-c["back"]).alias("end"), c["value"].alias("value")))
+        return S.let(spans, S.apart)
 
-    return F.aggregate(spans, S.none(), take)
+    found = S.let(S.blank(text, base), candidates)
+    return S.let(found, lambda f: F.when(F.size(f) > 0, S.let(F.struct(f.alias("found"), S.chunks(text).alias("chunks")), among)).otherwise(S.none()))
 
 
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns the id, the text (null: empty), base and added spans for every row."""
     model = fit(docs.sparkSession)
-    given = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    given = docs.select(F.col(quoted(id_col)), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
     based = given.withColumn("base", base_spans(F.col("text")))
     return based.withColumn("added", added_spans(F.col("text"), F.col("base"), model))
 
@@ -254,8 +259,9 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets; other columns stay."""
     model, names = fit(docs.sparkSession), F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    text = F.coalesce(F.col("__text"), F.lit(""))
-    out = docs.withColumn("__text", F.col(text_col)).withColumn("__base", base_spans(text))
-    out = out.withColumn("__all", F.concat("__base", added_spans(text, F.col("__base"), model)))
-    new = S.replace(text, F.col("__all"), lambda s: F.get(names, s["kind"]))
-    return out.withColumn(text_col, F.when(F.size("__all") > 0, new).otherwise(F.col("__text"))).select(*docs.columns)
+    given, base, found = (unused(docs.columns, name) for name in ("given", "base", "found"))
+    text = F.coalesce(F.col(given), F.lit(""))
+    out = docs.withColumn(given, F.col(quoted(text_col)).cast("string")).withColumn(base, base_spans(text))
+    out = out.withColumn(found, F.concat(base, added_spans(text, F.col(base), model)))
+    new = S.replace(text, F.col(found), lambda s: F.get(names, s["kind"]))
+    return out.withColumn(text_col, F.when(F.size(found) > 0, new).otherwise(F.col(given))).select(*map(quoted, docs.columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -330,7 +331,7 @@ def test_entropy_windows_match_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.r for r in df.select("doc_id", secrets._entropy_range(F.col("text")).alias("r")).collect()}
     for i, t in enumerate(texts):
-        limit = secrets.HEX_BITS if re.fullmatch("[0-9a-fA-F]+", t) else secrets.MIXED_BITS
+        limit = next(bits for pattern, bits in secrets.CLASSES if re.search(pattern, t))
         hot = [k for k in range(len(t) - 19) if entropy(t[k : k + 20]) >= limit + 1e-9]
         near = any(abs(entropy(t[k : k + 20]) - limit) < 1e-9 for k in range(len(t) - 19))
         if not near:
@@ -382,6 +383,55 @@ def test_blanked_texts_keep_their_places(spark):
     assert [r[0] for r in df.select(S.blank(F.col("t"), F.col("s"), "_")).collect()] == ["a_____fg_ij", "abc"]
 
 
+@pytest.mark.parametrize("op", ["add", "most"])
+def test_running_sums(spark, op):
+    rng = np.random.default_rng(6)
+    lists = [rng.integers(0, 50, size=n).tolist() for n in (0, 1, 2, 63, 64, 65, 127, 128, 129, 1_000, 9_001)]
+    df = spark.createDataFrame(list(enumerate(lists)), "i int, x array<int>")
+    fold = (lambda a, b: a + b) if op == "add" else F.greatest
+    got = {r.i: r.y for r in df.select("i", S.running(F.col("x"), fold).alias("y")).collect()}
+    for i, x in enumerate(lists):
+        want = np.cumsum([0, *x]) if op == "add" else np.maximum.accumulate([0, *x])
+        assert got[i] == want[:-1].tolist() if x else got[i] == []
+
+
+def test_spans_that_stay_apart_match_a_plain_greedy_choice(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        starts = rng.integers(0, 400, size=rng.integers(0, 90))
+        rows.append((i, [(int(a), 4, int(a + rng.integers(1, 25)), "v") for a in starts]))
+    df = spark.createDataFrame(rows, f"i int, s {S.SPAN}")
+    got = {r.i: [tuple(x) for x in r.k] for r in df.select("i", S.apart(F.col("s")).alias("k")).collect()}
+    for i, spans in rows:
+        kept = []
+        for s in spans:
+            if all(o[2] <= s[0] or s[2] <= o[0] for o in kept):
+                kept.append(s)
+        assert sorted(got[i]) == sorted(kept)
+
+
+def test_pieces_of_chunks(spark):
+    text = "".join(chr(97 + i % 26) if i % 7 else "😀" for i in range(5_000))
+    df = spark.createDataFrame([(a, b) for a in (-5, 0, 3, 1_020, 1_024, 4_990) for b in (0, 4, 1_024, 1_030, 3_500, 5_000, 5_100)], "a int, b int")
+    got = df.select("a", "b", S.piece(S.chunks(F.lit(text)), F.col("a"), F.col("b")).alias("p")).collect()
+    assert all(r.p == text[max(0, r.a) : max(0, r.b)] for r in got)
+
+
+def test_scans_of_very_long_texts(spark):
+    """Texts of 2 MB: short numbers, keys, one run of key characters, contacts. Quadratic work would take hours."""
+    rng, key = np.random.default_rng(1), "q8ZrT2mXw9LkP4vNb7HsD1fG"
+    texts = [" ".join(map(str, rng.integers(100, 99_999, size=350_000))), f"key {key} is, " * 50_000, key * 80_000, "token=abcdefgh12 AKIAABCDEFGH1234 " * 60_000, "call me on 555-123-4567 or mail a@b.org, " * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.time()
+    secret = {r.doc_id: r for r in secrets.scan_secrets(df).select("doc_id", F.size("base").alias("base"), F.size("added").alias("added")).collect()}
+    assert (secret[1].added, secret[2].added, secret[3].base) == (50_000, 1, 120_000)
+    private = {r.doc_id: r for r in pii.scan_pii(df).select("doc_id", F.size("base").alias("base"), F.size("added").alias("added")).collect()}
+    assert (private[4].base, private[4].added) == (50_000, 50_000)
+    cut = secrets.redact_secrets(df.where("doc_id = 1")).first().text
+    assert cut == "key [SECRET] is, " * 50_000 and time.time() - began < 240
+
+
 @pytest.mark.parametrize("scan", [secrets.scan_secrets, pii.scan_pii])
 def test_scans_of_edges(scan, edge, none):
     assert scan(edge).count() == len(EDGE) and scan(none).count() == 0
