@@ -42,9 +42,8 @@ def materialise(df: DataFrame, batch_rows: int = 512) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH_ROWS, before)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)  # also what a failed write left
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,8 @@ on the full sets (as sorted 64-bit shingle hashes). Components of the links are
 1. Sketch: the sorted distinct hashes of a document fall into `bins` equal ranges; the first hash of a range is its
    minimum. An empty range takes the value of the filled range that comes first in its own random order (optimal
    densification), so ranges stay independent for short texts too. `rows` values make a band.
-2. Documents with equal sets are one node (the smallest doc_id), which removes groups of exact copies before any pair.
+2. Rows with equal sets are one class, which removes groups of exact copies before any pair. A class is a node, named by the
+   smallest record number among its rows; that row's text stands for it, so classes of one id are never mixed up.
 3. Nodes that share a band are a bucket. Each node gets one edge to the smallest node of its bucket: as many edges as
    members. An edge is confirmed by intersecting both sets.
 4. Exactness: where candidates that hang together (a cluster) still fall into several components, the members of all but its
@@ -15,8 +16,15 @@ on the full sets (as sorted 64-bit shingle hashes). Components of the links are
 
 With bins = 240, rows = 6 a pair at similarity 0.8 shares no band with probability (1 - 0.8**6)**40 < 6e-6.
 
+Hot groups: exact copies meet only in partial aggregates and in a salted join; members of a large bucket are dealt by (bucket,
+salt) with about SALTED to a part; the joins that remain on a bucket or an id move a few numbers a row and are left to the
+splitting of skewed partitions at run time. Rows without words or id take no part in any join.
+
 Nulls and texts without words: an empty set, linked with nothing. Rows without an id: no component, never linked. Rows that
-share an id are one document. Repeated rows give repeated result rows. An empty table gives an empty result.
+share an id are one document: each text is compared by its own set, and all of them belong to one group (texts without words
+excepted). Ids are of any type with an order; the smallest names the group, so ties don't arise. Repeated rows give repeated
+result rows. An empty table gives an empty result. Very long texts: a set is 8 bytes a shingle, one text at a time. Other
+columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -30,10 +38,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, batch, materialise, text_bytes
+from .common import Batches, batch, materialise, quoted, text_bytes, unused
 from .shingles import WordHashes, mix, shingle_set, words
 
-_SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+SALTED = 256
+_SALTS = 16
 
 
 def one_permutation(hashes: np.ndarray, edges: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -55,12 +64,12 @@ def ranges(bins: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketch(shingle: int, bins: int, rows: int, seed: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+        schema = pa.schema([("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
         known, (edges, order) = WordHashes(), ranges(bins, seed)
         salt = mix(np.arange(1, bins // rows + 1, dtype=np.uint64))
         for b in batches:
             sizes, keys, bands = [], [], []
-            for text in text_bytes(b.column(1)):
+            for text in text_bytes(b.column(3)):
                 s = shingle_set(known.of(words(text)), shingle)
                 sizes.append(len(s))
                 if not len(s):
@@ -72,7 +81,8 @@ def _sketch(shingle: int, bins: int, rows: int, seed: int) -> Callable[[Batches]
                 for j in range(rows):
                     out = mix(out + signature[:, j])
                 bands.append(out.view(np.int64))
-            yield batch(schema, b.column(0), sizes, keys, bands)
+            made = batch(schema, sizes, keys, bands)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made.columns], names=["row", "doc_id", "text_key", *schema.names])
 
     return run
 
@@ -124,9 +134,13 @@ def _open_clusters(members: DataFrame, candidates: DataFrame, roots: DataFrame)
 
     rest: the node is outside the largest component of its cluster. Two members were compared in full already.
     """
-    labelled = members.where("members > 2").select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    nodes = labelled.join(mixed, "bucket").groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+    labelled = members.where("members > 2").select("bucket", "node", "n", "members").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    salts = F.ceil(F.col("members") / SALTED).cast("int")
+    labelled = labelled.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+    parts = labelled.groupBy("bucket", "salt").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("members").alias("members"))
+    mixed = parts.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("members").alias("members")).where("lo <> hi")
+    mixed = mixed.select("bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    nodes = labelled.join(mixed, ["bucket", "salt"]).groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"))
     clusters = components(candidates.select("u", "v")).select("node", F.col("root").alias("cluster"))
     nodes = materialise(nodes.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")))
     largest = nodes.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots"))
@@ -175,20 +189,40 @@ def _meet(percent: int) -> Callable:
     return run
 
 
+def _salted(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(_SALTS)).cast("int"))
+
+
+def _every_salt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+
+
+def _same_id(whole: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) that join the classes of rows with one id."""
+    several = whole.select("doc_id", "set_key", F.xxhash64("set_key").alias("k"))
+    split = several.groupBy("doc_id").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("doc_id")
+    rows = materialise(several.join(split, "doc_id").select("doc_id", "set_key").distinct().join(classes.select("set_key", "node"), "set_key").select("doc_id", "node"))
+    least = rows.groupBy("doc_id").agg(F.min("node").alias("u"))
+    return rows.join(least, "doc_id").where("node <> u").select("u", F.col("node").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins: int = 240, rows: int = 6, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns doc_id, n_shingles, component_id (smallest id of the group) and kept for every row of docs."""
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = materialise(given.mapInArrow(_sketch(shingle, bins, rows, seed), _SKETCH))
+    given = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    numbered = given.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", "text")
+    kind = given.schema["doc_id"].dataType.simpleString()
+    sketch = f"row long, doc_id {kind}, text_key long, n_shingles long, set_key binary, bands array<long>"
+    sketches = materialise(numbered.mapInArrow(_sketch(shingle, bins, rows, seed), sketch))
     whole = sketches.where("set_key is not null and doc_id is not null")
-    nodes = whole.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("s"))
-    nodes = nodes.select("set_key", F.col("s.doc_id").alias("node"), F.col("s.n_shingles").alias("n"), F.col("s.bands").alias("bands"))
-    in_bands = materialise(nodes.select("node", "n", F.explode("bands").alias("bucket")))
+    first = F.min(F.struct("row", "doc_id", "text_key", "n_shingles", "bands"))
+    classes = whole.groupBy("set_key").agg(first.alias("s"), F.min("doc_id").alias("least"), F.count("*").alias("same"))
+    classes = materialise(classes.select("set_key", F.col("s.row").alias("node"), F.col("s.n_shingles").alias("n"), F.col("s.doc_id").alias("doc_id"), F.col("s.text_key").alias("text_key"), "least", "same", F.col("s.bands").alias("bands")))
+    in_bands = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = in_bands.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("centre"), F.count("*").alias("members")).where("members > 1")
-    buckets = materialise(shared)
-    members = materialise(in_bands.join(buckets, "bucket"))
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = given.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = materialise(texts.mapInArrow(_sets(shingle), "node long, hashes binary"))
+    members = materialise(in_bands.join(materialise(shared), "bucket"))
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key")
+    texts = given.join(wanted, ["doc_id", "text_key"]).groupBy("doc_id", "text_key", "node").agg(F.min("text").alias("text"))
+    sets = materialise(texts.select("node", "text").mapInArrow(_sets(shingle), "node long, hashes binary"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """pairs: u, un, v, vn; sizes alone rule out many."""
@@ -198,19 +232,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
         return materialise(near.join(b, "v").join(a, "u").select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long"))
 
     candidates = members.where("node <> centre.node").select(F.col("centre.node").alias("u"), F.col("centre.n").alias("un"), F.col("node").alias("v"), F.col("n").alias("vn"))
-    links = confirm(candidates)
+    links = confirm(candidates).union(_same_id(whole, classes))
     roots = components(links)
     rest = _open_clusters(members, candidates, roots)
     more = materialise(_cells(rest, sets, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
-    keyed = whole.groupBy("set_key").agg(F.min("doc_id").alias("node")).join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", "set_key").join(keyed, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return _labelled(sketches, classes, roots)
+
+
+def _labelled(sketches: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Every row with the smallest id of its group. Rows of classes that stand alone meet nothing."""
+    roots = roots.union(roots.select("root", "root").distinct())  # a group's own root too
+    rooted = _salted(classes.select("set_key", "node", "least").join(roots, "node"), "node")
+    groups = _every_salt(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    linked = rooted.join(groups, ["root", "salt"]).select("set_key", "component_id")
+    copies = classes.where("same > 1").join(roots, "node", "left_anti").select("set_key", F.col("least").alias("component_id"))
+    keyed = _every_salt(linked.union(copies))
+    inside = _salted(sketches.where("set_key is not null and doc_id is not null").select("row", "doc_id", "n_shingles", "set_key"), "row").join(keyed, ["set_key", "salt"], "left")
+    outside = sketches.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = inside.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).union(outside)
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the near-duplicates of a smaller id. Rows that share an id stay together; rows without one stay."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("kept = false").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    gone = unused(docs.columns, "gone")
+    ids = near_duplicates(docs, id_col=id_col, **options).where("kept = false").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, F.col(quoted(id_col)) == F.col(gone), "left_anti")

@@ -507,6 +507,44 @@ def test_open_clusters_are_settled_exactly(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, shingle=2).collect()} == want and len(set(want.values())) > 3
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id with different texts, one huge exact group, one huge near group, nulls; ids as numbers and as strings."""
+    rng = np.random.default_rng(12)
+    base = lambda: [f"w{k}" for k in rng.integers(0, 5_000, size=60)]
+    a, b = base(), base()
+    near = lambda w: " ".join([*w[:-1], f"x{rng.integers(0, 10**6)}"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(b)), (9, " ".join(b)), (3, near(a)), (11, " ".join(base())), (12, None), (12, "")]
+    rows += [(100 + i, "copy " + " ".join(a[::-1])) for i in range(400)] + [(1_000 + i, near(b[::-1])) for i in range(400)]
+    rows += [(2_000, " ".join(base())), (2_000, near(a[::-1])), (None, " ".join(b)), (None, None)]
+
+    def plain():
+        sets, root = [(i, shingle_set(t, 2)) for i, t in rows], list(range(len(rows)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, (i, s) in enumerate(sets):
+            for y in range(x):
+                j, t = sets[y]
+                if i is not None and j is not None and s and t and (i == j or 100 * len(s & t) >= 80 * len(s | t)):
+                    root[find(x)] = find(y)
+        least = {}
+        for x, (i, s) in enumerate(sets):
+            if i is not None and s:
+                least[find(x)] = min(least.get(find(x), i), i)
+        return Counter((i, len(s), least[find(x)] if s and i is not None else i) for x, (i, s) in enumerate(sets))
+
+    want = plain()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, shingle=2).collect()) == want
+    assert {(9, 59, 3), (7, 59, 3)} <= set(want)
+    named = df.select(F.lpad(F.col("doc_id").cast("string"), 6, "0").alias("doc_id"), "text")
+    out = neardup.near_duplicates(named, shingle=2).collect()
+    assert Counter((r.doc_id and int(r.doc_id), r.n_shingles, r.component_id and int(r.component_id)) for r in out) == want
+
+
 def test_near_duplicate_edges(edge, none):
     out = neardup.near_duplicates(edge).collect()
     assert len(out) == len(EDGE)
