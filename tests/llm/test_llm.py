@@ -272,6 +272,56 @@ def test_decontamination_planted(spark):
     assert decontam.find_contained(d.limit(0), b).count() == 0 and decontam.find_contained(d, b.limit(0)).count() == 0
 
 
+def brute_contained(docs, items, percent, size=5):
+    """Shingles of an item's texts by width, of a document's rows together."""
+    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want, held = defaultdict(set), defaultdict(list)
+    for i, t in items:
+        if w := cut(t):
+            want[i, min(len(w), size)] |= grams(w, min(len(w), size))
+    for i, t in docs:
+        held[i].append(cut(t))
+    out = set()
+    for d, texts in held.items():
+        for (i, width), g in want.items():
+            both = len(g & set().union(*(grams(w, width) for w in texts)))
+            if both and 100 * both >= percent * len(g):
+                out.add((d, i, both, len(g)))
+    return out
+
+
+@pytest.mark.parametrize("percent", [20, 50, 80, 100])
+def test_decontamination_matches_brute_force(spark, monkeypatch, percent):
+    """Items of 1 to 40 words and some of hundreds, parts of them in documents, item ids with two texts, ids with two rows."""
+    rng = np.random.default_rng(percent)
+    monkeypatch.setattr(decontam, "BLOCK", 16)
+    word = lambda: f"w{rng.integers(0, 3_000)}"
+    items = [(n, " ".join(word() for _ in range(n))) for n in range(1, 41)] + [(100 + n, " ".join(word() for _ in range(40 * n))) for n in (2, 5, 9)]
+    items += [(7, " ".join(word() for _ in range(9))), (8, "a b"), (30, items[29][1]), (60, None), (61, "!"), (None, "null item of six words here")]
+    docs = []
+    for k, (_, t) in enumerate(items):
+        w = (t or "").split()
+        for share in (0.2, 0.5, 0.8, 0.95, 1.0):
+            n = math.ceil(share * len(w))
+            at = rng.integers(0, len(w) - n + 1) if w else 0
+            docs.append((int(rng.integers(0, 150)) if k % 2 else 1_000 + len(docs), " ".join([*(word() for _ in range(rng.integers(0, 60))), *w[at : at + n], *(word() for _ in range(5))])))
+    docs += [(None, items[20][1]), (5_000, None), (5_001, "")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contained(docs, items, percent)
+    assert {tuple(r) for r in decontam.find_contained(d, b, percent=percent).collect()} == want and len(want) > 20
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in decontam.find_contained(d, b, percent=percent).collect()} == want
+
+
+def test_an_item_of_two_texts_is_their_union(spark):
+    a, b = ([f"{x}{k}" for k in range(20)] for x in "ab")
+    d = spark.createDataFrame([(1, " ".join([*a[:13], "x", *b[:13]]))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(a)), (1, " ".join(b))], "item_id long, text string")
+    assert decontam.find_contained(d, items).count() == 0
+    assert [tuple(r) for r in decontam.find_contained(d, items, percent=50).collect()] == [(1, 1, 18, 32)]
+
+
 def test_decontamination_repeated_rows(spark, edge):
     items = edge.select(F.col("doc_id").alias("item_id"), "text", "part")
     found = decontam.find_contained(edge, items).where("item_id = 5").collect()
