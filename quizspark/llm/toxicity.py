@@ -8,9 +8,14 @@ executors): features whose presence depends on the label (G-test) get weights by
 a counterfactual one: for each labelled sentence that holds an identity term, the term is swapped with the others of its
 set, and the squared change of the score is penalised. So a group's mention alone can't raise a score.
 
-Nulls, empty texts and texts without words score sigmoid(bias). Labels that are null are not learned from; several labels of
-one document count each. With no labels, or labels of one kind, every score is the smoothed label rate (0.5 without any).
-Repeated rows are scored each; other columns are ignored. Memory: a weight table of at most MAX_FEATURES, a bounded word cache.
+The fit counts a row's features as the score does: how many of its distinct words have the feature, without a limit. So the
+fitted score of a labelled row is its score.
+
+Nulls, empty texts and texts without words score sigmoid(bias). Labels that are null are not learned from; different
+labels of one document count each. With no labels, or labels of one kind, every score is the smoothed label rate (0.5 without any).
+Ties: features of equal evidence are ordered by their hash. Repeated rows are scored each; an empty table gives an empty result.
+Ids are of any type. Very long texts: the distinct words of one text at a time are held. Other columns are ignored, whatever
+they are called; keep_clean keeps them. Memory: a weight table of at most MAX_FEATURES, a bounded word cache.
 """
 
 from __future__ import annotations
@@ -24,23 +29,24 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
-from .common import Batches, batch
+from .common import Batches, batch, quoted
 
 MAX_ROWS = 10_000
 MAX_FEATURES = 1_500
 G_LEAST = 12.0
 COUNTERFACTUAL = 4.0
 
-#: Sets of terms that can stand for one another.
+#: Sets of terms that can stand for one another, in English, Spanish, French and German.
 IDENTITY_TERMS = (
     ("women", "men"),
     ("woman", "man"),
     ("girls", "boys"),
     ("girl", "boy"),
     ("she", "he"),
+    ("her", "his"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics"),
     ("gay", "lesbian", "straight", "bisexual", "transgender", "queer"),
@@ -48,8 +54,31 @@ IDENTITY_TERMS = (
     ("immigrants", "natives", "refugees", "citizens"),
     ("old", "young"),
     ("disabled", "deaf", "blind"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("ella", "él"),
+    ("ellas", "ellos"),
+    ("niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("inmigrantes", "nativos", "refugiados", "ciudadanos"),
+    ("negros", "blancos", "asiáticos", "latinos", "árabes", "africanos"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("elle", "il"),
+    ("elles", "ils"),
+    ("filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("immigrés", "natifs", "réfugiés", "citoyens"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("sie", "er"),
+    ("mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    ("einwanderer", "einheimische", "flüchtlinge", "bürger"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner"),
 )
-_SWAPS = {w: tuple(x for x in group if x != w) for group in IDENTITY_TERMS for w in group}
+_SWAPS = {w: tuple(dict.fromkeys(x for group in IDENTITY_TERMS if w in group for x in group if x != w)) for group in IDENTITY_TERMS for w in group}
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -148,7 +177,7 @@ def _fit_rows(rows: pa.Table, names: list[int], counterfactual: float) -> Model:
     at = {name: k for k, name in enumerate(names)}
     x = np.zeros((len(y), len(names)), dtype=np.float32)
     for r, (found, counts) in enumerate(zip(rows.column("features").to_pylist(), rows.column("counts").to_pylist(), strict=True)):
-        x[r, [at[f] for f in found]] = np.minimum(counts, 4)
+        x[r, [at[f] for f in found]] = counts
     pairs = Counter(s for swap in rows.column("swaps").to_pylist() for s in swap)
     change = np.zeros((len(pairs), len(names)), dtype=np.float32)
     for k, pair in enumerate(pairs):
@@ -211,7 +240,8 @@ def _score(model: Model) -> Callable[[Batches], Batches]:
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns the id and a score in (0, 1) for every row."""
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(_score(model), f"{id_col} {dict(docs.dtypes)[id_col]}, score double")
+    given = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string"))
+    return given.mapInArrow(_score(model), T.StructType([given.schema[0], T.StructField("score", T.DoubleType())]))
 
 
 def _keep(model: Model, at: int, threshold: float) -> Callable[[Batches], Batches]:
@@ -229,7 +259,13 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, allowed, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(label, text) of at most max_rows labelled rows for which `allowed` holds, by hash order of the id."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed).select("doc_id", F.col(label).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    return docs.join(F.broadcast(chosen), "doc_id").select("label", "text")  # max_rows ids at most
+    """(label, text) of at most max_rows labelled documents for which `allowed` holds, by hash order of the id.
+
+    Of rows that share an id, the text of the smallest hash is learned from; different labels of a document give a row each.
+    """
+    chosen = labels.where(F.col(quoted(label)).isNotNull() & F.col("doc_id").isNotNull() & allowed).select(F.col("doc_id").alias("of"), F.col(quoted(label)).cast("int").alias("label"))
+    chosen = chosen.distinct().orderBy(F.xxhash64("of"), "of", "label").limit(max_rows)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    met = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))  # max_rows ids at most
+    place = F.row_number().over(Window.partitionBy("of", "label").orderBy(F.xxhash64("text")))  # cut to one before the shuffle, too
+    return met.withColumn("place", place).where("place = 1").select("label", "text")
