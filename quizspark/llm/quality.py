@@ -4,11 +4,14 @@ Every text is cut into chunks of about CHUNK bytes, each compressed alone with e
 by all of it and never by what its own beginning taught the compressor. Feature: (bad size - good size) / (bad size + good size)
 over the chunks' sums. A logistic curve fitted on labelled rows that gave nothing to the dictionaries makes it a score.
 
-Fit on a bounded sample of labelled rows (MAX_ROWS, by hash order): two thirds give the dictionaries' samples, at most
-MAX_CHUNKS chunks for either label, those of the smallest hash wherever they stand, the rest calibrates.
-
-Nulls and empty texts: difference 0. Without labels of both kinds every score is the smoothed label rate. Repeated rows are
-scored each; other columns are ignored.
+Fit on a bounded sample of labelled rows (max_rows of learn, MAX_ROWS here, by hash order): two thirds give the dictionaries'
+samples, the rest calibrates. The driver holds at most max_chunks chunks of either label (a parameter of fit): of all chunks of
+the whole texts those of the smallest hash, wherever they stand, chosen by one rule for both labels.
+
+Nulls and empty texts: difference 0. Where a label gave no chunks, every score is the smoothed share of label 1 among all labelled
+rows (0.5 without any). Where the rows kept for calibration are of one label or none, all labelled rows calibrate. Ties: chunks of
+equal hash are equal. Repeated rows are scored each; an empty table gives an empty result. Ids are of any type. Very long texts
+are compressed chunk by chunk. Other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 from pyspark.sql import functions as F
 
-from .common import Batches, batch, text_bytes
+from .common import Batches, batch, quoted, text_bytes
 
 MAX_ROWS = 12_000
 MAX_CHUNKS = 6_000
@@ -61,7 +65,7 @@ def dictionary(samples: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY, samples, k=256, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[-DICTIONARY:]
+        return b"".join(samples)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -85,7 +89,7 @@ def _sample(share: float) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         schema = pa.schema([("label", pa.int32()), ("chunk", pa.binary())])
         for b in batches:
-            rows = [(label, c) for label, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True) for c in chunks(t or b"") if len(c) >= 8 and hash_order(c) < below]
+            rows = [(label, c) for label, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True) for c in chunks(t or b"") if hash_order(c) < below]
             yield batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 2))
 
     return run
@@ -111,37 +115,39 @@ def with_roles(labelled: DataFrame) -> DataFrame:
     return labelled.withColumn("role", F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(3)))
 
 
-def fit(labelled: DataFrame) -> Model:
+def fit(labelled: DataFrame, max_chunks: int = MAX_CHUNKS) -> Model:
     """labelled: label, text, role (0, 1: dictionary, 2: calibration); at most MAX_ROWS rows."""
     for_dictionaries = labelled.where("role < 2")
-    total = {r[0]: r[1] for r in for_dictionaries.groupBy("label").agg(F.sum(F.greatest(F.lit(1.0), F.round(F.octet_length("text") / CHUNK)))).collect()}
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    total = {r[0]: r[1] for r in for_dictionaries.groupBy("label").agg(F.sum(F.greatest(F.lit(1.0), F.round(size / CHUNK)))).collect()}
     samples: dict[int, list[bytes]] = {0: [], 1: []}
     for label in samples:
-        share = min(1.0, 1.25 * MAX_CHUNKS / max(1, total.get(label) or 0))  # some over, so that the smallest MAX_CHUNKS are among them
+        share = min(1.0, 1.25 * max_chunks / max(1, total.get(label) or 0))  # some over, so that the smallest max_chunks are among them
         rows = for_dictionaries.where(F.col("label") == label).select("label", "text").mapInArrow(_sample(share), "label int, chunk binary").toArrow()
-        samples[label] = sorted(rows.column(1).to_pylist(), key=lambda c: hash_order(c))[:MAX_CHUNKS]
-    held = labelled.where("role = 2").select("label", "text")
+        samples[label] = sorted(rows.column(1).to_pylist(), key=hash_order)[:max_chunks]
     if not samples[0] or not samples[1]:
-        n1, n = held.agg(F.sum("label"), F.count("*")).first()
+        n1, n = labelled.agg(F.sum("label"), F.count("*")).first()
         rate = ((n1 or 0) + 1) / (n + 2)
         return Model(b"", b"", 0.0, math.log(rate / (1 - rate)))
     good, bad = dictionary(samples[1]), dictionary(samples[0])
-    rows = held.mapInArrow(_differences(good, bad), "label int, difference double").toArrow()
-    y, x = np.asarray(rows.column(0).to_pylist(), float), np.asarray(rows.column(1).to_pylist(), float)
+
+    def differences(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        found = rows.select("label", "text").mapInArrow(_differences(good, bad), "label int, difference double").toArrow()
+        return np.asarray(found.column(1).to_pylist(), float), np.asarray(found.column(0).to_pylist(), float)
+
+    x, y = differences(labelled.where("role = 2"))
     if len(y) == 0 or y.min() == y.max():
-        return Model(good, bad, 100.0, 0.0)
+        x, y = differences(labelled)
     return Model(good, bad, *calibrate(x, y))
 
 
 def hash_order(chunk: bytes) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(chunk)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns the id, the size difference and a score in (0, 1) for every row."""
-    given = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    x = given.mapInArrow(_differences(model.good, model.bad), f"{id_col} {dict(docs.dtypes)[id_col]}, difference double")
+    given = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string"))
+    x = given.mapInArrow(_differences(model.good, model.bad), T.StructType([given.schema[0], T.StructField("difference", T.DoubleType())]))
     z = F.lit(model.slope) * F.col("difference") + F.lit(model.intercept)
     return x.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z)))))
