@@ -1,13 +1,18 @@
 """Two-pass external shuffle: scatter uniformly into memory-sized buckets by a seeded hash, then Fisher-Yates each bucket.
 
 The concatenated buckets are one random permutation of the table; it is cut into `shards` runs of positions whose
-lengths differ by at most one (law "rows"). The hash is taken of the seed and the record's number in the scan, not of a
-key, so copies and hot keys spread evenly. The scan must number its records alike each time, as scans of files do;
-materialise other inputs first.
+lengths differ by at most one (law "rows"). The hash is taken of the seed and the record's place (file and row in it), not of a
+key, so copies and hot keys spread evenly, and the permutation depends on the seed and the files only, not on the cluster.
+A plain scan of Parquet files knows its places however it is split; any other input is written to the shared folder first, as
+numbering its rows twice could give two numberings.
 
-Memory: a bucket holds about `bucket_bytes` of text whatever the input; there are at most MAX_BUCKETS, whose offsets
-(8 bytes each) are broadcast. Nulls, empty and repeated rows are records like others; columns are passed on untouched,
-except that names the operator adds (size, law, shard, slot) replace such input columns. An empty table gives an empty result.
+Memory: a bucket holds about `bucket_bytes` of text whatever the input, and a task GROUP of them; their number grows with the
+bytes. Their offsets are running sums made by DataFrame functions, first over runs of RUN buckets, then over the runs, and reach
+their bucket by a cogroup: nothing is collected or broadcast.
+
+Nulls, empty and repeated rows are records like others, so ties need no rule; a text longer than bucket_bytes makes its
+bucket as much larger. Columns are passed on untouched, whatever they are called, except that names the operator adds (size, law,
+shard, slot) replace such input columns. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,10 +21,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 1_000_000
+from .common import materialise, quoted, unused
+
+GROUP = 8
+RUN = 4096
 _ADDED = ("size", "law", "shard", "slot")
 
 
@@ -33,12 +42,13 @@ def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
     return order
 
 
-def _shuffle(offsets, total: int, shards: int, seed: int) -> Callable:
-    def run(key: tuple[pa.Scalar, ...], bucket: pa.Table) -> pa.Table:
-        k = key[0].as_py()
-        bucket = bucket.sort_by("__record").drop_columns(["__bucket", "__record"])
-        bucket = bucket.take(pa.array(fisher_yates(bucket.num_rows, (seed, k))))
-        at = offsets.value[k] + np.arange(bucket.num_rows, dtype=np.int64)
+def _shuffle(total: int, shards: int, seed: int, bucket_col: str, place: str) -> Callable:
+    def run(key: tuple[pa.Scalar, ...], bucket: pa.Table, offset: pa.Table) -> pa.Table:
+        places = [pa.compute.struct_field(bucket.column(place), k) for k in (0, 1)]
+        order = pa.compute.sort_indices(pa.table(places, names=["file", "row"]), sort_keys=[("file", "ascending"), ("row", "ascending")])
+        bucket = bucket.drop_columns([bucket_col, place]).take(order)
+        bucket = bucket.take(pa.array(fisher_yates(bucket.num_rows, (seed, key[0].as_py()))))
+        at = offset.column("before")[0].as_py() + np.arange(bucket.num_rows, dtype=np.int64)
         # Python's integers would be needed beyond 2**63 / shards rows.
         shard = at * shards // total
         first = -(-shard * total // shards)
@@ -47,22 +57,45 @@ def _shuffle(offsets, total: int, shards: int, seed: int) -> Callable:
     return run
 
 
-def external_shuffle(df: DataFrame, shards: int, text_col: str = "text", seed: int = 17, bucket_bytes: int = 8 << 20) -> DataFrame:
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is nothing but projections and filters of one table of Parquet files."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.toString().split("\n")[0]
+
+
+def _offsets(counts: DataFrame) -> DataFrame:
+    """(bucket, n) to (bucket, before): the rows of all buckets before it. A run's buckets meet, then the runs' sums."""
+    run = F.floor(F.col("bucket") / RUN).cast("long")
+    inside = counts.withColumn("run", run).withColumn("inside", F.sum("n").over(Window.partitionBy("run").orderBy("bucket")) - F.col("n"))
+    runs = counts.groupBy(run.alias("run")).agg(F.sum("n").alias("all"))
+    runs = runs.withColumn("before_run", F.sum("all").over(Window.orderBy("run")) - F.col("all"))  # a row for RUN buckets
+    return inside.join(runs.drop("all"), "run").select("bucket", (F.col("inside") + F.col("before_run")).alias("before"))
+
+
+def external_shuffle(df: DataFrame, shards: int, text_col: str = "text", seed: int = 17, bucket_bytes: int = 16 << 20) -> DataFrame:
     """Adds size (UTF-8 bytes of the text plus 1), law, shard and slot (place in the shard, gapless from 0) to every row."""
-    spark = df.sparkSession
     df = df.drop(*_ADDED)
-    record = F.monotonically_increasing_id()
-    rows, total_bytes = df.select(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
-    buckets = min(MAX_BUCKETS, max(2 * spark.sparkContext.defaultParallelism, -(-(total_bytes + 64 * rows) // bucket_bytes)))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "__record"), F.lit(buckets)).cast("int")
-    placed = df.withColumn("__record", record).withColumn("__bucket", bucket)
-    counts = np.zeros(buckets + 1, dtype=np.int64)
-    for k, n in placed.groupBy("__bucket").count().collect():  # a row per bucket
-        counts[k + 1] = n
-    offsets = spark.sparkContext.broadcast(np.cumsum(counts)[:-1])
+    if not _is_scan(df):
+        df = materialise(df)
+    octets = F.octet_length(F.col(quoted(text_col)).cast("string"))
+    rows, total_bytes = df.select(F.count(F.lit(1)), F.coalesce(F.sum(octets), F.lit(0))).first()
+    buckets = -(-(total_bytes + 64 * rows) // bucket_bytes) or 1
+    bucket_col, place = unused(df.columns, "bucket"), unused(df.columns, "place")
+    where = F.struct(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+
+    def bucket(file: Column, row: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), file, row), F.lit(buckets))
+
+    placed = df.withColumn(place, where).withColumn(bucket_col, bucket(F.col(f"{place}.file_name"), F.col(f"{place}.row_index")))
+    counts = materialise(placed.groupBy(F.col(bucket_col).alias("bucket")).agg(F.count("*").alias("n")))
+    tasks = -(-buckets // GROUP)
     out = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    shuffled = placed.groupBy("__bucket").applyInArrow(_shuffle(offsets, max(1, rows), shards, seed), out)
-    return shuffled.withColumn("size", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).withColumn("law", F.lit("rows"))
+    dealt = placed.repartition(tasks, bucket_col).groupBy(bucket_col)
+    offsets = _offsets(counts).repartition(tasks, "bucket").groupBy("bucket")
+    shuffled = dealt.cogroup(offsets).applyInArrow(_shuffle(max(1, rows), shards, seed, bucket_col, place), out)
+    return shuffled.withColumn("size", F.coalesce(octets, F.lit(0)).cast("long") + 1).withColumn("law", F.lit("rows"))
 
 
 def write_shards(shuffled: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -82,6 +82,89 @@ def test_toxicity_ignores_neutral_group_mentions(spark):
     assert toxicity.WordWeights(fair).score("awful vermin everywhere") > 0.5
 
 
+def plain_toxicity(rows, texts):
+    """Fit and score written out, from (label, text); returns the score of each of texts."""
+    feats = {}
+
+    def of(word):
+        if word not in feats:
+            feats[word] = {"=" + word} | {"^" + word[:k] for k in (4, 5, 6) if len(word) > k} | {word[i : i + 5] for i in range(1, len(word) - 4)}
+        return feats[word]
+
+    words = lambda t: set(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    n, n1, pos, df = len(rows), sum(y for y, _ in rows), Counter(), Counter()
+    for y, t in rows:
+        found = set().union(*map(of, words(t))) if words(t) else set()
+        df.update(found)
+        pos.update(found if y else ())
+    xlog = lambda a, b: a * math.log(a / b) if a else 0.0
+
+    def g(f):
+        p, d = pos[f], df[f]
+        return 2 * (xlog(p, d * n1 / n) + xlog(d - p, d * (n - n1) / n) + xlog(n1 - p, (n - d) * n1 / n) + xlog(n - n1 - d + p, (n - d) * (n - n1) / n))
+
+    terms = {w for group in toxicity.IDENTITY_TERMS for w in group}
+    key = lambda f: toxicity.xxhash.xxh3_64_intdigest(f) >> 1
+    best = sorted((f for f in df if df[f] >= 5 and g(f) >= toxicity.G_LEAST), key=lambda f: (-g(f), key(f)))[: toxicity.MAX_FEATURES]
+    names = sorted(set(best).union(*map(of, terms)), key=key)
+    at = {f: k for k, f in enumerate(names)}
+
+    def row(t):
+        x = np.zeros(len(names) + 1)
+        x[-1] = 1
+        for w in words(t):
+            for f in of(w) & at.keys():
+                x[at[f]] += 1
+        return x
+
+    x, y, swaps = np.array([row(t) for _, t in rows]), np.array([y for y, _ in rows]), Counter()
+    for _, t in rows:
+        met = set()
+        for sentence in re.split(r"(?<=[.!?])\s+|\n+", t or ""):
+            for a in words(sentence) & terms:
+                met |= {(a, b) for group in toxicity.IDENTITY_TERMS if a in group for b in group if b not in words(sentence)}
+        swaps.update(met)
+    still = np.diag(np.append(np.full(len(names), 2e-4), 0))
+    for (a, b), times in swaps.items():
+        change = row(b) - row(a)
+        still += 2 * toxicity.COUNTERFACTUAL * times / sum(swaps.values()) * np.outer(change, change)
+    w = np.zeros(len(names) + 1)
+    for _ in range(60):  # plain damped Newton steps to the optimum
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = (p - y) @ x / n + still @ w
+        step = np.linalg.solve((x.T * (p * (1 - p) / n)) @ x + still + 1e-9 * np.eye(len(w)), slope)
+        w -= step / max(1.0, np.abs(step).max() / 4)
+    return [1 / (1 + math.exp(-max(-40, min(40, float(row(t) @ w))))) for t in texts]
+
+
+def test_toxicity_query_matches_a_plain_fit(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in docs}
+    rows = [(r.toxic, docs[r.doc_id]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if not held[r.doc_id]]
+    want = dict(zip(docs, plain_toxicity(rows, docs.values()), strict=True))
+    out = QUERIES["op1_toxicity"](spark, sf).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    for r in out:
+        assert r.held_out == held[r.doc_id] and abs(r.score - want[r.doc_id]) < 0.02 and r.predicted == (r.score >= 0.5)
+
+
+def test_toxicity_fit_counts_as_the_score_does(spark):
+    """A row with many words of one feature: its fitted logit is its score's."""
+    many = " ".join(f"vermin{a}{b}" for a in "abcdefgh" for b in "klmnop")
+    df = spark.createDataFrame([(1, many), (0, "a calm day")] * 10, "label int, text string")
+    model = toxicity.fit(df)
+    seen = Counter(f for w in toxicity.distinct_words(many) for f in toxicity.features(w))
+    assert max(seen.values()) > 40
+    logit = model.bias + sum(n * model.weights.get(f, 0.0) for f, n in seen.items())
+    assert math.isclose(toxicity.WordWeights(model).score(many), 1 / (1 + math.exp(-logit)), rel_tol=1e-9)
+
+
+def test_learned_rows_are_bounded(spark):
+    labels = spark.range(50).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    docs = spark.range(5_000).select((F.col("id") % 7).alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("x").alias("label"), F.lit("y").alias("of"))
+    assert toxicity.learn(docs, labels, "toxic", F.lit(True), max_rows=5).count() <= 5 < toxicity.learn(docs, labels, "toxic", F.lit(True)).count() == 7
+
+
 def test_toxicity_edges(spark, edge, none):
     labels = edge.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     model = toxicity.fit(toxicity.learn(edge, labels, "toxic", F.lit(True)))
@@ -108,13 +191,40 @@ def test_sharding_is_a_permutation_with_even_shards(spark, edge, none):
     assert all(sorted(s for s, _ in v) == list(range(len(v))) for v in by.values())
     ids = [i for _, i in sorted(by[0])]
     assert ids != sorted(ids)
-    again = sharding.external_shuffle(df, 16, bucket_bytes=20_000).select("doc_id", "shard", "slot").collect()
-    assert sorted(out) == sorted(again)
     edged = sharding.external_shuffle(edge, 16)
     assert edged.count() == len(EDGE) and edged.where("text is null").select("size").distinct().collect() == [(1,)]
     assert sharding.external_shuffle(none, 16).count() == 0
 
 
+def test_sharding_query_keeps_its_contract(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = QUERIES["op2_sharding"](spark, sf).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    by = defaultdict(list)
+    for r in out:
+        data = (docs[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "rows", None)
+        by[r.shard].append(r.slot)
+    assert set(by) == set(range(16)) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
+def test_sharding_of_any_input_and_any_cluster(spark, sf):
+    """A shuffled input is written first; a scan gives the same permutation however it is split."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert sharding._is_scan(docs.where("doc_id > 3")) and not sharding._is_scan(docs.repartition(3)) and not sharding._is_scan(docs.join(docs.select("doc_id"), "doc_id"))
+    shuffled = docs.select("doc_id", "text", F.rand().alias("r")).repartition(7).where("r < 0.9")
+    out = sharding.external_shuffle(shuffled, 4, bucket_bytes=20_000).select("shard", "slot").collect()
+    assert Counter(r.shard for r in out).most_common()[0][1] <= -(-len(out) // 4) and len(set(out)) == len(out)
+    whole = sorted(sharding.external_shuffle(docs, 4, bucket_bytes=20_000).select("doc_id", "shard", "slot").collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        again = sorted(sharding.external_shuffle(spark.read.parquet(f"{sf}/documents.parquet"), 4, bucket_bytes=20_000).select("doc_id", "shard", "slot").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert whole == again
+
+
 def test_fisher_yates_is_uniform():
     seen = Counter(tuple(sharding.fisher_yates(3, (5, k))) for k in range(6_000))
     assert len(seen) == 6 and min(seen.values()) > 850
@@ -230,13 +340,54 @@ def test_quality_learns_from_its_own_number_of_rows(spark, sf, monkeypatch):
     assert seen == [quality.MAX_ROWS]
 
 
+def test_quality_query_matches_a_plain_fit(spark, sf):
+    """Roles, chunks, dictionaries, calibration and scores written out."""
+    import zstandard
+
+    rows = {r.doc_id: r for r in quality.with_roles(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in rows}
+    labelled = [(r.quality, rows[r.doc_id]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if not held[r.doc_id]]
+
+    def cut(t):
+        n = max(1, round(len(t) / 1024))
+        step = math.ceil(len(t) / n) or 1
+        return [t[i : i + step] for i in range(0, len(t), step)]
+
+    by = []
+    for label in (1, 0):
+        pool = [c for y, r in labelled if y == label and r.role < 2 for c in cut((r.text or "").encode())]
+        by.append(zstandard.ZstdCompressionDict(quality.dictionary(sorted(pool, key=quality.hash_order)[: quality.MAX_CHUNKS])))
+
+    def difference(t):
+        sizes = []
+        for d in by:
+            z = zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(z.compress(c)) for c in cut((t or "").encode())))
+        return (sizes[1] - sizes[0]) / (sizes[1] + sizes[0]) if t else 0.0
+
+    x, y = (np.array(v, float) for v in zip(*((difference(r.text), y) for y, r in labelled if r.role == 2), strict=True))
+    slope, shift = quality.calibrate(x, y)
+    for r in QUERIES["op5_quality"](spark, sf).collect():
+        want = 1 / (1 + math.exp(-max(-40, min(40, slope * difference(rows[r.doc_id].text) + shift))))
+        assert r.held_out == held[r.doc_id] and math.isclose(r.score, want, abs_tol=1e-6) and r.predicted == (r.score >= 0.5)
+
+
+def test_quality_of_few_and_short_labels(spark):
+    roles = lambda rows: quality.with_roles(spark.createDataFrame(rows, "label int, text string"))
+    short = quality.fit(roles([(1, "ok"), (0, "bad")] * 30))
+    docs = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, short).collect()}
+    assert set(got.values()) == {0.5} or got[1] > 0.5 > got[2]
+    one = quality.fit(roles([(1, f"text {i} of one label") for i in range(20)]))
+    assert all(math.isclose(r.score, 21 / 22) for r in quality.score_quality(docs, one).collect())
+
+
 def test_dictionary_chunks_are_those_of_the_smallest_hash(spark, monkeypatch):
     rng, seen = np.random.default_rng(5), []
-    monkeypatch.setattr(quality, "MAX_CHUNKS", 60)
     monkeypatch.setattr(quality, "dictionary", lambda samples: seen.append(samples) or b"".join(samples))
     texts = ["".join(rng.choice(list("abcdefgh "), size=8 * 1024)) for _ in range(60)]
     rows = [(i % 2, t, 2 if i > 55 else 0) for i, t in enumerate(texts)]
-    quality.fit(spark.createDataFrame(rows, "label int, text string, role int"))
+    quality.fit(spark.createDataFrame(rows, "label int, text string, role int"), max_chunks=60)
     for label, samples in zip((1, 0), seen, strict=True):
         every = [c for y, t, role in rows if y == label and role < 2 for c in quality.chunks(t.encode())]
         assert samples == sorted(every, key=quality.hash_order)[:60]
