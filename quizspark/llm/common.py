@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,23 @@ def materialise(df: DataFrame, batch_rows: int = 512) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether df is nothing but projections and filters of one table of Parquet files."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.toString().split("\n")[0]
+
+
+def with_place(df: DataFrame, name: str) -> DataFrame:
+    """df with the place of each record: file and row in it. It is the same in each evaluation, however the files are split.
+
+    What isn't a plain scan of Parquet files is written to the shared folder first.
+    """
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return (df if is_scan(df) else materialise(df)).withColumn(name, place)
+
+
 def unused(taken: Iterable[str], name: str) -> str:
     """name, or with underscores behind it, such that no column of `taken` is called so in any case."""
     lower = {t.lower() for t in taken}

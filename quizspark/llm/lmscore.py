@@ -6,15 +6,21 @@ occurrences are taken off all counts (and off N), so no document vouches for its
 
 The relational plan, with relations packed into sorted columns instead of a row per n-gram (rows of 64-bit hashes would be
 several times the input on disk):
-1. Documents are dealt into parts of about PART bytes by a hash of the id. A part's distinct n-grams with their counts (the
-   map-side aggregate of the exploded n-grams) go to the hash range they belong to, a block for each part and range.
+1. Records are dealt into parts of about PART bytes by a hash of their place in the files, so equal ids or texts don't meet in
+   one part. A part's distinct n-grams with their counts (the map-side aggregate of the exploded n-grams) go to the hash range
+   they belong to, a block for each part and range.
 2. The count tables are partitioned by hash range: a range merges its blocks, sums counts and answers each block with the
    corpus counts of its n-grams. However frequent an n-gram, it comes once from a part, so no range is hot.
 3. A part joins the answers to its documents' n-grams and sums per document.
-The texts are shuffled once, compressed (steps 1 and 3 share the exchange). Blocks without n-grams are not sent.
+The texts are shuffled once, compressed (steps 1 and 3 share the exchange). Blocks without n-grams are not sent. All shuffles
+have as many partitions as the measured bytes ask for.
 
 n-grams meet as 64-bit hashes. Words: A-Z lower-cased, cut at ASCII white space. Nulls and texts without words: no words, score
-0. Repeated rows are documents of their own; a null id is an id like others. An empty table gives an empty result.
+0. Repeated rows are documents of their own; a null id is an id like others, ids are of any type. Ties don't arise. A very long text
+makes its part as much larger. An empty table gives an empty result. Other columns are ignored, whatever they are called.
+
+Limit: parts and ranges both grow with the corpus, so a block shrinks as the square of it: some 2,000 n-grams at 12 GB, two at 12 TB,
+where merging the blocks of groups of parts first would be needed at the price of a second shuffle of the blocks.
 """
 
 from __future__ import annotations
@@ -28,13 +34,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, materialise, text_bytes
+from .common import Batches, materialise, quoted, text_bytes, with_place
 from .shingles import WordHashes, mix, words
 
 ALPHA = 0.4
 UNSEEN = 0.5
 PART = 12 << 20
 RANGE = 2_000_000
+PARTS_A_TASK = 2
 
 
 class Words:
@@ -44,7 +51,6 @@ class Words:
         known, found, unzip = WordHashes(200_000), [], zstandard.ZstdDecompressor().decompress
         for t in part.column("text"):
             found.append(known.of(words(unzip(t.as_buffer())) if t.is_valid else []))
-        self.ids = part.column("doc_id").to_pylist()
         self.sizes = np.array([len(f) for f in found], dtype=np.int64)
         self.hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
         self.doc = np.repeat(np.arange(len(found), dtype=np.int32), self.sizes)
@@ -146,8 +152,8 @@ def _sum(order: int) -> Callable:
                 counts[ends] = counts_of_others(found, w.doc[ends], np.concatenate(totals))
             others.append(counts)
         out, single = scores(w.place, others)
-        n_single, log_ratio = (np.bincount(w.doc, weights=x, minlength=len(w.ids)) for x in (single, out))
-        return pa.table({"doc_id": pa.array(w.ids, pa.int64()), "n_words": w.sizes, "n_single": n_single.astype(np.int64), "log_ratio": log_ratio})
+        n_single, log_ratio = (np.bincount(w.doc, weights=x, minlength=len(w.sizes)) for x in (single, out))
+        return pa.table({"doc_id": part.column("doc_id"), "n_words": w.sizes, "n_single": n_single.astype(np.int64), "log_ratio": log_ratio})
 
     return run
 
@@ -169,17 +175,21 @@ def scores(place: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.
 
 
 def score_documents(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns doc_id, n_words and log_score for every row."""
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count(F.lit(1))).first()[0]
+    """Returns doc_id, n_words, log_score and word_score (log_score by word; 0 without words) for every row."""
+    given = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    kind = given.schema["doc_id"].dataType.simpleString()
+    records = with_place(given, "place")
+    total = records.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count(F.lit(1))).first()[0]
     parts, ranges = -(-total // PART) or 1, -(-total // (6 * RANGE)) or 1
-    dealt = given.withColumn("part", F.pmod(F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))), F.lit(parts)))
-    dealt = dealt.mapInArrow(_zip, "doc_id long, text binary, part long")
+    tasks = -(-parts // PARTS_A_TASK)
+    dealt = records.select("doc_id", "text", F.pmod(F.xxhash64("place.file", "place.row"), F.lit(parts)).alias("part"))
+    dealt = dealt.mapInArrow(_zip, f"doc_id {kind}, text binary, part long").repartition(tasks, "part")
     asked = dealt.groupBy("part").applyInArrow(_ask(order, ranges), "part long, n int, range long, size long, grams binary, counts binary")
-    answered = asked.groupBy("n", "range").applyInArrow(_answer, "part long, n int, range long, size long, totals binary")
-    again = dealt.select("doc_id", "text", "part")
-    summed = again.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(_sum(order), "doc_id long, n_words long, n_single long, log_ratio double")
+    answered = asked.repartition(order * -(-ranges // PARTS_A_TASK), "n", "range").groupBy("n", "range").applyInArrow(_answer, "part long, n int, range long, size long, totals binary")
+    back = answered.repartition(tasks, "part").groupBy("part")
+    summed = dealt.groupBy("part").cogroup(back).applyInArrow(_sum(order), f"doc_id {kind}, n_words long, n_single long, log_ratio double")
     scores = materialise(summed)
     n = scores.agg(F.sum("n_words")).first()[0] or 0
     others = F.greatest(F.lit(1), F.lit(n) - F.col("n_words"))
-    return scores.select("doc_id", "n_words", (F.col("log_ratio") - F.col("n_single") * F.log(others)).alias("log_score"))
+    score = F.col("log_ratio") - F.col("n_single") * F.log(others)
+    return scores.select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).otherwise(0.0).alias("word_score"))

@@ -46,7 +46,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = score_documents(table(spark, sf_dir, "documents"), order=3)
-    return scores.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
+    return scores.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("word_score", 3).alias("word_score"))
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,15 +130,15 @@ counted AS (SELECT x.doc_id, x.i, a.c AS c1, b.c AS c2, t.c AS c3, p.c AS before
 scored AS (SELECT c.doc_id, CASE WHEN c3 > 0 THEN ln(c3 / before2) WHEN c2 > 0 THEN ln(c2 / before1) + ln(0.4) * CASE WHEN i > 2 THEN 1 ELSE 0 END
            ELSE ln(CASE WHEN c1 > 0 THEN c1 ELSE 0.5 END / greatest(rest, 1)) + ln(0.4) * least(i - 1, 2) END AS s
            FROM counted c JOIN sizes USING (doc_id))
-SELECT doc_id, any_value(n_words) AS n_words, round(coalesce(sum(s), 0), 3) AS log_score FROM sizes LEFT JOIN scored USING (doc_id) GROUP BY doc_id
+SELECT doc_id, any_value(n_words) AS n_words, round(coalesce(sum(s), 0), 3) AS log_score, round(coalesce(avg(s), 0), 3) AS word_score FROM sizes LEFT JOIN scored USING (doc_id) GROUP BY doc_id
 """
 
 OP4_SQL = """
-WITH valid AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH valid AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-          FROM valid q JOIN valid c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM pairs QUALIFY rank <= 5
+pairs AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+          FROM valid q JOIN valid c ON q.vec_id % 50 = 0 AND c.r <> q.r AND len(c.v) = len(q.v))
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM pairs QUALIFY rank <= 5
 """
 
 OP9_SQL = r"""

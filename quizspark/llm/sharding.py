@@ -22,10 +22,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, Window, types as T
+from pyspark.sql import DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
-from .common import materialise, quoted, unused
+from .common import materialise, quoted, unused, with_place
 
 GROUP = 8
 RUN = 4096
@@ -57,14 +57,6 @@ def _shuffle(total: int, shards: int, seed: int, bucket_col: str, place: str) ->
     return run
 
 
-def _is_scan(df: DataFrame) -> bool:
-    """Whether df is nothing but projections and filters of one table of Parquet files."""
-    plan = df._jdf.queryExecution().analyzed()
-    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
-        plan = plan.children().head()
-    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.toString().split("\n")[0]
-
-
 def _offsets(counts: DataFrame) -> DataFrame:
     """(bucket, n) to (bucket, before): the rows of all buckets before it. A run's buckets meet, then the runs' sums."""
     run = F.floor(F.col("bucket") / RUN).cast("long")
@@ -77,18 +69,12 @@ def _offsets(counts: DataFrame) -> DataFrame:
 def external_shuffle(df: DataFrame, shards: int, text_col: str = "text", seed: int = 17, bucket_bytes: int = 16 << 20) -> DataFrame:
     """Adds size (UTF-8 bytes of the text plus 1), law, shard and slot (place in the shard, gapless from 0) to every row."""
     df = df.drop(*_ADDED)
-    if not _is_scan(df):
-        df = materialise(df)
+    bucket_col, place = unused(df.columns, "bucket"), unused(df.columns, "place")
+    records = with_place(df, place)
     octets = F.octet_length(F.col(quoted(text_col)).cast("string"))
-    rows, total_bytes = df.select(F.count(F.lit(1)), F.coalesce(F.sum(octets), F.lit(0))).first()
+    rows, total_bytes = records.select(F.count(F.lit(1)), F.coalesce(F.sum(octets), F.lit(0))).first()
     buckets = -(-(total_bytes + 64 * rows) // bucket_bytes) or 1
-    bucket_col, place = unused(df.columns, "bucket"), unused(df.columns, "place")
-    where = F.struct(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
-
-    def bucket(file: Column, row: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), file, row), F.lit(buckets))
-
-    placed = df.withColumn(place, where).withColumn(bucket_col, bucket(F.col(f"{place}.file_name"), F.col(f"{place}.row_index")))
+    placed = records.withColumn(bucket_col, F.pmod(F.xxhash64(F.lit(seed), f"{place}.file", f"{place}.row"), F.lit(buckets)))
     counts = materialise(placed.groupBy(F.col(bucket_col).alias("bucket")).agg(F.count("*").alias("n")))
     tasks = -(-buckets // GROUP)
     out = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quizspark.llm import boosting, decontam, lmscore, neardup, packing, pii, quality, secrets, sharding, topk, toxicity
 from quizspark.llm import spans as S
+from quizspark.llm.common import is_scan
 from quizspark.llm.queries import QUERIES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, part string, rank int, size string"
@@ -212,7 +213,7 @@ def test_sharding_query_keeps_its_contract(spark, sf):
 def test_sharding_of_any_input_and_any_cluster(spark, sf):
     """A shuffled input is written first; a scan gives the same permutation however it is split."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert sharding._is_scan(docs.where("doc_id > 3")) and not sharding._is_scan(docs.repartition(3)) and not sharding._is_scan(docs.join(docs.select("doc_id"), "doc_id"))
+    assert is_scan(docs.where("doc_id > 3")) and not is_scan(docs.repartition(3)) and not is_scan(docs.join(docs.select("doc_id"), "doc_id"))
     shuffled = docs.select("doc_id", "text", F.rand().alias("r")).repartition(7).where("r < 0.9")
     out = sharding.external_shuffle(shuffled, 4, bucket_bytes=20_000).select("shard", "slot").collect()
     assert Counter(r.shard for r in out).most_common()[0][1] <= -(-len(out) // 4) and len(set(out)) == len(out)
@@ -309,6 +310,34 @@ def test_topk_matches_brute_force_with_ties(spark):
     assert got[9_050] == [(8 * 256 * 512, 9_100)] and 9_004 not in got
 
 
+def test_topk_of_repeated_ids(spark):
+    """Rows of one id ask each, and find each other; blocks of a few rows, so that many cells meet."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [1.0, 0.0]), (7, [2.0, 1.0]), (8, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score >> 16) for r in topk.top_k_inner_products(df, F.col("vec_id") % 50 == 0, k=3).collect())
+    assert got == sorted([(50, 1, 7, 2), (50, 2, 8, 2), (50, 3, 50, 1)] * 2 + [(50, 1, 7, 1), (50, 2, 8, 1), (50, 3, 50, 0)])
+
+
+def test_topk_prunes_clustered_vectors(spark, monkeypatch):
+    """Vectors around few centres: most pairs go before their exact score, and results stay exact in small blocks and tiles."""
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 128)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 32)
+    monkeypatch.setattr(topk, "TILE", 10)
+    rng = np.random.default_rng(4)
+    centres = np.repeat(rng.normal(size=(12, 8)), 8, axis=1)  # slow along the components
+    x = centres[rng.integers(0, 12, size=2_500)] + 0.1 * rng.normal(size=(2_500, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    asks = F.col("vec_id") % 50 == 0
+    levels = {r.level: r.pairs for r in topk.pruned(df, asks).collect()}
+    assert levels[0] == 50 * 2_499 and levels[2] <= 0.3 * levels[0] and sorted(levels.values(), reverse=True) == [levels[k] for k in sorted(levels)]
+    whole = np.floor(256 * x).astype(int)
+    got = {(r.query_id, r["rank"]): (r.score, r.vec_id) for r in topk.top_k_inner_products(df, asks).collect()}
+    for q in range(0, 2_500, 50):
+        s = whole @ whole[q]
+        best = sorted(((int(a), i) for i, a in enumerate(s) if i != q), key=lambda z: (-z[0], z[1]))[:5]
+        assert [got[q, k + 1] for k in range(5)] == best
+
+
 def test_topk_huge_components_saturate(spark):
     df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 1.0]), (2, [-1e30, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in topk.top_k_inner_products(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63))]
