@@ -78,6 +78,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns called c0, c1, ...: PySpark's batch functions resolve names, which fails for some of them."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

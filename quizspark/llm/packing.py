@@ -11,8 +11,9 @@
 A text's ids are the ids of its whitespace-separated chunks: the tokenizer's normaliser works character by character
 and its pre-tokenizer never joins across white space. Chunks repeat, so each is encoded once for each worker and memory.
 
-Nulls and empty texts: a single end id, one piece of length 1. Repeated rows are packed one by one. A null doc_id
-stays null. An empty table gives an empty result. Other columns are ignored.
+Nulls and empty texts: a single end id, one piece of length 1. Repeated rows are packed one by one; pieces of one length are
+interchangeable, so ties need no rule. Ids are of any type, a null one stays null. Very long texts are cut into pieces as they
+are read, one text's ids are held at a time. An empty table gives an empty result. Other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, batch, materialise, text_bytes
+from .common import Batches, batch, materialise, quoted, text_bytes
 
 END_ID = 1
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
-_PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+_PIECES = "piece int, start long, length long, ids_crc32 long, part int, local_rank long"
+_PLACED = "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 class ChunkIds:
@@ -117,19 +118,22 @@ def chunk_ids(tokenizer_json: str) -> ChunkIds:
 
 def _tokenise(tokenizer_json, capacity: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
-        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("local_rank", pa.int64())])
+        schema = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("local_rank", pa.int64())])
         cache, seen, end, step = chunk_ids(tokenizer_json.value), [0] * (capacity + 1), np.array([END_ID], "<u4").tobytes(), 4 * capacity
         part = TaskContext.get().partitionId()
         for b in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), _by_mb(cache, text_bytes(b.column(1))), strict=True):
+            docs: list[int] = []
+            for doc, ids in enumerate(_by_mb(cache, text_bytes(b.column(1)))):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     piece = ids[at : at + step]
                     n = len(piece) // 4
-                    rows.append((doc, k, at // 4, n, zlib.crc32(piece), part, seen[n]))
+                    rows.append((k, at // 4, n, zlib.crc32(piece), part, seen[n]))
+                    docs.append(doc)
                     seen[n] += 1
-            yield batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 7))
+            made = batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 6))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(docs, pa.int64())), *made.columns], names=["doc_id", *schema.names])
 
     return run
 
@@ -197,11 +201,11 @@ def _place(plan) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         entries = plan.value
         keys = (entries[:, 0] << 44) | entries[:, 1]
-        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
         for b in batches:
             length, rank = b.column(3).to_numpy(), b.column(5).to_numpy()
             e = entries[np.searchsorted(keys, (length << 44) | rank, side="right") - 1]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(e[:, 2] + rank - e[:, 1]), pa.array(e[:, 3])], schema=schema)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(e[:, 2] + rank - e[:, 1]), pa.array(e[:, 3])], names=names)
 
     return run
 
@@ -211,10 +215,12 @@ def pack_best_fit(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:  # a vocabulary file of fixed size, read on the driver and broadcast
         tokenizer = spark.sparkContext.broadcast(f.read())
-    pieces = materialise(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_tokenise(tokenizer, capacity), _PIECES))
+    given = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string"))
+    kind = given.schema[0].dataType.simpleString()
+    pieces = materialise(given.mapInArrow(_tokenise(tokenizer, capacity), f"doc_id {kind}, {_PIECES}"))
     parts = materialise(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
     histogram = {r[0]: r[1] for r in parts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(plan_best_fit(histogram, capacity)[0])
     offsets = parts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     ranked = pieces.join(offsets.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local_rank")).alias("rank"))
-    return ranked.mapInArrow(_place(plan), _PLACED)
+    return ranked.mapInArrow(_place(plan), f"doc_id {kind}, {_PLACED}")

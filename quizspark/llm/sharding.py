@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
-from .common import materialise, quoted, unused, with_place
+from .common import materialise, numbered, with_place
 
 GROUP = 8
 RUN = 4096
@@ -69,19 +69,21 @@ def _offsets(counts: DataFrame) -> DataFrame:
 def external_shuffle(df: DataFrame, shards: int, text_col: str = "text", seed: int = 17, bucket_bytes: int = 16 << 20) -> DataFrame:
     """Adds size (UTF-8 bytes of the text plus 1), law, shard and slot (place in the shard, gapless from 0) to every row."""
     df = df.drop(*_ADDED)
-    bucket_col, place = unused(df.columns, "bucket"), unused(df.columns, "place")
-    records = with_place(df, place)
-    octets = F.octet_length(F.col(quoted(text_col)).cast("string"))
+    bucket_col, place = "bucket", "place"
+    given = numbered(df)
+    records = with_place(given, place)
+    octets = F.octet_length(F.col(f"c{df.columns.index(text_col)}").cast("string"))
     rows, total_bytes = records.select(F.count(F.lit(1)), F.coalesce(F.sum(octets), F.lit(0))).first()
     buckets = -(-(total_bytes + 64 * rows) // bucket_bytes) or 1
     placed = records.withColumn(bucket_col, F.pmod(F.xxhash64(F.lit(seed), f"{place}.file", f"{place}.row"), F.lit(buckets)))
     counts = materialise(placed.groupBy(F.col(bucket_col).alias("bucket")).agg(F.count("*").alias("n")))
     tasks = -(-buckets // GROUP)
-    out = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    out = T.StructType([*given.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     dealt = placed.repartition(tasks, bucket_col).groupBy(bucket_col)
     offsets = _offsets(counts).repartition(tasks, "bucket").groupBy("bucket")
     shuffled = dealt.cogroup(offsets).applyInArrow(_shuffle(max(1, rows), shards, seed, bucket_col, place), out)
-    return shuffled.withColumn("size", F.coalesce(octets, F.lit(0)).cast("long") + 1).withColumn("law", F.lit("rows"))
+    sized = shuffled.withColumn("size", F.coalesce(octets, F.lit(0)).cast("long") + 1).withColumn("law", F.lit("rows"))
+    return sized.toDF(*df.columns, "shard", "slot", "size", "law")
 
 
 def write_shards(shuffled: DataFrame, path: str, fmt: str = "parquet") -> None:

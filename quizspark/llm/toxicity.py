@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
-from .common import Batches, batch, quoted
+from .common import Batches, batch, numbered, quoted
 
 MAX_ROWS = 10_000
 MAX_FEATURES = 1_500
@@ -254,8 +254,14 @@ def _keep(model: Model, at: int, threshold: float) -> Callable[[Batches], Batche
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs whose text scores below the threshold, in the same pass; all columns stay. The text is a string column."""
-    return docs.mapInArrow(_keep(model, docs.columns.index(text_col), threshold), docs.schema)
+    """docs whose text scores below the threshold, in the same pass; all columns stay. The text is a string column.
+
+    A model without weights (no labels, labels of one kind, no telling feature) knows nothing of any text: all documents stay.
+    """
+    if not model.weights:
+        return docs
+    given = numbered(docs)
+    return given.mapInArrow(_keep(model, docs.columns.index(text_col), threshold), given.schema).toDF(*docs.columns)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, allowed, max_rows: int = MAX_ROWS) -> DataFrame:
