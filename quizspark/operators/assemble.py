@@ -16,11 +16,11 @@ def first_questions(questions: DataFrame) -> DataFrame:
     return stripped.where((F.col("question") != "") & (F.col("answer") != "")).withColumn("__place", place).where("__place = 1").drop("__place")
 
 
-def build(questions: DataFrame) -> DataFrame:
-    """questions (with distractors) as items: options, letter, explanation, labels."""
+def build(questions: DataFrame, seed: int | None = None) -> DataFrame:
+    """questions (with distractors) as items: options, letter, explanation, labels. seed: another order of the options."""
     padding = F.array(*(F.lit(f"None of the above ({k})") for k in (1, 2, 3)))
     padded = let(F.slice("distractors", 1, 3), lambda x: F.concat(x, F.slice(padding, F.size(x) + 1, 3 - F.size(x))))
-    order = Q.shuffled(F.col("question"), F.concat(F.array("answer"), padded))
+    order = Q.shuffled(F.col("question") if seed is None else F.concat(F.lit(f"{seed}|"), F.col("question")), F.concat(F.array("answer"), padded))
 
     def placed(o: Column) -> Column:
         letter = F.get(strings(Q.LETTERS), (F.array_position(o, F.col("answer")) - 1).cast("int"))
@@ -48,7 +48,7 @@ def cap(items: DataFrame, max_questions: int) -> DataFrame:
     return best.select("doc_id", "q_idx", "question", "options", "answer", "answer_text", "explanation", "type", "difficulty", "score", "answer_type", "source_sentence")
 
 
-def assemble(questions: DataFrame, answers: DataFrame, max_questions: int = 30) -> DataFrame:
+def assemble(questions: DataFrame, answers: DataFrame, max_questions: int = 30, vectors: DataFrame | None = None, seed: int | None = None) -> DataFrame:
     from .distract import with_distractors
 
-    return cap(good(build(with_distractors(first_questions(questions), answers))), max_questions)
+    return cap(good(build(with_distractors(first_questions(questions), answers, vectors), seed)), max_questions)

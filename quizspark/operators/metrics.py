@@ -56,13 +56,16 @@ def distributions(items: DataFrame, *keys: str) -> DataFrame:
 
 
 def run_metadata(docs: DataFrame, sentences: DataFrame, answers: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: raw_chars, total_sentences (selected), total_answers, total_questions, avg_score, status."""
+    """A row per document: raw_chars, total_sentences (selected), total_answers, total_questions, type_dist, diff_dist (maps, empty without items), avg_score, status."""
     from ..functions.text import from_text
 
     out = docs.select(F.col(id_col).alias("doc_id"), F.length(from_text(F.col(text_col))).alias("raw_chars"))
     for frame, name in ((sentences, "total_sentences"), (answers, "total_answers"), (items, "total_questions")):
         out = out.join(frame.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left")
     out = out.join(items.groupBy("doc_id").agg(F.avg("score").alias("avg_score")), "doc_id", "left").na.fill(0, ["total_sentences", "total_answers", "total_questions"]).na.fill(0.0, ["avg_score"])
+    dist = distributions(items, "doc_id").select("doc_id", "type_dist", F.col("difficulty_dist").alias("diff_dist"))
+    empty = F.create_map().cast("map<string,bigint>")
+    out = out.join(dist, "doc_id", "left").withColumns({c: F.coalesce(c, empty) for c in ("type_dist", "diff_dist")})
     status = F.when(F.col("raw_chars") == 0, "Empty text").when(F.col("total_sentences") == 0, "No sentences after preprocessing").otherwise("ok")
     return out.withColumn("status", status)
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.columns import let, strings, strip, word_set
+from ..sources.providers import Factory, with_model_answers
+
+# Fixed value: model answers that score less carry a note.
+LOW_CONFIDENCE = 0.05
 
 
 def query_terms(question: Column, common: tuple[str, ...]) -> Column:
@@ -72,8 +76,11 @@ def keyword_answer(question: Column, context: Column) -> Column:
     return F.coalesce(let(word_set(question), best), F.lit(L.NO_ANSWER))
 
 
-def answer(questions: DataFrame, docs: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
-    """(q_id, question, answer, sources, used_web, score): document sections first, then pages; keyword answers score 0."""
+def answer(questions: DataFrame, docs: DataFrame | None = None, pages: DataFrame | None = None, reader: Factory | None = None) -> DataFrame:
+    """(q_id, question, answer, sources, used_web, score): document sections first, then pages.
+
+    reader: an optional reading model (see sources.providers); where it gives nothing, and without one, keyword answers apply and score 0.
+    """
     out = questions.select("q_id", "question")
     out = out.join(sections(questions, docs).select("q_id", F.col("context").alias("doc")), "q_id", "left") if docs is not None else out.withColumn("doc", F.lit(None).cast("string"))
     if pages is not None:
@@ -84,5 +91,13 @@ def answer(questions: DataFrame, docs: DataFrame | None = None, pages: DataFrame
         out = out.withColumn("web", F.lit(None).cast("string")).withColumn("sources", F.lit(None).cast("array<string>"))
     context = strip(F.concat_ws(" ", F.when(F.col("doc") != "", F.col("doc")), F.when(F.col("web") != "", F.col("web"))))
     out = out.withColumn("context", context)
-    text = F.when(F.col("context") == "", L.NOTHING_FOUND).otherwise(keyword_answer(F.col("question"), F.col("context")))
-    return out.select("q_id", "question", text.alias("answer"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), (F.coalesce("web", F.lit("")) != "").alias("used_web"), F.lit(0.0).alias("score"))
+    if reader:
+        out = with_model_answers(out, reader)
+    else:
+        out = out.withColumn("model_answer", F.lit(None).cast("struct<answer:string,score:double>"))
+    model, read = F.col("model_answer"), (F.col("context") != "") & F.col("model_answer").isNotNull()
+    note = F.concat(F.lit("\n\n*(Low confidence — "), F.format_string("%d%%", F.bround(100 * model["score"]).cast("int")), F.lit(". The answer may not be clear from available context.)*"))
+    said = F.when(model["score"] < LOW_CONFIDENCE, F.concat(model["answer"], note)).otherwise(model["answer"])
+    text = F.when(F.col("context") == "", L.NOTHING_FOUND).when(read, said).otherwise(keyword_answer(F.col("question"), F.col("context")))
+    score = F.when(read, model["score"]).otherwise(0.0)
+    return out.select("q_id", "question", text.alias("answer"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), (F.coalesce("web", F.lit("")) != "").alias("used_web"), score.alias("score"))

@@ -440,7 +440,7 @@ ORACLES: dict[str, str] = {
     "question_score": f"WITH {ASKED} SELECT doc_id, sent_idx, ans_rank, question, question_score FROM questions",
     "question_dedup": f"""WITH {TOPK}, worded AS (SELECT *, {_RAW_QUESTION} AS question FROM best) SELECT doc_id, sent_idx, ans_rank, question, {question_score("question", "answer", "score", "type")} AS question_score FROM worded
  QUALIFY row_number() OVER (PARTITION BY doc_id, sent_idx, lower(question) ORDER BY ans_rank) = 1""",
-    "domain_detect": f"""WITH x AS (SELECT doc_id, {names(_KEYS)}[CAST(doc_id % 7 AS BIGINT) + 1] || ' ' || left(lang, 2) AS t FROM documents), y AS (SELECT doc_id, {", ".join(f"{e} AS n_{d}" for d, e in _COUNTS.items())} FROM x),
+    "domain_detect": f"""WITH x AS (SELECT doc_id, {names(_KEYS)}[CAST(doc_id % 7 AS BIGINT) + 1] || ' ' || coalesce(text, '') AS t FROM documents), y AS (SELECT doc_id, {", ".join(f"{e} AS n_{d}" for d, e in _COUNTS.items())} FROM x),
  z AS (SELECT *, {_TOP} AS top FROM y) SELECT doc_id, CASE WHEN top = 0 THEN 'ai_general' {_CASES} END AS domain FROM z""",
     "shape_match": f"""WITH {FACTS}, x AS (SELECT doc_id, sent_idx, sentence, r_name, array_to_string({words("sentence")}[5:4 + sent_idx % 7 + 1], ' ') AS span FROM facts JOIN region ON r_regionkey = sent_idx % 5)
  SELECT doc_id, sent_idx, abs({bucket("span")} - {bucket("r_name")}) <= 1 AND regexp_matches(span, '^\\p{{Lu}}') = regexp_matches(r_name, '^\\p{{Lu}}') AND regexp_matches(span, '\\d') = regexp_matches(r_name, '\\d') AND NOT {has_verb(words("span"))} AS same,
@@ -448,16 +448,16 @@ ORACLES: dict[str, str] = {
     "type_pool": f"""WITH {ASKED}, usable_spans AS (SELECT doc_id, sent_idx, ans_rank, answer, type FROM questions WHERE length(answer) >= 3 AND NOT {has_verb(words("answer"))}),
  pooled AS (SELECT q.doc_id, q.sent_idx, q.ans_rank, list(u.answer ORDER BY u.sent_idx, u.ans_rank) FILTER (u.answer IS NOT NULL) AS pool FROM questions q LEFT JOIN usable_spans u ON u.doc_id = q.doc_id AND list_contains({_COMPATIBLE}, u.type)
             AND lower(u.answer) <> lower(q.answer) GROUP BY ALL)
- SELECT doc_id, sent_idx, ans_rank, coalesce(len(pool), 0) AS n, coalesce(array_to_string(pool[1:5], '|'), '') AS first FROM pooled""",
+ SELECT doc_id, sent_idx, ans_rank, coalesce(len(pool), 0) AS n, md5(coalesce(array_to_string(pool, '|'), '')) AS pool FROM pooled""",
     "bank_distractors": f"""WITH {ASKED}, counted AS (SELECT doc_id, sent_idx, ans_rank, answer, type, sentence AS t FROM questions), y AS (SELECT *, {", ".join(f"{e} AS n_{d}" for d, e in _COUNTS.items())} FROM counted),
  z AS (SELECT *, {_TOP} AS top FROM y), banked AS (SELECT *, CASE {" ".join(f"WHEN type = '{k}' THEN {names(v)}" for k, v in L.TYPED_BANKS.items())} ELSE CASE CASE WHEN top = 0 THEN 'ai_general' {_CASES} END
  {" ".join(f"WHEN '{k}' THEN {names(v)}" for k, v in L.CONCEPT_BANKS.items())} END END AS items FROM z)
  SELECT doc_id, sent_idx, ans_rank, array_to_string(list_transform(list_sort(list_transform(items, lambda i: {{'k': md5(answer || '|' || i), 'i': i}})), lambda x: x.i), '|') AS bank FROM banked""",
     "embedding_rank": """WITH p AS (SELECT a.vec_id, b.vec_id AS other, list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)))
- / sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) * list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS c FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 10 = 0),
+ / sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) * list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS c FROM embeddings a JOIN embeddings b USING (label)),
  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, CAST(other AS VARCHAR)) AS n FROM p WHERE c BETWEEN 0.20 AND 0.82),
  k AS (SELECT vec_id, string_agg(CAST(other AS VARCHAR), '|' ORDER BY n) AS best FROM r WHERE n <= 3 GROUP BY vec_id)
- SELECT e.vec_id, coalesce(best, '') AS best FROM embeddings e LEFT JOIN k USING (vec_id) WHERE e.vec_id % 10 = 0""",
+ SELECT e.vec_id, coalesce(best, '') AS best FROM embeddings e LEFT JOIN k USING (vec_id)""",
     "fk_grade": f"WITH {SENTENCES} SELECT doc_id, sent_idx, round({grade('sentence')}, 9) AS grade FROM sents",
     "difficulty_type": f"WITH {ASKED} SELECT doc_id, sent_idx, ans_rank, {_TYPE} AS question_type, {_DIFFICULTY} AS difficulty FROM questions",
     "explanation": f"WITH {ASKED} SELECT doc_id, sent_idx, ans_rank, {_EXPLANATION} AS explanation FROM questions",
@@ -471,8 +471,9 @@ ORACLES: dict[str, str] = {
     "mcq_distributions": f"""WITH {ITEMS}, l AS (SELECT doc_id, unnest([{{'kind': 'type_dist', 'value': type}}, {{'kind': 'difficulty_dist', 'value': difficulty}}, {{'kind': 'wh_word_dist', 'value': {_WH}}}]) AS x FROM items)
  SELECT doc_id, x.kind AS kind, x.value AS value, count(*) AS n FROM l GROUP BY ALL""",
     "mcq_meta": f"""WITH {ITEMS}, t AS (SELECT doc_id, length({from_text("string_agg(sentence, ' ' ORDER BY sent_idx)")}) AS raw_chars, count(*) AS total_sentences FROM facts GROUP BY doc_id),
- a AS (SELECT doc_id, count(*) AS total_answers FROM questions GROUP BY doc_id), i AS (SELECT doc_id, count(*) AS total_questions, avg(score) AS s FROM items GROUP BY doc_id)
- SELECT t.doc_id, raw_chars, total_sentences, coalesce(total_answers, 0) AS total_answers, coalesce(total_questions, 0) AS total_questions, round(coalesce(s, 0), 6) AS avg_score, 'ok' AS status FROM t LEFT JOIN a USING (doc_id) LEFT JOIN i USING (doc_id)""",
+ a AS (SELECT doc_id, count(*) AS total_answers FROM questions GROUP BY doc_id), i AS (SELECT doc_id, count(*) AS total_questions, avg(score) AS s FROM items GROUP BY doc_id),
+ d AS (SELECT doc_id, kind, string_agg(value || ':' || n, ',' ORDER BY value) AS dist FROM (SELECT doc_id, 't' AS kind, type AS value, count(*) AS n FROM items GROUP BY ALL UNION ALL SELECT doc_id, 'd', difficulty, count(*) FROM items GROUP BY ALL) GROUP BY ALL)
+ SELECT t.doc_id, coalesce((SELECT dist FROM d WHERE d.doc_id = t.doc_id AND kind = 't'), '') AS type_dist, coalesce((SELECT dist FROM d WHERE d.doc_id = t.doc_id AND kind = 'd'), '') AS diff_dist, raw_chars, total_sentences, coalesce(total_answers, 0) AS total_answers, coalesce(total_questions, 0) AS total_questions, round(coalesce(s, 0), 6) AS avg_score, 'ok' AS status FROM t LEFT JOIN a USING (doc_id) LEFT JOIN i USING (doc_id)""",
     "quiz_score": f"""WITH {RESPONSES}, t AS (SELECT doc_id, count(*) AS answered, count(*) FILTER (chosen = answer) AS correct FROM responses GROUP BY doc_id), p AS (SELECT *, CAST(floor(100 * correct / answered) AS BIGINT) AS percent FROM t)
  SELECT *, CASE WHEN percent >= 80 THEN 'excellent' WHEN percent >= 60 THEN 'good' ELSE 'practice' END AS grade FROM p""",
     "answer_review": f"WITH {RESPONSES} SELECT doc_id, q_idx, chosen, answer, chosen = answer AS correct FROM responses",

@@ -229,9 +229,9 @@ def question_dedup(spark, d):
 
 @query
 def domain_detect(spark, d):
-    """Concept banks for texts with different keys, made from events and documents."""
+    """Concept banks for whole documents, each behind a phrase with different keys."""
     keys = F.array(*map(F.lit, ("train a model", "deep neural layer", "a word and its token", "pixel photo vision", "logic agent", "nothing", "model text image")))
-    return _documents(spark, d).select("doc_id", Q.domain(F.concat(F.get(keys, (F.col("doc_id") % 7).cast("int")), F.lit(" "), F.substring("lang", 1, 2))).alias("domain"))
+    return _documents(spark, d).select("doc_id", Q.domain(F.concat(F.get(keys, (F.col("doc_id") % 7).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))).alias("domain"))
 
 
 @query
@@ -248,15 +248,9 @@ def _pool(spark, d) -> tuple[DataFrame, DataFrame]:
 
 @query
 def type_pool(spark, d):
+    """The whole pools, as their size and hash."""
     pooled = OD.type_pool(*_pool(spark, d))
-    return pooled.select("doc_id", "sent_idx", "ans_rank", F.size("pool").alias("n"), F.array_join(F.slice("pool", 1, 5), "|").alias("first"))
-
-
-@query
-def type_pool_all(spark, d):
-    """The whole pools, a row for each span; no SQL (that of type_pool shows the first five), tested by brute force."""
-    pooled = OD.type_pool(*_pool(spark, d))
-    return pooled.select("doc_id", "sent_idx", "ans_rank", F.posexplode("pool").alias("pos", "span"))
+    return pooled.select("doc_id", "sent_idx", "ans_rank", F.size("pool").alias("n"), F.md5(F.array_join("pool", "|").cast("binary")).alias("pool"))
 
 
 @query
@@ -273,7 +267,7 @@ def distractor_greedy(spark, d):
 @query
 def morph_variants(spark, d):
     parts = table(spark, d, "part").select("p_partkey", F.get(F.array(*map(F.lit, ("1956", "42.5%", "Deep Learning", "neural network theory", "steel"))), (F.col("p_partkey") % 5).cast("int")).alias("answer"))
-    return parts.withColumn("variants", F.array_join(OD.picked(F.col("answer"), F.array().cast("array<string>")), "|"))
+    return parts.withColumn("variants", F.array_join(OD.distractors(F.col("answer"), F.array().cast("array<string>")), "|"))
 
 
 def _similar(e: DataFrame, asked: DataFrame) -> DataFrame:
@@ -286,14 +280,7 @@ def _similar(e: DataFrame, asked: DataFrame) -> DataFrame:
 
 @query
 def embedding_rank(spark, d):
-    """Similar vectors of the embeddings table as a stub embedder's spans: each tenth vector, as its SQL has it, against all of its label."""
-    e = table(spark, d, "embeddings")
-    return _similar(e, e.where("vec_id % 10 = 0"))
-
-
-@query
-def embedding_rank_all(spark, d):
-    """The same for every vector; no SQL, tested by brute force."""
+    """Similar vectors of the embeddings table as a stub embedder's spans: every vector against all of its label."""
     e = table(spark, d, "embeddings")
     return _similar(e, e)
 
@@ -385,7 +372,8 @@ def mcq_distributions(spark, d):
 def mcq_meta(spark, d):
     f = facts(spark, d)
     docs = f.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
-    return OE.run_metadata(docs, f, _questions(spark, d), _items(spark, d)).withColumn("avg_score", F.round("avg_score", 6))
+    shown = {c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws(":", e["key"], e["value"])), ",") for c in ("type_dist", "diff_dist")}
+    return OE.run_metadata(docs, f, _questions(spark, d), _items(spark, d)).withColumns({"avg_score": F.round("avg_score", 6), **shown})
 
 
 def _responses(items: DataFrame) -> DataFrame:

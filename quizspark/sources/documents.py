@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import strip
 from ..functions.text import from_text, normalise_space
+from .office import PdfFactory, pdf_words, presentation_shapes
 
 
 def file_kind(path: Column, content: Column) -> Column:
@@ -17,16 +18,22 @@ def file_kind(path: Column, content: Column) -> Column:
     return F.coalesce(by_name, F.when(head == "25504446", "pdf").when(head.startswith("504B"), "pptx").otherwise("text"))
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, content, text, status): text files are decoded without their bad bytes; others wait for a provider.
+def read_files(spark: SparkSession, path: str, pdf: PdfFactory | None = None) -> DataFrame:
+    """(path, kind, content, text, status): text files without their bad bytes, presentations, and PDF files if a provider is given.
 
-    Files of no bytes give no row.
+    Files of no bytes give no row; rich files that can't be read or hold nothing have the status "no text".
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     kinds = files.withColumn("kind", file_kind(F.col("path"), F.col("content")))
-    text = F.when(F.col("kind") == "text", from_text(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))))
-    status = F.when(F.col("kind") != "text", "needs a provider").when(F.col("text") == "", "Empty text").otherwise("ok")
-    return kinds.withColumn("text", text).withColumn("status", status)
+    given = lambda kind: kinds.where(F.col("kind") == kind).select(F.col("path").alias("doc_id"), "content")
+    rich = from_slides(presentation_shapes(given("pptx")))
+    if pdf:
+        rich = rich.unionByName(from_pdf_words(pdf_words(given("pdf"), pdf)))
+    joined = kinds.join(rich.select(F.col("doc_id").alias("path"), F.col("text").alias("found")), "path", "left")
+    plain = from_text(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")))
+    text = F.when(F.col("kind") == "text", plain).otherwise(F.col("found"))
+    status = F.when(F.col("text") != "", "ok").when(F.col("text") == "", "Empty text").when((F.col("kind") == "pdf") & F.lit(pdf is None), "needs a provider").otherwise("no text")
+    return joined.withColumn("text", text).withColumn("status", status).select("path", "kind", "content", "text", "status")
 
 
 def from_pdf_words(words: DataFrame) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import json
 import math
+import re
+from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import given
@@ -12,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quizspark.functions import answers as A
+from quizspark.functions import lexicon as L
 from quizspark.functions import questions as Q
 from quizspark.operators import distract, export, metrics, rank
 from quizspark.operators.answers import extract_answers, generate_questions, question_rows
@@ -109,23 +113,100 @@ def test_item_filter(spark, question, answer, good):
     assert spark.range(1).select(Q.is_good(F.lit(question), F.lit(answer), options)).first()[0] == good
 
 
+def ratio(a, b):
+    return SequenceMatcher(None, a.lower(), b.lower()).ratio()
+
+
+def alike(a, b):
+    x, y = set(a.lower().split()), set(b.lower().split())
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def plainly_fresh(text, answer, others):
+    return text.lower().strip() != answer.lower().strip() and ratio(text, answer) <= 0.75 and all(alike(text, o) <= 0.70 and ratio(text, o) <= 0.80 for o in others)
+
+
+def plain_swaps(answer):
+    words = answer.split()
+    return [" ".join([*words[:i], o, *words[i + 1 :]]) for i, w in enumerate(words) for o in L.WORD_SWAPS.get(w.lower(), ())]
+
+
+def plain_variants(answer):
+    if re.fullmatch("[0-9]{4}", answer.strip()):
+        return [str(int(answer) + d) for d in (5, 10, -5, 15)]
+    if re.fullmatch(r"[0-9]+(\.[0-9]+)?\s*%", answer.strip()):
+        return [f"{int(max(0, float(answer.strip().rstrip('%')) + d))}%" for d in (10, -10, 25, -25)]
+    fresh = []
+    for s in plain_swaps(answer):
+        if len(fresh) < 4 and plainly_fresh(s, answer, fresh):
+            fresh.append(s)
+    last = answer.split()[-1].lower() if answer.split() else "approach"
+    return fresh if len(fresh) == 4 else [f"{q} {last}" for q in ("traditional", "alternative", "classical")]
+
+
+def plain_pick(answer, offered):
+    taken = []
+    for text in [*offered, *plain_variants(answer)]:
+        if len(taken) < 3 and plainly_fresh(text, answer, taken):
+            taken.append(text)
+    return taken
+
+
 def test_sequence_ratio_is_not_symmetric():
-    assert (distract.ratio("tide", "diet"), distract.ratio("diet", "tide"), distract.ratio("1956", "1961")) == (0.25, 0.5, 0.75)
+    over = lambda a, b, limit: distract.Resemblance(b).above(a, limit)
+    assert over("diet", "tide", 0.4) and not over("tide", "diet", 0.4) and not over("1956", "1961", 0.75)
 
 
 @given(st.text(alphabet="abc 1%", min_size=1, max_size=12), st.lists(st.text(alphabet="abcde ", min_size=1, max_size=8), max_size=12))
-def test_picks_are_fresh(answer, candidates):
-    taken = distract.pick(answer, candidates)
-    assert len(taken) <= 3
-    for k, t in enumerate(taken):
-        assert distract.is_fresh(t, answer, taken[:k])
+def test_picks_match_a_plain_choice(answer, offered):
+    assert distract.pick(answer, offered, plain_variants(answer)) == plain_pick(answer, offered)
+
+
+ANSWERS = ["1956", " 0003 ", "42%", "42.5 %", "7%", "steel", "Deep Learning", "neural network theory", "artificial intelligence", "", "  ", "machine machine", "Natural Deep network", "1956 AD"]
+
+
+def test_variants(spark):
+    df = spark.createDataFrame([(a,) for a in ANSWERS], "answer string")
+    for r in df.select("answer", distract.variants(F.col("answer")).alias("v"), distract.distractors(F.col("answer"), F.array().cast("array<string>")).alias("d")).collect():
+        assert list(distract.swapped(r.answer)) == plain_swaps(r.answer)
+        if not plain_swaps(r.answer):
+            assert r.v == plain_variants(r.answer), r
+        assert r.d == plain_pick(r.answer, []), r
+
+
+def test_distractors_of_facts_match_a_plain_choice(spark, sf):
+    """The query's answers, pools and banks as Spark gives them (each has its own SQL); shape, order of the layers and choice written out."""
+    from quizspark.functions.columns import split_words
+    from quizspark.plans.queries import _pool
+
+    questions = distract.type_pool(*_pool(spark, sf))
+    verb_free = F.filter("bank", lambda c: ~distract.has_verb(split_words(c), L.DISTRACTOR_VERBS))
+    rows = questions.withColumn("bank", distract.bank(F.col("answer"), F.col("type"), F.col("sentence"))).withColumn("free", verb_free)
+    rows = rows.select("doc_id", "sent_idx", "ans_rank", "answer", "pool", "bank", "free").collect()
+
+    def shape(t):
+        n = len(t.split())
+        return 0 if n <= 2 else 1 if n <= 5 else 2, t.lstrip()[:1].isupper(), any(c.isdigit() for c in t)
+
+    got = {(r.doc_id, r.sent_idx, r.ans_rank): r.distractors for r in QUERIES["distractor_greedy"](spark, sf).collect()}
+    assert len(got) == len(rows) > 1_000
+    verbs = {w.lower() for w in L.DISTRACTOR_VERBS}
+    for r in rows:
+        a = shape(r.answer)
+        same = [c for c in [*r.pool, *r.bank] if abs(shape(c)[0] - a[0]) <= 1 and shape(c)[1:] == a[1:] and not any(w.strip(".,;:!?").lower() in verbs for w in c.split())]
+        assert got[r.doc_id, r.sent_idx, r.ans_rank] == "|".join(plain_pick(r.answer, [*same, *r.free])), r
+
 
+def test_items_are_padded_to_four_options(spark):
+    from quizspark.operators import assemble
 
-def test_variants():
-    assert distract.variants("1956") == ["1961", "1966", "1951", "1971"]
-    assert distract.variants("42%") == ["52%", "32%", "67%", "17%"]
-    assert distract.variants("steel") == ["traditional steel", "alternative steel", "classical steel"]
-    assert 0 < len(distract.variants("Deep Learning")) <= 4
+    rows = [(1, 0, k, "s", "steel", "CONCEPT", 0.5, f"What is it {k}?", 0.5, ["iron", "gold", "tin"][:k]) for k in range(4)]
+    q = spark.createDataFrame(rows, "doc_id long, sent_idx int, ans_rank int, sentence string, answer string, type string, score double, question string, question_score double, distractors array<string>")
+    for r in assemble.build(q).collect():
+        want = ["steel", *["iron", "gold", "tin"][: r.ans_rank], *[f"None of the above ({k})" for k in (1, 2, 3)][r.ans_rank :]]
+        assert sorted(r.options.values()) == sorted(want) and r.options[r.answer] == "steel" and list(r.options) == list("ABCD")
+    orders = {tuple(assemble.build(q, seed).orderBy("ans_rank").first().options.values()) for seed in range(8)}
+    assert len(orders) > 2
 
 
 @pytest.fixture(scope="module")
@@ -208,7 +289,7 @@ def brute_similar(rows, k=3):
 
 def test_every_vector_is_ranked(spark, sf):
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    got = QUERIES["embedding_rank_all"](spark, sf).collect()
+    got = QUERIES["embedding_rank"](spark, sf).collect()
     assert len(got) == len(rows) and {r.vec_id: r.best for r in got} == brute_similar(rows)
 
 
@@ -225,6 +306,33 @@ def test_whole_pools(spark, monkeypatch):
     rows = [(1, i, 0, f"Answer {i}", "DATE") for i in range(9)] + [(2, 0, 0, "Alone", "DATE")]
     asked = spark.createDataFrame(rows, "doc_id long, sent_idx int, ans_rank int, answer string, type string")
     monkeypatch.setattr("quizspark.plans.queries._pool", lambda spark, d: (asked, asked))
-    got = {(r.doc_id, r.sent_idx, r.pos): r.span for r in QUERIES["type_pool_all"](spark, "").collect()}
-    want = {i: [f"Answer {j}" for j in range(9) if j != i] for i in range(9)}
-    assert got == {(1, i, k): s for i, pool in want.items() for k, s in enumerate(pool)}
+    got = {(r.doc_id, r.sent_idx): (r.n, r.pool) for r in QUERIES["type_pool"](spark, "").collect()}
+    digest = lambda pool: (len(pool), hashlib.md5("|".join(pool).encode()).hexdigest())
+    assert got == {(1, i): digest([f"Answer {j}" for j in range(9) if j != i]) for i in range(9)} | {(2, 0): digest([])}
+
+
+def test_models_take_part_in_the_pipeline(spark):
+    """Stub models: entities give answers, raw questions are asked, vectors order and limit the pool."""
+    sents = spark.createDataFrame([(1, 0, "Ada Lovelace was a friend of Charles Babbage"), (1, 1, "Alan Turing was a peer of Grace Hopper")], "doc_id long, sent_idx int, sentence string")
+    people = ("Ada Lovelace", "Charles Babbage", "Alan Turing", "Grace Hopper")
+
+    def entities():
+        return lambda rows: [[{"word": p, "entity_group": "PER", "score": 0.9} for p in people if p in s] for (s,) in rows]
+
+    def questioner():
+        return lambda rows: [f"question: who was it that the {len(a)} letter name stands for here" for a, _ in rows]
+
+    def embedder():
+        at = {"Ada Lovelace": [1.0, 0.0], "Charles Babbage": [0.8, 0.6], "Alan Turing": [0.5, 0.9], "Grace Hopper": [1.0, 0.01]}
+        return lambda rows: [at.get(a, [0.0, 1.0]) for (a,) in rows]
+
+    pipe = QuizPipeline(entities=entities, questioner=questioner, embedder=embedder)
+    asked = pipe.questions(sents)
+    got = {r.answer: r for r in asked.collect()}
+    assert set(people) <= set(got)
+    assert got["Charles Babbage"].source == "NER"
+    assert all(r.question == f"Who was it that the {len(a)} letter name stands for here?" for a, r in got.items())
+    answers = asked.select("doc_id", "sent_idx", "ans_rank", "answer", "type")
+    pools = {r.answer: r.pool for r in distract.type_pool(asked, answers, providers.with_vectors(answers, embedder)).collect()}
+    assert [p for p in pools["Ada Lovelace"] if p in people] == [p for p in ("Charles Babbage", "Alan Turing") if p in got]  # 0.8, 0.49; 1.0 is too near
+    assert pipe.from_sentences(sents).count() >= 0

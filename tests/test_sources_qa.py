@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import subprocess
 import sys
+import zipfile
 from pathlib import Path
 
 import duckdb
@@ -26,6 +27,43 @@ def test_files(spark, tmp_path):
     assert got["a.pdf"] == got["b.bin"] == ("pdf", None, "needs a provider")
     assert got["c.PPTX"][0] == got["d.dat"][0] == "pptx"
     assert got["e.txt"] == ("text", "café end", "ok") and got["f.txt"] == ("text", "", "Empty text")
+    assert got["c.PPTX"][2] == got["d.dat"][2] == "no text"
+
+    def pages():
+        return lambda data: [([("world", 50.0, 11.0), ("hello", 10.0, 9.0)], "unused"), ([], "plain page")]
+
+    read = {Path(r.path).name: (r.text, r.status) for r in documents.read_files(spark, str(tmp_path), pages).collect()}
+    assert read["a.pdf"] == read["b.bin"] == ("hello world\n\nplain page", "ok") and read["e.txt"] == ("café end", "ok")
+
+
+def presentation(path, slides, layout):
+    """slides: lists of (placeholder index or None, top or None, paragraphs); layout: index -> top. The second slide's file comes first."""
+    names = "xmlns:a='http://schemas.openxmlformats.org/drawingml/2006/main' xmlns:p='http://schemas.openxmlformats.org/presentationml/2006/main' xmlns:r='http://schemas.openxmlformats.org/officeDocument/2006/relationships'"
+    rel = lambda *r: "<Relationships xmlns='http://schemas.openxmlformats.org/package/2006/relationships'>" + "".join(f"<Relationship Id='{i}' Type='http://schemas.openxmlformats.org/officeDocument/2006/relationships/{k}' Target='{t}'/>" for i, k, t in r) + "</Relationships>"
+
+    def sp(index, top, paragraphs):
+        ph = "" if index is None else f"<p:ph idx='{index}'/>" if index else "<p:ph type='title'/>"
+        off = "" if top is None else f"<a:xfrm><a:off x='0' y='{top}'/></a:xfrm>"
+        body = "".join("<a:p>" + "".join(f"<a:r><a:t>{run}</a:t></a:r>" for run in p.split("+")) + "</a:p>" for p in paragraphs)
+        return f"<p:sp><p:nvSpPr><p:nvPr>{ph}</p:nvPr></p:nvSpPr><p:spPr>{off}</p:spPr><p:txBody>{body}</p:txBody></p:sp>"
+
+    tree = lambda tag, shapes: f"<p:{tag} {names}><p:cSld><p:spTree>{''.join(shapes)}</p:spTree></p:cSld></p:{tag}>"
+    order = [2, 1, *range(3, len(slides) + 1)][: len(slides)]
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("ppt/presentation.xml", f"<p:presentation {names}><p:sldIdLst>" + "".join(f"<p:sldId id='{256 + n}' r:id='r{n}'/>" for n in order) + "</p:sldIdLst></p:presentation>")
+        z.writestr("ppt/_rels/presentation.xml.rels", rel(*((f"r{n}", "slide", f"slides/slide{n}.xml") for n in order)))
+        z.writestr("ppt/slideLayouts/l.xml", tree("sldLayout", [sp(i, t, []) for i, t in layout.items()]))
+        for n, shapes in zip(order, slides, strict=True):
+            z.writestr(f"ppt/slides/slide{n}.xml", tree("sld", [sp(*s) for s in shapes]))
+            z.writestr(f"ppt/slides/_rels/slide{n}.xml.rels", rel(("x", "slideLayout", "../slideLayouts/l.xml")))
+
+
+def test_presentations(spark, tmp_path):
+    first = [(None, 300, ["low  line", " ", "next"]), (1, None, ["from+ the layout"]), (0, 5, ["Ti+tle"])]
+    presentation(tmp_path / "a.pptx", [first, [(None, None, ["alone &amp; last"])], [(2, 1, [" "])]], {0: 1, 1: 100})
+    (tmp_path / "b.pptx").write_bytes(b"PK\x03\x04 broken")
+    got = {Path(r.path).name: (r.text, r.status) for r in documents.read_files(spark, str(tmp_path)).collect()}
+    assert got["a.pptx"] == ("[Slide 1: Title]\nfrom the layout\nlow line\nnext\n\nalone & last", "ok") and got["b.pptx"] == (None, "no text")
 
 
 def test_pdf_words_and_slides(spark):
@@ -53,6 +91,20 @@ def test_qa(spark):
     assert web_too[10].used_web and web_too[10].sources == ["u1"] and not web_too[12].used_web
     assert qa.answer(questions.limit(0), docs, pages).count() == 0
 
+    def reader():
+        return lambda rows: [("in stone", 0.91234) if "harbour" in q else (" maybe ", 0.0312) for q, _ in rows]
+
+    read = {r.q_id: r for r in qa.answer(questions, docs, pages, reader).collect()}
+    assert (read[10].answer, read[10].score) == ("in stone", 0.9123)
+    assert read[11].answer == "maybe\n\n*(Low confidence — 3%. The answer may not be clear from available context.)*" and read[11].score == 0.0312
+    assert read[12].answer == L.NOTHING_FOUND and read[12].score == 0.0
+
+    def broken():
+        raise OSError("no model")
+
+    fallen = {r.q_id: r for r in qa.answer(questions, docs, reader=broken).collect()}
+    assert fallen[10].answer == "The harbour was built in stone long ago." and fallen[10].score == 0.0
+
 
 def test_stream_equals_batch(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(20)
