@@ -9,6 +9,7 @@ from . import lexicon as L
 from .columns import clamp, first_by, let, replace, split_words, strings, strip, strip_characters
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# Patterns of answers.
 SUCH_AS = r"(?iU)such as\s+(.+?)(?:\.|,\s+(?:and|but|or)\s+\w+|\s+–|\s+—|\s*$)"
 INCLUDING = r"(?iU)including\s+(.+?)(?:\.|,\s+(?:and|but)\s+[a-z]|\s*$)"
 PARENTHESES = r"\(([^)]{3,60})\)"
@@ -18,6 +19,7 @@ DECADE = r"(?iU)\bthe\s+\d{4}s\b"
 DATE = rf"(?iU)\b(?:{'|'.join(L.MONTHS)})(?:\s+\d{{1,2}})?(?:,\s*\d{{4}})?\b"
 YEAR = r"(?U)\b(?:1[5-9]\d{2}|20[0-3]\d)\b"
 PERCENT = r"(?U)\b\d+(?:\.\d+)?\s*%"
+
 CANDIDATES = "array<struct<span:string,type:string,source:string,confidence:double>>"
 
 

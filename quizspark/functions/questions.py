@@ -11,6 +11,13 @@ from .columns import clamp, let, normalise, replace, split_words, strip, word_se
 
 LETTERS = ("A", "B", "C", "D")
 
+# Patterns of question words, and the beginnings that tell types of questions apart.
+QUESTION_START = r"(?U)\A(what|who|when|where|which|how|why)\b"
+QUESTION_STEM = r"(?U)\A(what|who|when|where|which|how|why)\s+(is|are|was|were|does|do|did|has|have)?\s*"
+FACTUAL, ANALYTICAL = ("who", "when", "where", "which"), ("why", "how", "explain", "in what")
+# Most overlap of stem and answer, least overlap of options that are too similar.
+GIVEN_AWAY, TOO_SIMILAR = 0.65, 0.40
+
 
 def highlight(answer: Column, sentence: Column) -> Column:
     """Model input: the first occurrence of the answer marked, or the answer appended."""
@@ -78,12 +85,12 @@ def word_overlap(a: Column, b: Column) -> Column:
 
 def stem(question: Column) -> Column:
     """Without question word, auxiliary verb and question mark."""
-    body = replace(F.lower(question), r"(?U)\A(what|who|when|where|which|how|why)\s+(is|are|was|were|does|do|did|has|have)?\s*", "")
+    body = replace(F.lower(question), QUESTION_STEM, "")
     return strip(replace(body, r"\?+\z", ""))
 
 
 def gives_away(question: Column, answer: Column) -> Column:
-    return word_overlap(stem(question), F.lower(answer)) > 0.65
+    return word_overlap(stem(question), F.lower(answer)) > GIVEN_AWAY
 
 
 def too_similar(options: Column) -> Column:
@@ -93,14 +100,14 @@ def too_similar(options: Column) -> Column:
         out = F.lit(True)
         for i in range(4):
             for j in range(i + 1, 4):
-                out = out & (_jaccard(F.get(sets, F.lit(i)), F.get(sets, F.lit(j))) >= 0.40)
+                out = out & (_jaccard(F.get(sets, F.lit(i)), F.get(sets, F.lit(j))) >= TOO_SIMILAR)
         return out
 
     return let(F.transform(options, word_set), of)
 
 
 def is_good(question: Column, answer: Column, options: Column) -> Column:
-    body = replace(replace(F.lower(question), r"(?U)\A(what|who|when|where|which|how|why)\b", ""), r"\A[ ?]+|[ ?]+\z", "")
+    body = replace(replace(F.lower(question), QUESTION_START, ""), r"\A[ ?]+|[ ?]+\z", "")
     shown = F.contains(body, F.lower(answer)) & (F.size(split_words(answer)) >= 3)
     return (F.size(split_words(question)) >= 5) & F.endswith(strip(question), F.lit("?")) & ~gives_away(question, answer) & ~too_similar(options) & ~shown
 
@@ -114,7 +121,7 @@ def explanation(answer: Column, sentence: Column) -> Column:
 
 def question_type(question: Column) -> Column:
     q = F.lower(question)
-    return F.when(starts_with_any(q, ("who", "when", "where", "which")), "factual").when(starts_with_any(q, ("why", "how", "explain", "in what")), "analytical").otherwise("conceptual")
+    return F.when(starts_with_any(q, FACTUAL), "factual").when(starts_with_any(q, ANALYTICAL), "analytical").otherwise("conceptual")
 
 
 def reading_grade(text: Column) -> Column:

@@ -13,8 +13,30 @@ from . import lexicon as L
 from .columns import first_by, let, replace, split_words, strings, strip
 
 
+# Links, in the order they go.
+LINKS = (r"\[\[?\p{Nd}+\]?\([^)]*\)\]?", r"\[https?://[^\]]+\]", r"(?U)https?://\S+")
+
+# Noise and what replaces it, in this order.
+NOISE = (
+    (r"\[Slide \p{Nd}+[^\]]*\]", " "),
+    (r"(?U)https?://\S+", ""),
+    (r"(?mU)^#+\s+", " "),
+    (r"\[[^\]]{0,60}\]", ""),
+    (r"\(\p{Nd}+\)", ""),
+    (r"(?U)\d+\s*[×x]\s*\d+[\d\s×x]+", " "),
+    (r"\.{3,}", "."),
+    (r"-{2,}", " "),
+    (r"(?U):(?!\s)", ": "),
+    (r"[ \t]+", " "),
+    (r"\n{2,}", "\n\n"),
+)
+
+# Limits of the sentence predicates.
+SYMBOL_SHARE, EQUATION_SHARE, HEADING_WORDS, HEADING_CAPITALS, LAYER_SHARE, NUMBER_SHARE, PREFIX = 0.015, 0.3, 15, 0.45, 0.35, 0.4, 70
+
+
 def remove_links(text: Column) -> Column:
-    for pattern in (r"\[\[?\p{Nd}+\]?\([^)]*\)\]?", r"\[https?://[^\]]+\]", r"(?U)https?://\S+"):
+    for pattern in LINKS:
         text = replace(text, pattern, "")
     return text
 
@@ -46,20 +68,7 @@ def fix_encoding(text: Column, compose: bool = True) -> Column:
 
 
 def strip_noise(text: Column) -> Column:
-    steps = (
-        (r"\[Slide \p{Nd}+[^\]]*\]", " "),
-        (r"(?U)https?://\S+", ""),
-        (r"(?mU)^#+\s+", " "),
-        (r"\[[^\]]{0,60}\]", ""),
-        (r"\(\p{Nd}+\)", ""),
-        (r"(?U)\d+\s*[×x]\s*\d+[\d\s×x]+", " "),
-        (r"\.{3,}", "."),
-        (r"-{2,}", " "),
-        (r"(?U):(?!\s)", ": "),
-        (r"[ \t]+", " "),
-        (r"\n{2,}", "\n\n"),
-    )
-    for pattern, by in steps:
+    for pattern, by in NOISE:
         text = replace(text, pattern, by)
     return strip(text)
 
@@ -103,8 +112,8 @@ def letter_share(s: Column) -> Column:
 def is_math_heavy(s: Column, words: Column) -> Column:
     symbols = F.regexp_count(s, F.lit(r"[\p{Sm}\p{So}\p{Mn}\x{1D400}-\x{1D7FF}\x{0D80}-\x{0DFF}]")) / F.greatest(F.length(s), F.lit(1))
     listed = F.rlike(s, F.lit(rf"[\x{{1D400}}-\x{{1D7FF}}\x{{0D80}}-\x{{0DFF}}{L.MATH_SYMBOLS}]"))
-    equations = F.regexp_count(s, F.lit("[=+×÷]")) / F.greatest(F.size(words), F.lit(1)) > 0.3
-    return (symbols > 0.015) | listed | (F.rlike(s, F.lit(r"(?U)\d+\s*[=+\-×÷/]\s*\d+")) & equations)
+    equations = F.regexp_count(s, F.lit("[=+×÷]")) / F.greatest(F.size(words), F.lit(1)) > EQUATION_SHARE
+    return (symbols > SYMBOL_SHARE) | listed | (F.rlike(s, F.lit(r"(?U)\d+\s*[=+\-×÷/]\s*\d+")) & equations)
 
 
 def is_heading(s: Column, words: Column) -> Column:
@@ -112,7 +121,7 @@ def is_heading(s: Column, words: Column) -> Column:
     bare = F.transform(words, lambda w: replace(F.lower(w), r'\A[.,;:!?"]+|[.,;:!?"]+\z', ""))
     verbless = ~F.arrays_overlap(bare, strings(L.HEADING_VERBS))
     capitals = F.size(F.filter(words, lambda w: F.rlike(w, F.lit(r"\A\p{Lu}")))) / F.greatest(n, F.lit(1))
-    short = (n <= 15) & (capitals > 0.45)
+    short = (n <= HEADING_WORDS) & (capitals > HEADING_CAPITALS)
     long = (n > 8) & ~F.rlike(s, F.lit(r"[.!?]\z")) & (capitals > 0.55) & (F.length(s) - F.length(F.replace(s, F.lit(","), F.lit(""))) >= 2)
     quoted = s.contains('"') & (n <= 12)
     return verbless & (short | long | quoted | s.endswith("]"))
@@ -124,11 +133,11 @@ def is_numbered(s: Column) -> Column:
 
 def is_architecture(words: Column) -> Column:
     named = F.filter(words, lambda w: F.rlike(w, F.lit(r"(?U)\A[\d×x\-]+\z")) | w.isin(*L.LAYER_NAMES))
-    return F.size(named) / F.greatest(F.size(words), F.lit(1)) > 0.35
+    return F.size(named) / F.greatest(F.size(words), F.lit(1)) > LAYER_SHARE
 
 
 def is_numeric(words: Column) -> Column:
-    return F.size(F.filter(words, lambda w: F.rlike(replace(w, "[.,]", ""), F.lit(r"\A\p{Nd}+\z")))) > F.size(words) * 0.4
+    return F.size(F.filter(words, lambda w: F.rlike(replace(w, "[.,]", ""), F.lit(r"\A\p{Nd}+\z")))) > F.size(words) * NUMBER_SHARE
 
 
 def is_good_sentence(s: Column) -> Column:
@@ -142,7 +151,7 @@ def is_good_sentence(s: Column) -> Column:
 
 
 def prefix_key(s: Column) -> Column:
-    return F.substring(strip(F.lower(s)), 1, 70)
+    return F.substring(strip(F.lower(s)), 1, PREFIX)
 
 
 def good_sentences(text: Column) -> Column:
