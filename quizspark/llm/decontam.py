@@ -57,7 +57,7 @@ def minima_of(size_class: Column, percent: int) -> Column:
 
 
 def _shingles(texts: DataFrame, widths: list[int], keys: list[str], spelled: bool) -> DataFrame:
-    """texts: keys, words. A row for each place and width: keys, width, gram (a hash that covers the width), and the words if spelled."""
+    """texts: keys, words. A row for each place and width: keys, width, gram (a hash of the words), and the words if spelled."""
 
     def grams(width: int) -> Column:
         n = F.size("words") - (width - 1)
@@ -66,17 +66,17 @@ def _shingles(texts: DataFrame, widths: list[int], keys: list[str], spelled: boo
 
     def of(width: int) -> Column:
         def gram(i: Column) -> Column:
-            words = [F.get("b.words", i + j) for j in range(width)]
-            out = F.xxhash64(F.lit(width), *words)
-            return F.struct(out.alias("gram"), F.concat_ws(" ", *words).alias("spelled")) if spelled else F.struct(out.alias("gram"))
+            words = F.slice("b.words", i, width)
+            return F.struct(F.xxhash64(words).alias("gram"), F.array_join(words, " ").alias("spelled")) if spelled else F.xxhash64(words)
 
-        return F.transform(F.sequence(F.lit(0), F.size("b.words") - width), gram)
+        return F.transform(F.sequence(F.lit(1), F.size("b.words") - (width - 1)), gram)
 
     blocks = texts.select(*keys, F.explode(F.concat(*map(grams, widths))).alias("b"))
     each = of(widths[-1])
     for width in widths[:-1]:
         each = F.when(F.col("b.width") == width, of(width)).otherwise(each)
-    return blocks.select(*keys, F.col("b.width").alias("width"), F.explode(each).alias("g")).select(*keys, "width", "g.*")
+    out = blocks.select(*keys, F.col("b.width").alias("width"), F.explode(each).alias("gram"))
+    return out.select(*keys, "width", "gram.*") if spelled else out
 
 
 def _item_shingles(items: DataFrame, shingle: int) -> DataFrame:
@@ -106,8 +106,8 @@ def find_contained(docs: DataFrame, items: DataFrame, percent: int = 80, shingle
     small = signed.count() <= BROADCAST_ROWS
     given = docs.select(F.col(quoted(id_col)).alias("doc_id"), words_of(F.col(quoted(text_col))).alias("words"))
     # Rows of one id count together, so how many places a document has is asked only of all its rows.
-    grams = _shingles(given, widths, ["doc_id"], False)
-    met = grams.join(F.broadcast(signed) if small else signed, ["width", "gram"]).groupBy("doc_id", "item_id", "width").agg(F.max("need").alias("need"))
+    grams = _shingles(given, widths, ["doc_id"], False).select("doc_id", "gram")  # one number, the fastest key; widths differ in their hashes
+    met = grams.join(F.broadcast(signed) if small else signed, "gram").groupBy("doc_id", "item_id", "width").agg(F.max("need").alias("need"))
     candidates = materialise(met)
     ids = candidates.select(F.col("doc_id").alias("id")).distinct()
     again = given.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
