@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, numbered, with_place
 
-GROUP = 8
+GROUP = 2
 RUN = 4096
 _ADDED = ("size", "law", "shard", "slot")
 
