@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import Batches, batch, materialise, quoted, text_bytes
 
 END_ID = 1
+_PUNCTUATION = string.punctuation.encode()
 _PIECES = "piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 _PLACED = "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -42,11 +43,12 @@ class ChunkIds:
     """Chunk bytes -> its ids as little-endian 32-bit bytes. With `most` entries it becomes the old generation and starts anew;
     what is met again moves over, so frequent chunks stay and memory is bounded.
 
-    A chunk of Latin-1 letters with ASCII punctuation behind it is two pre-tokens, and case doesn't matter to its letters. New
-    letter runs are encoded many at once: joined by spaces, each ends at the first id that closes a word.
+    A chunk of Latin-1 letters with ASCII punctuation behind it is two pre-tokens, and case doesn't matter to its letters. Both are
+    chunks themselves, so one table serves for all. New letter runs are encoded many at once: joined by spaces, each ends at the
+    first id that closes a word.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 500_000):
+    def __init__(self, tokenizer_json: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,40 +59,54 @@ class ChunkIds:
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        self.old_runs: dict[str, bytes] = {}
+
+    def _lacks(self, chunk: bytes) -> bool:
+        """Whether the chunk is in neither generation; from the old one it moves over."""
+        if chunk in self.known:
+            return False
+        if (ids := self.old.get(chunk)) is None:
+            return True
+        self.known[chunk] = ids
+        return False
 
     def learn(self, chunks: Iterable[bytes]) -> None:
-        other, split, runs = [], [], {}
+        """chunks: distinct ones that neither generation has."""
+        runs, other, split = {}, {}, []
         for c in chunks:
-            s = c.decode()
-            run = s.rstrip(string.punctuation).lower()
-            if run.isalpha() and max(run) < "\u0100" and len(run) < 100:
-                split.append((c, run, s[len(run) :]))
-                if run not in self.runs:
-                    if run in self.old_runs:
-                        self.runs[run] = self.old_runs[run]
-                    else:
-                        runs[run] = None
-                if (rest := split[-1][2]) and rest not in self.runs:
-                    other.append(rest)
-            else:
-                other.append(s)
-        for names, keep in ((list(runs), self.runs), (list(dict.fromkeys(other)), None)):
-            for i in range(0, len(names), 4096):
-                part = names[i : i + 4096]
-                if keep is None:
-                    for s, e in zip(part, self.encode(part, add_special_tokens=False), strict=True):
-                        ids = np.asarray(e.ids, dtype="<u4").tobytes()
-                        self.known[s.encode()] = self.runs[s] = ids
+            stem = c.rstrip(_PUNCTUATION)
+            run = stem.lower()
+            if not run.isalpha():  # as ASCII
+                text = run.decode().lower()
+                if not (text.isalpha() and max(text) < "\u0100"):
+                    other[c] = None
                     continue
-                ids = np.asarray(self.encode([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-                ends, data, at = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist(), ids.tobytes(), 0
-                for run, end in zip(part, ends, strict=True):
-                    keep[run] = data[at:end]
-                    at = end
-        for c, run, rest in split:
-            self.known[c] = self.runs[run] + self.runs[rest] if rest else self.runs[run]
+                run = text.encode()
+            if len(run) >= 200:
+                other[c] = None
+            elif run == c:
+                runs[c] = None
+            else:
+                split.append((c, run, len(stem)))
+                if self._lacks(run):
+                    runs[run] = None
+                if len(stem) < len(c) and self._lacks(rest := c[len(stem) :]):
+                    other[rest] = None
+        names = list(other)
+        for i in range(0, len(names), 4096):
+            part = names[i : i + 4096]
+            for c, e in zip(part, self.encode([c.decode() for c in part], add_special_tokens=False), strict=True):
+                self.known[c] = np.asarray(e.ids, dtype="<u4").tobytes()
+        names = list(runs)
+        for i in range(0, len(names), 4096):
+            part = names[i : i + 4096]
+            ids = np.asarray(self.encode([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends, data, at = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist(), ids.tobytes(), 0
+            for run, end in zip(part, ends, strict=True):
+                self.known[run] = data[at:end]
+                at = end
+        known = self.known
+        for c, run, n in split:
+            known[c] = known[run] + known[c[n:]] if n < len(c) else known[run]
 
     def ids(self, text: bytes) -> bytes:
         return self.all_ids([text])[0]
@@ -105,8 +121,6 @@ class ChunkIds:
         out = [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut]
         if len(self.known) > self.most:
             self.old, self.known = self.known, {}
-        if len(self.runs) > self.most:
-            self.old_runs, self.runs = self.runs, {}
         return out
 
 
