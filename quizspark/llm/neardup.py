@@ -65,7 +65,7 @@ def ranges(bins: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 def _sketch(shingle: int, bins: int, rows: int, seed: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         schema = pa.schema([("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
-        known, (edges, order) = WordHashes(), ranges(bins, seed)
+        known, (edges, order) = WordHashes(250_000), ranges(bins, seed)
         salt = mix(np.arange(1, bins // rows + 1, dtype=np.uint64))
         for b in batches:
             sizes, keys, bands = [], [], []
@@ -89,7 +89,7 @@ def _sketch(shingle: int, bins: int, rows: int, seed: int) -> Callable[[Batches]
 
 def _sets(shingle: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
-        schema, known = pa.schema([("node", pa.int64()), ("hashes", pa.binary())]), WordHashes()
+        schema, known = pa.schema([("node", pa.int64()), ("hashes", pa.binary())]), WordHashes(250_000)
         for b in batches:
             yield batch(schema, b.column(0), [shingle_set(known.of(words(t)), shingle).tobytes() for t in text_bytes(b.column(1))])
 
