@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, batch, materialise, quoted, text_bytes, unused
+from .common import Batches, batch, materialise, quoted, released, text_bytes, unused
 from .shingles import WordHashes, mix, shingle_set, words
 
 SALTED = 256
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
     numbered = given.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", "text")
     kind = given.schema["doc_id"].dataType.simpleString()
     sketch = f"row long, doc_id {kind}, text_key long, n_shingles long, set_key binary, bands array<long>"
-    sketches = materialise(numbered.mapInArrow(_sketch(shingle, bins, rows, seed), sketch))
+    sketches = materialise(numbered.mapInArrow(released(_sketch(shingle, bins, rows, seed)), sketch))
     whole = sketches.where("set_key is not null and doc_id is not null")
     first = F.min(F.struct("row", "doc_id", "text_key", "n_shingles", "bands"))
     classes = whole.groupBy("set_key").agg(first.alias("s"), F.min("doc_id").alias("least"), F.count("*").alias("same"))
@@ -222,14 +222,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
     members = materialise(in_bands.join(materialise(shared), "bucket"))
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key")
     texts = given.join(wanted, ["doc_id", "text_key"]).groupBy("doc_id", "text_key", "node").agg(F.min("text").alias("text"))
-    sets = materialise(texts.select("node", "text").mapInArrow(_sets(shingle), "node long, hashes binary"))
+    sets = materialise(texts.select("node", "text").mapInArrow(released(_sets(shingle)), "node long, hashes binary"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """pairs: u, un, v, vn; sizes alone rule out many."""
         near = pairs.where(100 * F.least("un", "vn") >= percent * F.greatest("un", "vn")).select("u", "v").distinct()
         a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("x"))
         b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("y"))
-        return materialise(near.join(b, "v").join(a, "u").select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long"))
+        return materialise(near.join(b, "v").join(a, "u").select("u", "v", "x", "y").mapInArrow(released(_confirm(percent)), "u long, v long"))
 
     candidates = members.where("node <> centre.node").select(F.col("centre.node").alias("u"), F.col("centre.n").alias("un"), F.col("node").alias("v"), F.col("n").alias("vn"))
     links = confirm(candidates).union(_same_id(whole, classes))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, batch, materialise, quoted, text_bytes
+from .common import Batches, batch, materialise, quoted, released, text_bytes
 
 END_ID = 1
 _PUNCTUATION = string.punctuation.encode()
@@ -48,7 +48,7 @@ class ChunkIds:
     first id that closes a word.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 700_000):
+    def __init__(self, tokenizer_json: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -231,7 +231,7 @@ def pack_best_fit(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id
         tokenizer = spark.sparkContext.broadcast(f.read())
     given = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string"))
     kind = given.schema[0].dataType.simpleString()
-    pieces = materialise(given.mapInArrow(_tokenise(tokenizer, capacity), f"doc_id {kind}, {_PIECES}"))
+    pieces = materialise(given.mapInArrow(released(_tokenise(tokenizer, capacity)), f"doc_id {kind}, {_PIECES}"))
     parts = materialise(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
     histogram = {r[0]: r[1] for r in parts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(plan_best_fit(histogram, capacity)[0])

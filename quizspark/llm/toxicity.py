@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
-from .common import Batches, batch, numbered, quoted
+from .common import Batches, batch, numbered, quoted, released
 
 MAX_ROWS = 10_000
 MAX_FEATURES = 1_500
@@ -158,7 +158,7 @@ def fit(labelled: DataFrame, counterfactual: float = COUNTERFACTUAL) -> Model:
     if n1 in (0, n):
         rate = (n1 + 1) / (n + 2)
         return Model(math.log(rate / (1 - rate)))
-    counted = labelled.mapInArrow(_count, "feature long, pos long, df long").groupBy("feature").agg(F.sum("pos").alias("p"), F.sum("df").alias("df")).where("df >= 5")
+    counted = labelled.mapInArrow(released(_count), "feature long, pos long, df long").groupBy("feature").agg(F.sum("pos").alias("p"), F.sum("df").alias("df")).where("df >= 5")
 
     def term(seen, expected):
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
@@ -168,7 +168,7 @@ def fit(labelled: DataFrame, counterfactual: float = COUNTERFACTUAL) -> Model:
     best = counted.select("feature", g.alias("g")).where(F.col("g") >= G_LEAST).orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).collect()
     of_terms = {x for w in _SWAPS for x in features(w)}  # a fixed list
     chosen = labelled.sparkSession.sparkContext.broadcast({r[0] for r in best} | of_terms)
-    rows = labelled.mapInArrow(_extract(chosen), "label int, features array<long>, counts array<int>, swaps array<string>").toArrow()
+    rows = labelled.mapInArrow(released(_extract(chosen)), "label int, features array<long>, counts array<int>, swaps array<string>").toArrow()
     return _fit_rows(rows, sorted(chosen.value), counterfactual)
 
 
@@ -241,7 +241,7 @@ def _score(model: Model) -> Callable[[Batches], Batches]:
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns the id and a score in (0, 1) for every row."""
     given = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string"))
-    return given.mapInArrow(_score(model), T.StructType([given.schema[0], T.StructField("score", T.DoubleType())]))
+    return given.mapInArrow(released(_score(model)), T.StructType([given.schema[0], T.StructField("score", T.DoubleType())]))
 
 
 def _keep(model: Model, at: int, threshold: float) -> Callable[[Batches], Batches]:
@@ -261,7 +261,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
     if not model.weights:
         return docs
     given = numbered(docs)
-    return given.mapInArrow(_keep(model, docs.columns.index(text_col), threshold), given.schema).toDF(*docs.columns)
+    return given.mapInArrow(released(_keep(model, docs.columns.index(text_col), threshold)), given.schema).toDF(*docs.columns)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, allowed, max_rows: int = MAX_ROWS) -> DataFrame:
