@@ -173,19 +173,24 @@ def fit(labelled: DataFrame, counterfactual: float = COUNTERFACTUAL) -> Model:
 
 
 def _fit_rows(rows: pa.Table, names: list[int], counterfactual: float) -> Model:
+    """Features that no row and no swap holds would get the weight 0, so they get no column."""
+    pairs = Counter(s for swap in rows.column("swaps").to_pylist() for s in swap)
+    rows = rows.combine_chunks()
+    found = [rows.column(c).combine_chunks() for c in ("features", "counts")]
+    flat, counts = (np.asarray(f.flatten()) for f in found)
+    row = np.repeat(np.arange(len(rows)), np.asarray(found[0].value_lengths()))
+    names = np.intersect1d(names, np.concatenate([flat, *([f for f in features(w)] for pair in pairs for w in pair.split())]))
     y = np.asarray(rows.column("label").to_pylist(), dtype=np.float32)
-    at = {name: k for k, name in enumerate(names)}
     x = np.zeros((len(y), len(names)), dtype=np.float32)
-    for r, (found, counts) in enumerate(zip(rows.column("features").to_pylist(), rows.column("counts").to_pylist(), strict=True)):
-        x[r, [at[f] for f in found]] = counts
-    pairs = Counter(s for swap in rows.column("swaps").to_pylist() for s in swap)
+    x[row, np.searchsorted(names, flat)] = counts
+    del flat, counts, row, found, rows
     change = np.zeros((len(pairs), len(names)), dtype=np.float32)
     for k, pair in enumerate(pairs):
         for w, sign in zip(pair.split(), (-1, 1), strict=True):
             for f in features(w):
-                change[k, at[f]] += sign
+                change[k, np.searchsorted(names, f)] += sign
     w, b = _newton(x, y, change, np.array(list(pairs.values()), dtype=np.float32), counterfactual)
-    return Model(float(b), {name: float(v) for name, v in zip(names, w, strict=True) if v})
+    return Model(float(b), {int(name): float(v) for name, v in zip(names, w, strict=True) if v})
 
 
 def _newton(x, y, change, times, counterfactual: float, l2: float = 1e-4, steps: int = 12) -> tuple[np.ndarray, float]:
