@@ -98,15 +98,20 @@ def batch(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
 Batches = Iterator[pa.RecordBatch]
 
 
+def release() -> None:
+    """Memory that this process has freed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """run, after whose last batch the memory it freed goes back to the system: a worker lives on and serves other stages."""
+    """run, after whose last batch the memory it freed is released: a worker lives on and serves other stages."""
 
     def then_release(batches: Batches) -> Batches:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        release()
 
     return then_release

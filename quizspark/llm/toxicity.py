@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
-from .common import Batches, batch, numbered, quoted, released
+from .common import Batches, batch, numbered, quoted, release, released
 
 MAX_ROWS = 10_000
 MAX_FEATURES = 1_500
@@ -169,21 +169,22 @@ def fit(labelled: DataFrame, counterfactual: float = COUNTERFACTUAL) -> Model:
     of_terms = {x for w in _SWAPS for x in features(w)}  # a fixed list
     chosen = labelled.sparkSession.sparkContext.broadcast({r[0] for r in best} | of_terms)
     rows = labelled.mapInArrow(released(_extract(chosen)), "label int, features array<long>, counts array<int>, swaps array<string>").toArrow()
-    return _fit_rows(rows, sorted(chosen.value), counterfactual)
+    model = _fit_rows(rows, sorted(chosen.value), counterfactual)
+    del rows
+    release()
+    return model
 
 
 def _fit_rows(rows: pa.Table, names: list[int], counterfactual: float) -> Model:
     """Features that no row and no swap holds would get the weight 0, so they get no column."""
     pairs = Counter(s for swap in rows.column("swaps").to_pylist() for s in swap)
-    rows = rows.combine_chunks()
+    y = np.asarray(rows.column("label").to_pylist(), dtype=np.float32)
     found = [rows.column(c).combine_chunks() for c in ("features", "counts")]
     flat, counts = (np.asarray(f.flatten()) for f in found)
-    row = np.repeat(np.arange(len(rows)), np.asarray(found[0].value_lengths()))
-    names = np.intersect1d(names, np.concatenate([flat, *([f for f in features(w)] for pair in pairs for w in pair.split())]))
-    y = np.asarray(rows.column("label").to_pylist(), dtype=np.float32)
-    x = np.zeros((len(y), len(names)), dtype=np.float32)
-    x[row, np.searchsorted(names, flat)] = counts
-    del flat, counts, row, found, rows
+    starts = np.concatenate([[0], np.cumsum(np.asarray(found[0].value_lengths()))])
+    names = np.intersect1d(names, np.concatenate([flat, *(features(w) for pair in pairs for w in pair.split())]))
+    x = Evidence(starts, np.searchsorted(names, flat).astype(np.int32), counts.astype(np.float32), len(names))
+    del flat, counts, found, rows
     change = np.zeros((len(pairs), len(names)), dtype=np.float32)
     for k, pair in enumerate(pairs):
         for w, sign in zip(pair.split(), (-1, 1), strict=True):
@@ -193,10 +194,29 @@ def _fit_rows(rows: pa.Table, names: list[int], counterfactual: float) -> Model:
     return Model(float(b), {int(name): float(v) for name, v in zip(names, w, strict=True) if v})
 
 
-def _newton(x, y, change, times, counterfactual: float, l2: float = 1e-4, steps: int = 12) -> tuple[np.ndarray, float]:
+@dataclass
+class Evidence:
+    """The rows' feature counts: those of row i are at starts[i] to starts[i + 1]. Dense only a block of rows at a time."""
+
+    starts: np.ndarray
+    columns: np.ndarray
+    counts: np.ndarray
+    width: int
+
+    def blocks(self, rows: int = 1_024) -> Iterable[tuple[slice, np.ndarray]]:
+        """(place, counts of the block's rows, a last column of ones)."""
+        for first in range(0, len(self.starts) - 1, rows):
+            at = self.starts[first : first + rows + 1]
+            dense = np.zeros((len(at) - 1, self.width + 1), dtype=np.float32)
+            dense[:, -1] = 1
+            inside = slice(at[0], at[-1])
+            dense[np.repeat(np.arange(len(at) - 1), np.diff(at)), self.columns[inside]] = self.counts[inside]
+            yield slice(first, first + len(dense)), dense
+
+
+def _newton(x: Evidence, y, change, times, counterfactual: float, l2: float = 1e-4, steps: int = 12) -> tuple[np.ndarray, float]:
     """Newton's method on the mean log loss + L2 + mean squared score change over the counterfactual pairs."""
-    n, k = x.shape
-    x = np.hstack([x, np.ones((n, 1), np.float32)])
+    n, k = len(y), x.width
     share = counterfactual * times / max(1.0, float(times.sum()))
     still = np.zeros((k + 1, k + 1))
     still[:k, :k] = 2 * (change.T * share) @ change
@@ -204,9 +224,11 @@ def _newton(x, y, change, times, counterfactual: float, l2: float = 1e-4, steps:
     w = np.zeros(k + 1)
     w[k] = math.log((y.sum() + 1) / (n - y.sum() + 1))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
-        slope = (p - y) @ x / n + still @ w
-        curve = (x.T * (p * (1 - p) / n)) @ x + still
+        slope, curve = still @ w, still.copy()
+        for place, block in x.blocks():
+            p = 1 / (1 + np.exp(-np.clip(block @ w.astype(np.float32), -30, 30)))
+            slope += (p - y[place]) @ block / n
+            curve += (block.T * (p * (1 - p) / n)) @ block
         curve[k, k] += 1e-9
         step = np.linalg.solve(curve, slope)
         w -= step / max(1.0, np.abs(step).max() / 4)
