@@ -113,10 +113,12 @@ def counterfactuals(text: str | None) -> Iterable[tuple[str, str]]:
 
 
 class WordFeatures(dict):
-    """Word -> its features. Cleared when it has `most` entries, to bound memory."""
+    """Word -> its features, some 600 bytes. Cleared when it has `most` entries, to bound memory."""
+
+    most = 60_000
 
     def __missing__(self, word: str) -> list[int]:
-        if len(self) >= 200_000:
+        if len(self) >= self.most:
             self.clear()
         self[word] = found = features(word)
         return found
@@ -132,7 +134,7 @@ def _count(batches: Batches) -> Batches:
             df.update(found)
             if label == 1:
                 pos.update(found)
-            if len(df) > 500_000:
+            if len(df) > 250_000:
                 yield batch(schema, list(df), [pos[x] for x in df], list(df.values()))
                 pos, df = Counter(), Counter()
     yield batch(schema, list(df), [pos[x] for x in df], list(df.values()))
@@ -240,7 +242,7 @@ def _newton(x: Evidence, y, change, times, counterfactual: float, l2: float = 1e
 class WordWeights(dict):
     """Word -> its weight. Cleared when it has `most` entries, to bound memory."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 250_000):
         super().__init__()
         self.model, self.most = model, most
 
