@@ -213,6 +213,7 @@ def _give(free: dict, rooms: list[int], room: int, first: int, count: int) -> No
 
 def _place(plan) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
+        chunk_ids.cache_clear()  # the texts are tokenised; the worker lives on and serves other stages
         entries = plan.value
         keys = (entries[:, 0] << 44) | entries[:, 1]
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
@@ -237,4 +238,4 @@ def pack_best_fit(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id
     plan = spark.sparkContext.broadcast(plan_best_fit(histogram, capacity)[0])
     offsets = parts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     ranked = pieces.join(offsets.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local_rank")).alias("rank"))
-    return ranked.mapInArrow(_place(plan), f"doc_id {kind}, {_PLACED}")
+    return ranked.mapInArrow(released(_place(plan)), f"doc_id {kind}, {_PLACED}")
