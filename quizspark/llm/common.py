@@ -91,6 +91,11 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def each(column: pa.Array) -> Iterator:
+    """The values one by one: a batch may hold thousands of texts, which needn't all exist as objects at once."""
+    return (x.as_py() for x in column)
+
+
 def batch(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, types as T
 from pyspark.sql import functions as F
 
-from .common import Batches, batch, numbered, quoted, release, released
+from .common import Batches, batch, each, numbered, quoted, release, released
 
 MAX_ROWS = 10_000
 MAX_FEATURES = 1_500
@@ -129,7 +129,7 @@ def _count(batches: Batches) -> Batches:
     schema = pa.schema([("feature", pa.int64()), ("pos", pa.int64()), ("df", pa.int64())])
     known, pos, df = WordFeatures(), Counter(), Counter()
     for b in batches:
-        for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for label, text in zip(b.column(0).to_pylist(), each(b.column(1)), strict=True):
             found = {x for w in distinct_words(text) for x in known[w]}
             df.update(found)
             if label == 1:
@@ -146,7 +146,7 @@ def _extract(chosen) -> Callable[[Batches], Batches]:
         known, wanted = WordFeatures(), chosen.value
         for b in batches:
             rows = []
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for label, text in zip(b.column(0).to_pylist(), each(b.column(1)), strict=True):
                 counts = Counter(x for w in distinct_words(text) for x in known[w] if x in wanted)
                 rows.append((label, list(counts), list(counts.values()), sorted({f"{a} {c}" for a, c in counterfactuals(text)})))
             yield batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 4))
@@ -261,7 +261,7 @@ def _score(model: Model) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         known = WordWeights(model)
         for b in batches:
-            scores = [known.score(t) for t in b.column(1).to_pylist()]
+            scores = [known.score(t) for t in each(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=[b.schema.names[0], "score"])
 
     return run
@@ -277,7 +277,7 @@ def _keep(model: Model, at: int, threshold: float) -> Callable[[Batches], Batche
     def run(batches: Batches) -> Batches:
         known = WordWeights(model)
         for b in batches:
-            yield b.filter(pa.array([known.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([known.score(t) < threshold for t in each(b.column(at))], pa.bool_()))
 
     return run
 
