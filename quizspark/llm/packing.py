@@ -48,7 +48,7 @@ class ChunkIds:
     first id that closes a word.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 600_000):
+    def __init__(self, tokenizer_json: str, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -125,15 +125,15 @@ class ChunkIds:
 
 
 @functools.lru_cache(maxsize=1)
-def chunk_ids(tokenizer_json: str) -> ChunkIds:
+def chunk_ids(tokenizer_json: str, most: int) -> ChunkIds:
     """One for each Python worker, which serves many tasks."""
-    return ChunkIds(tokenizer_json)
+    return ChunkIds(tokenizer_json, most)
 
 
-def _tokenise(tokenizer_json, capacity: int) -> Callable[[Batches], Batches]:
+def _tokenise(tokenizer_json, capacity: int, known_chunks: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         schema = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("local_rank", pa.int64())])
-        cache, seen, end, step = chunk_ids(tokenizer_json.value), [0] * (capacity + 1), np.array([END_ID], "<u4").tobytes(), 4 * capacity
+        cache, seen, end, step = chunk_ids(tokenizer_json.value, known_chunks), [0] * (capacity + 1), np.array([END_ID], "<u4").tobytes(), 4 * capacity
         part = TaskContext.get().partitionId()
         for b in batches:
             rows: list[tuple] = []
@@ -225,14 +225,17 @@ def _place(plan) -> Callable[[Batches], Batches]:
     return run
 
 
-def pack_best_fit(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. capacity is below 2**18."""
+def pack_best_fit(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", known_chunks: int = 900_000) -> DataFrame:
+    """Returns a row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. capacity is below 2**18.
+
+    known_chunks: chunks a worker remembers in each of two generations; fewer need less memory and more time, the result is the same.
+    """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:  # a vocabulary file of fixed size, read on the driver and broadcast
         tokenizer = spark.sparkContext.broadcast(f.read())
     given = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)).cast("string"))
     kind = given.schema[0].dataType.simpleString()
-    pieces = materialise(given.mapInArrow(released(_tokenise(tokenizer, capacity)), f"doc_id {kind}, {_PIECES}"))
+    pieces = materialise(given.mapInArrow(released(_tokenise(tokenizer, capacity, known_chunks)), f"doc_id {kind}, {_PIECES}"))
     parts = materialise(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
     histogram = {r[0]: r[1] for r in parts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(plan_best_fit(histogram, capacity)[0])
