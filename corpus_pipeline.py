@@ -49,8 +49,11 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each row; a null or empty text is one piece, the end id."""
-    return pack_best_fit(docs, tokenizer_path())
+    """A row for each piece of each row; a null or empty text is one piece, the end id.
+
+    Executors still hold what earlier stages grew to, so a worker remembers fewer chunks than by default, at some more time.
+    """
+    return pack_best_fit(docs, tokenizer_path(), known_chunks=200_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
