@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions.columns import let, strings, strip, word_set
 from ..sources.providers import Factory, with_model_answers
+from .search import best_pages
 
 # Fixed value: model answers that score less carry a note.
 LOW_CONFIDENCE = 0.05
+# Least relevance of a page, and how many of the best pages are context.
+LEAST_RELEVANCE, CONTEXT_HITS = 0.2, 3
 
 
 def query_terms(question: Column, common: tuple[str, ...]) -> Column:
@@ -47,22 +50,30 @@ def sections(questions: DataFrame, docs: DataFrame, most: int = 5) -> DataFrame:
 def page_hits(questions: DataFrame, pages: DataFrame, hits: int = 4) -> DataFrame:
     """(q_id, question, page_id, url, text, relevance, hit): the best pages of each question by shared terms, ties to the smaller id.
 
-    Stands in for a web search: pages and questions meet on shared terms, not in a cross product.
+    Stands in for a web search. Frequent terms are in most questions and pages, so no row is made for a shared term (see search).
     """
-    asked = questions.select("q_id", "question", query_terms(F.col("question"), L.PAGE_COMMON_WORDS).alias("terms"))
-    wanted = asked.select("q_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    words = pages.where(F.coalesce("text", F.lit("")) != "").select("page_id", F.explode(word_set(F.col("text"))).alias("term"))
-    shared = wanted.join(words, "term").groupBy("q_id", "page_id").agg((F.count("*") / F.first("n")).alias("relevance"))
+    asked = questions.select("q_id", query_terms(F.col("question"), L.PAGE_COMMON_WORDS).alias("terms"))
+    words = pages.where(F.coalesce("text", F.lit("")) != "").select("page_id", word_set(F.col("text")).alias("terms"))
+    shared = best_pages(asked, words, hits).select("q_id", "page_id", (F.col("shared") / F.col("n")).alias("relevance"))
     place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("relevance"), "page_id"))
     best = shared.withColumn("hit", place).where(F.col("hit") <= hits)
-    return best.join(pages.select("page_id", "url", "text"), "page_id").join(asked.select("q_id", "question"), "q_id").select("q_id", "question", "page_id", "url", "text", "relevance", "hit")
+    return best.join(pages.select("page_id", "url", "text"), "page_id").join(questions.select("q_id", "question"), "q_id").select("q_id", "question", "page_id", "url", "text", "relevance", "hit")
 
 
-def web_context(found: DataFrame, least: float = 0.2, hits: int = 3) -> DataFrame:
+def web_context(found: DataFrame, least: float = LEAST_RELEVANCE, hits: int = CONTEXT_HITS) -> DataFrame:
     """(q_id, web): texts of the first hits over the threshold, joined by blank lines, cut to 5000 characters."""
-    kept = found.where((F.col("hit") <= hits) & (F.col("relevance") > least))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hit", "text"))), lambda x: x["text"]), "\n\n")
-    return kept.groupBy("q_id").agg(F.substring(joined, 1, 5000).alias("web"))
+    kept = found.where(_kept(least, hits))
+    return kept.groupBy("q_id").agg(_web(F.lit(True)).alias("web"))
+
+
+def _kept(least: float, hits: int) -> Column:
+    return (F.col("hit") <= hits) & (F.col("relevance") > least)
+
+
+def _web(kept: Column, most: int = 5000) -> Column:
+    """The texts of the rows kept, as an aggregate; '' if there are none. What a text has beyond the cut is not moved."""
+    texts = F.array_sort(F.collect_list(F.when(kept, F.struct("hit", F.substring("text", 1, most).alias("text")))))
+    return F.substring(F.array_join(F.transform(texts, lambda x: x["text"]), "\n\n"), 1, most)
 
 
 def keyword_answer(question: Column, context: Column) -> Column:
@@ -85,8 +96,8 @@ def answer(questions: DataFrame, docs: DataFrame | None = None, pages: DataFrame
     out = out.join(sections(questions, docs).select("q_id", F.col("context").alias("doc")), "q_id", "left") if docs is not None else out.withColumn("doc", F.lit(None).cast("string"))
     if pages is not None:
         found = page_hits(questions, pages)
-        sources = found.groupBy("q_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("hit", "url"))), lambda x: x["url"]).alias("sources"))
-        out = out.join(web_context(found), "q_id", "left").join(sources, "q_id", "left")
+        sources = F.transform(F.array_sort(F.collect_list(F.struct("hit", "url"))), lambda x: x["url"])
+        out = out.join(found.groupBy("q_id").agg(_web(_kept(LEAST_RELEVANCE, CONTEXT_HITS)).alias("web"), sources.alias("sources")), "q_id", "left")
     else:
         out = out.withColumn("web", F.lit(None).cast("string")).withColumn("sources", F.lit(None).cast("array<string>"))
     context = strip(F.concat_ws(" ", F.when(F.col("doc") != "", F.col("doc")), F.when(F.col("web") != "", F.col("web"))))

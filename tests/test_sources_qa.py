@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import subprocess
 import sys
 import zipfile
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -12,7 +14,7 @@ import pytest
 
 import __spark_entry__ as entry
 from quizspark.functions import lexicon as L
-from quizspark.operators import qa
+from quizspark.operators import qa, search
 from quizspark.plans.oracles import ORACLES
 from quizspark.plans.pipeline import QuizPipeline
 from quizspark.plans.queries import QUERIES
@@ -146,3 +148,37 @@ def test_entry_without_the_training_data_operators(tmp_path):
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={"PATH": "/usr/bin:/bin", "HOME": "/root", "PYTHONPATH": str(tmp_path / "r")})
+
+
+def test_best_pages_equal_brute_force(spark):
+    """Blocks, ties, frequent and rare terms, repeated ids and pages without an id; no row per shared term is made."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    draw = lambda n: sorted({words[min(399, int(rng.paretovariate(0.6)) - 1)] for _ in range(n)})
+    pages = [(rng.choice((None, 7, 8)) if k % 100 == 0 else k, draw(rng.randrange(60))) for k in range(700)]
+    questions = [(k, draw(rng.randrange(30))) for k in range(150)] + [(1000, ["none"]), (1001, [])]
+    for rows in (pages, [p for p in pages if p[0] not in (None, 7, 8)]):
+        held: dict = {}
+        for p, terms in rows:
+            held.setdefault(p, Counter()).update(terms)
+        first = lambda p: (p is not None, p or 0)
+        counted = {q: sorted(((-n, first(p), p) for p, c in held.items() if (n := sum(c[t] for t in terms))), key=lambda x: x[:2])[:4] for q, terms in questions}
+        asked, read = spark.createDataFrame(questions, "q_id long, terms array<string>"), spark.createDataFrame(rows, "page_id long, terms array<string>")
+        for blocks in ((32768, 16384), (40, 90)):
+            found: dict = {}
+            for r in search.best_pages(asked, read, 4, *blocks).collect():
+                found.setdefault(r.q_id, []).append((-r.shared, first(r.page_id), r.page_id))
+            assert {q: sorted(x, key=lambda x: x[:2])[:4] for q, x in found.items()} == {q: x for q, x in counted.items() if x}
+    nothing = search.best_pages(asked, read.limit(0), 4)
+    assert nothing.count() == 0 and search.best_pages(asked.limit(0), read, 4).count() == 0
+
+
+def test_a_term_in_all_questions_and_pages(spark):
+    """Shared terms by the million: the join on terms made a row for each."""
+    n = 3000
+    questions = spark.range(n).selectExpr("id q_id", "concat('common often usual term', id % 7) question")
+    pages = spark.range(n).selectExpr("id page_id", "'u' url", "concat('common often usual term', id % 7) text")
+    found = qa.page_hits(questions, pages)
+    assert "SortMergeJoin [term" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin [term" not in plan
+    got = {(r.q_id, r.hit): (r.page_id, r.relevance) for r in found.where("q_id in (3, 2999)").collect()}
+    assert got == {(q, k + 1): (q % 7 + 7 * k, 1.0) for q in (3, 2999) for k in range(4)}
