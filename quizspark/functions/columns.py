@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"(?U)\s+"
+WORD = r"(?U)\S+"
+# Fixed value: the characters that (?U)\s matches.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -25,17 +27,21 @@ def replace(text: Column, pattern: str, by: str) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at either end (trim() removes spaces only)."""
-    return replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def strip_characters(text: Column, characters: str) -> Column:
-    inside = "".join("\\" + c if c in r"\]^-[&" else c for c in characters)
-    return replace(text, rf"\A[{inside}]+|[{inside}]+\z", "")
+    return F.btrim(text, F.lit(characters))
+
+
+def is_one_of(word: Column, values: Iterable[str]) -> Column:
+    """Looked up in a hash set, other than in an array of literals."""
+    return word.isin(*values)
 
 
 def split_words(text: Column) -> Column:
     """Words between white space; none for blank text."""
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def first_by(items: Column, key: Callable[[Column], Column]) -> Column:

@@ -7,8 +7,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quizspark.functions import lexicon as L
 from quizspark.functions import text as T
-from quizspark.functions.columns import split_words
+from quizspark.functions.columns import split_words, strip
+from quizspark.operators.rank import select_sentences
 from quizspark.operators.sentences import sentences
 
 
@@ -87,3 +89,25 @@ def test_sentences_are_stripped_and_not_empty(spark, texts):
 
 def test_words_of_blank_text(spark):
     assert values(spark, ["", " \n", "a  b"], split_words(F.col("s"))) == [([],), ([],), (["a", "b"],)]
+
+
+def test_cheaper_forms_equal_the_plain_ones(spark):
+    """White space of every kind, abbreviations in any case, gaps, bullets, capitals and numbers, beside the plain definitions."""
+    odd = "\t\n\x0b\f\r \x85\xa0       　"
+    texts = [odd, f"{odd}a{odd}b​c{odd}", "Dr. X. met mr. Y vs. e.g. st.al. ETC. and NO. 5 rest. co", "al.e.g.I.E. Sept. xal. ál.", "\t a  b\t\tc d \t", "Éa Öb 𝐀c ǅd xÀ À", "1, 2.5 .3 a1 ١٢. 7×7 x 3x 4×4", "", "A. B. C.D. éA. x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", split_words(F.col("t")).alias("w"), strip(F.col("t")).alias("s"), T.protect_abbreviations(F.col("t")).alias("p"), T.strip_noise(F.col("t")).alias("n"))
+    plain, spaces = F.col("t"), r"(?U)\A\s+|\s+\z"
+    for a in L.ABBREVIATIONS:
+        plain = F.regexp_replace(plain, rf"(?iuU)\b{a.replace('.', chr(92) + '.')}\.", f"{a}<DOT>")
+    noise = F.col("t")
+    for pattern, by in ((r"(?U)\d+\s*[×x]\s*\d+[\d\s×x]+", " "), (r"[ \t]+", " "), (r"\n{2,}", "\n\n"), (spaces, "")):
+        noise = F.regexp_replace(noise, pattern, by)
+    want = df.select("*", F.filter(F.split("t", r"(?U)\s+"), lambda w: w != "").alias("w2"), F.regexp_replace("t", spaces, "").alias("s2"), F.regexp_replace(plain, r"(?U)\b([A-Z])\.\s", "$1<DOT> ").alias("p2"), noise.alias("n2"))
+    for r in want.collect():
+        assert (r.w, r.s, r.p, r.n) == (r.w2, r.s2, r.p2, r.n2), r
+
+
+def test_sentences_are_made_once(spark, sf):
+    """Short and long documents were selected apart, and each of the two evaluated all sentences."""
+    chosen = select_sentences(sentences(spark.read.parquet(f"{sf}/documents.parquet")))
+    assert chosen._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
