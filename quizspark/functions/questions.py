@@ -159,9 +159,13 @@ def shape(text: Column) -> Column:
     return F.struct(F.when(n <= 2, 0).when(n <= 5, 1).otherwise(2).alias("bucket"), F.rlike(text, F.lit(r"(?U)\A\s*\p{Lu}")).alias("proper"), F.rlike(text, F.lit(r"\p{Nd}")).alias("digits"))
 
 
+def alike(c: Column, a: Column) -> Column:
+    return (F.abs(c["bucket"] - a["bucket"]) <= 1) & (c["proper"] == a["proper"]) & (c["digits"] == a["digits"])
+
+
 def same_shape(candidate: Column, answer: Column) -> Column:
-    alike = let(F.struct(shape(candidate).alias("c"), shape(answer).alias("a")), lambda s: (F.abs(s["c"]["bucket"] - s["a"]["bucket"]) <= 1) & (s["c"]["proper"] == s["a"]["proper"]) & (s["c"]["digits"] == s["a"]["digits"]))
-    return alike & ~has_verb(split_words(candidate), L.DISTRACTOR_VERBS)
+    near = let(F.struct(shape(candidate).alias("c"), shape(answer).alias("a")), lambda s: alike(s["c"], s["a"]))
+    return near & ~has_verb(split_words(candidate), L.DISTRACTOR_VERBS)
 
 
 def domain(sentence: Column) -> Column:

@@ -261,7 +261,7 @@ def bank_distractors(spark, d):
 
 @query
 def distractor_greedy(spark, d):
-    return OD.with_distractors(*_pool(spark, d)).select("doc_id", "sent_idx", "ans_rank", "answer", F.array_join("distractors", "|").alias("distractors"))
+    return OD.with_distractors(_questions(spark, d)).select("doc_id", "sent_idx", "ans_rank", "answer", F.array_join("distractors", "|").alias("distractors"))
 
 
 @query

@@ -336,3 +336,14 @@ def test_models_take_part_in_the_pipeline(spark):
     pools = {r.answer: r.pool for r in distract.type_pool(asked, answers, providers.with_vectors(answers, embedder)).collect()}
     assert [p for p in pools["Ada Lovelace"] if p in people] == [p for p in ("Charles Babbage", "Alan Turing") if p in got]  # 0.8, 0.49; 1.0 is too near
     assert pipe.from_sentences(sents).count() >= 0
+
+
+def test_questions_of_distractors_are_made_once(spark, sf):
+    """The spans of a document came from a second evaluation of all questions; the questions' own serve as well."""
+    plan = QUERIES["distractor_greedy"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("o_orderpriority#") and sum("FileScan parquet" in line and "o_orderkey" in line for line in plan.split("\n")) == 1
+    answers = ["May 5", "steel timber", "Deep Learning", "may 5", "is big", "ab", "42%", "Alan Turing", "1956", "neural networks"]
+    rows = [(k % 3 or None, k, k % 2, f"the text has {a}", a, ("DATE", "CONCEPT", "PROPER_NOUN")[k % 3]) for k, a in enumerate(answers * 3)]
+    questions = spark.createDataFrame(rows, "doc_id long, sent_idx int, ans_rank int, sentence string, answer string, type string")
+    got, want = (sorted(map(str, distract.with_distractors(questions, a).collect())) for a in (None, questions.drop("sentence")))
+    assert got == want and len(got) == 30
