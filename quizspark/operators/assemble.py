@@ -11,9 +11,14 @@ from ..functions.columns import let, strings, strip
 
 def first_questions(questions: DataFrame) -> DataFrame:
     """The first of each normalised question of a document, whatever becomes of it later."""
-    place = F.row_number().over(Window.partitionBy("doc_id", Q.question_key(F.col("question"))).orderBy("sent_idx", "ans_rank"))
+    return _placed(questions).where("__asks and __place = 1").drop("__place", "__asks")
+
+
+def _placed(questions: DataFrame) -> DataFrame:
     stripped = questions.withColumn("question", strip(F.col("question"))).withColumn("answer", strip(F.col("answer")))
-    return stripped.where((F.col("question") != "") & (F.col("answer") != "")).withColumn("__place", place).where("__place = 1").drop("__place")
+    asks = F.coalesce((F.col("question") != "") & (F.col("answer") != ""), F.lit(False))
+    place = F.row_number().over(Window.partitionBy("doc_id", "__asks", Q.question_key(F.col("question"))).orderBy("sent_idx", "ans_rank"))
+    return stripped.withColumn("__asks", asks).withColumn("__place", place)
 
 
 def build(questions: DataFrame, seed: int | None = None) -> DataFrame:
@@ -48,7 +53,12 @@ def cap(items: DataFrame, max_questions: int) -> DataFrame:
     return best.select("doc_id", "q_idx", "question", "options", "answer", "answer_text", "explanation", "type", "difficulty", "score", "answer_type", "source_sentence")
 
 
-def assemble(questions: DataFrame, answers: DataFrame, max_questions: int = 30, vectors: DataFrame | None = None, seed: int | None = None) -> DataFrame:
-    from .distract import with_distractors
+def assemble(questions: DataFrame, answers: DataFrame | None = None, max_questions: int = 30, vectors: DataFrame | None = None, seed: int | None = None) -> DataFrame:
+    """Items of questions. answers: spans for distractors, with vectors only; else the questions' own serve, in the pass that finds repeats."""
+    from .distract import own_spans, with_distractors
 
-    return cap(good(build(with_distractors(first_questions(questions), answers, vectors), seed)), max_questions)
+    if answers is not None:
+        asked = first_questions(questions)
+    else:
+        asked = own_spans(_placed(questions.withColumn("__answer", F.col("answer"))), "__answer").where("__asks and __place = 1").drop("__place", "__asks", "__answer")
+    return cap(good(build(with_distractors(asked, answers, vectors), seed)), max_questions)

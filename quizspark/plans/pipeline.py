@@ -45,9 +45,10 @@ class QuizPipeline:
     def from_sentences(self, sents: DataFrame) -> DataFrame:
         """sents: (doc_id, sent_idx, sentence)."""
         questions = self.questions(sents)
+        if not self.embedder:
+            return assemble(questions, max_questions=self.max_questions, seed=self.seed)
         answers = questions.select("doc_id", "sent_idx", "ans_rank", "answer", "type")
-        vectors = with_vectors(answers, self.embedder) if self.embedder else None
-        return assemble(questions, answers, self.max_questions, vectors, self.seed)
+        return assemble(questions, answers, self.max_questions, with_vectors(answers, self.embedder), self.seed)
 
     def run(self, docs: DataFrame) -> DataFrame:
         return self.from_sentences(self.select(docs))
