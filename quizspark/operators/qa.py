@@ -14,6 +14,8 @@ from .search import best_pages
 LOW_CONFIDENCE = 0.05
 # Least relevance of a page, and how many of the best pages are context.
 LEAST_RELEVANCE, CONTEXT_HITS = 0.2, 3
+# Fixed value: characters of context from pages.
+WEB_CHARACTERS = 5000
 
 
 def query_terms(question: Column, common: tuple[str, ...]) -> Column:
@@ -48,21 +50,24 @@ def sections(questions: DataFrame, docs: DataFrame, most: int = 5) -> DataFrame:
 
 
 def page_hits(questions: DataFrame, pages: DataFrame, hits: int = 4) -> DataFrame:
-    """(q_id, question, page_id, url, text, relevance, hit): the best pages of each question by shared terms, ties to the smaller id.
+    """(q_id, question, page_id, url, text, relevance, hit, before): the best pages of each question by shared terms, ties to the smaller id.
 
-    Stands in for a web search. Frequent terms are in most questions and pages, so no row is made for a shared term (see search).
+    before: the characters of the question's better hits. Stands in for a web search. Frequent terms are in most questions and pages, so no
+    row is made for a shared term (see search). The texts join last, once the hits are known.
     """
     asked = questions.select("q_id", query_terms(F.col("question"), L.PAGE_COMMON_WORDS).alias("terms"))
-    words = pages.where(F.coalesce("text", F.lit("")) != "").select("page_id", word_set(F.col("text")).alias("terms"))
-    shared = best_pages(asked, words, hits).select("q_id", "page_id", (F.col("shared") / F.col("n")).alias("relevance"))
-    place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("relevance"), "page_id"))
-    best = shared.withColumn("hit", place).where(F.col("hit") <= hits)
-    return best.join(pages.select("page_id", "url", "text"), "page_id").join(questions.select("q_id", "question"), "q_id").select("q_id", "question", "page_id", "url", "text", "relevance", "hit")
+    words = pages.select("page_id", word_set(F.col("text")).alias("terms"), F.length("text").alias("size"))
+    shared = best_pages(asked, words, hits).select("q_id", "page_id", (F.col("shared") / F.col("n")).alias("relevance"), "size")
+    ranked = Window.partitionBy("q_id").orderBy(F.desc("relevance"), "page_id")
+    best = shared.withColumn("hit", F.row_number().over(ranked)).where(F.col("hit") <= hits)
+    best = best.withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy("q_id").orderBy("hit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    named = best.drop("size").join(questions.select("q_id", "question"), "q_id")
+    return named.join(pages.select("page_id", "url", "text"), "page_id").select("q_id", "question", "page_id", "url", "text", "relevance", "hit", "before")
 
 
 def web_context(found: DataFrame, least: float = LEAST_RELEVANCE, hits: int = CONTEXT_HITS) -> DataFrame:
     """(q_id, web): texts of the first hits over the threshold, joined by blank lines, cut to 5000 characters."""
-    kept = found.where(_kept(least, hits))
+    kept = found.where(_kept(least, hits) & (F.col("before") < WEB_CHARACTERS))
     return kept.groupBy("q_id").agg(_web(F.lit(True)).alias("web"))
 
 
@@ -70,10 +75,11 @@ def _kept(least: float, hits: int) -> Column:
     return (F.col("hit") <= hits) & (F.col("relevance") > least)
 
 
-def _web(kept: Column, most: int = 5000) -> Column:
-    """The texts of the rows kept, as an aggregate; '' if there are none. What a text has beyond the cut is not moved."""
-    texts = F.array_sort(F.collect_list(F.when(kept, F.struct("hit", F.substring("text", 1, most).alias("text")))))
-    return F.substring(F.array_join(F.transform(texts, lambda x: x["text"]), "\n\n"), 1, most)
+def _web(kept: Column) -> Column:
+    """The texts of the rows kept, as an aggregate; '' if there are none. What lies beyond the cut behind the better hits is not moved."""
+    text = F.substring("text", F.lit(1), F.greatest(F.lit(0), WEB_CHARACTERS - F.col("before")).cast("int"))
+    texts = F.array_sort(F.collect_list(F.when(kept, F.struct("hit", text.alias("text")))))
+    return F.substring(F.array_join(F.transform(texts, lambda x: x["text"]), "\n\n"), 1, WEB_CHARACTERS)
 
 
 def keyword_answer(question: Column, context: Column) -> Column:

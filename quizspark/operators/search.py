@@ -1,15 +1,17 @@
 """The pages that share most terms with each question, exactly, without a row per shared term.
 
-Pages are dealt into blocks by a hash of their id; a block is packed once into the sorted places of each of its terms. Questions are
-dealt into blocks too, and every pair of blocks meets. There, a count that four pages reach bounds the search: a page with that count
+Pages are dealt into blocks by a hash of their id. The pages of a batch are packed where they are read, a row for each block, and a block
+is put together from these: the sorted places of each of its terms. Questions are packed into blocks too. Both are written once to the
+shared folder, and every pair of blocks meets in a product that reads them from there, so what is moved and kept grows with the input
+only; the work grows with the number of pairs of blocks. There, a count that four pages reach bounds the search: a page with that count
 holds one of the question's rarest terms, so only the places of these are gone through, and the frequent terms are looked up for
-what is found. Only the best pages of a question leave a pair of blocks.
+what is found. Only the best pages of a question leave a task.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,57 +19,125 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
+
 # Pages that give a first bound; a term that more than one page in so many holds has a row of flags.
 FIRST, FREQUENT = 2048, 64
 
 
 def best_pages(questions: DataFrame, pages: DataFrame, hits: int, question_block: int = 32768, page_block: int = 16384) -> DataFrame:
-    """(q_id, page_id, shared, n): for each question at least its `hits` pages of most shared terms, ties to the smaller id.
+    """(q_id, page_id, shared, n, size): for each question at least its `hits` pages of most shared terms, ties to the smaller id.
 
-    questions: (q_id, terms), pages: (page_id, terms). n: the question's number of terms. Rows of one id add up. Every pair of blocks
-    gives its best, so there can be more rows than `hits`, and they need one more ranking.
+    questions: (q_id, terms), pages: (page_id, terms) and any size, a number that is passed on. n: the question's number of terms. Rows
+    of one id add up. Every task gives its best, so there can be more rows than `hits`, and they need one more ranking.
     """
-    asked = questions.where(F.size("terms") > 0)
-    blocks = lambda df, name, size: df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias(name))
-    sizes = F.broadcast(blocks(questions, "lefts", question_block).crossJoin(blocks(pages, "rights", page_block)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = asked.groupBy("q_id").agg(F.flatten(F.collect_list("terms")).alias("terms"), F.first(F.size("terms")).alias("n"))
-    left = one.crossJoin(sizes).select(F.pmod(F.xxhash64("q_id"), F.col("lefts")).cast("int").alias("i"), every("rights").alias("j"), "q_id", "terms", "n")
-    dealt = pages.crossJoin(sizes).select("lefts", F.pmod(F.xxhash64("page_id"), F.col("rights")).cast("int").alias("j"), "page_id", "terms")
+    sized = pages if "size" in pages.columns else pages.withColumn("size", F.lit(0))
     page, question = dict(pages.dtypes)["page_id"], dict(questions.dtypes)["q_id"]
-    packed = dealt.groupBy("lefts", "j").applyInArrow(_pack, f"lefts int, j int, ids array<{page}>, words array<string>, places binary, plain boolean")
-    right = packed.select(every("lefts").alias("i"), "j", "ids", "words", "places", "plain")
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_meet(hits), f"q_id {question}, page_id {page}, shared long, n int")
-
-
-def _pack(key: tuple, pages: pa.Table) -> pa.Table:
-    """One row. places: the number of places of each word, then the places, each as its difference to the one before."""
-    column = pages.column("page_id")
-    values = column.to_pylist()
-    ids = sorted(set(values), key=lambda v: (v is not None, v))
-    place = {v: k for k, v in enumerate(ids)}
-    terms = pages.column("terms").combine_chunks()
-    lengths = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
-    coded = terms.flatten().dictionary_encode()
-    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    indices = coded.indices.to_numpy(zero_copy_only=False)
-    n = np.bincount(indices, minlength=len(coded.dictionary)).astype(np.int32)
-    pairs = indices.astype(np.int64)
+    blocks = lambda df, n: F.lit(max(1, -(-df.count() // n)))
+    block = lambda df, name, n: F.pmod(F.xxhash64(name), blocks(df, n)).cast("int")
+    dealt = sized.select(block(pages, "page_id", page_block).alias("j"), "page_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    kind = f"j int, ids array<{page}>, words array<string>, places binary, plain boolean, sizes array<long>"
+    packed = dealt.mapInArrow(_pack, kind).groupBy("j").applyInArrow(_merge, kind)
+    asked = questions.where(F.size("terms") > 0).select(block(questions, "q_id", question_block).alias("i"), "q_id", "terms")
+    posed = asked.groupBy("i").applyInArrow(_pose, f"i int, q_ids array<{question}>, ns array<int>, asked array<string>, codes binary")
+    left, right = materialise(packed, 8192, 1), materialise(posed, 8192, 1)
+    pairs = left.hint("shuffle_replicate_nl").crossJoin(right)
+    return pairs.mapInArrow(_meet(hits), f"q_id {question}, page_id {page}, shared long, n int, size long")
+
+
+def _strings(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct strings, a number for each string of the lists, and the lists' lengths."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), lengths
+
+
+def _first(value: object) -> tuple:
+    """Ids in order, null before all others."""
+    return value is not None, value
+
+
+def _block(j: int, ids: list, words: pa.Array, codes: np.ndarray, places: np.ndarray, plain: bool, sizes: np.ndarray, schema: tuple[pa.DataType, ...]) -> dict[str, pa.Array]:
+    """One row from the place of each word's page. places: the number of places of each word, then these, each as its difference to the one before."""
+    n = np.bincount(codes, minlength=len(words)).astype(np.int32)
+    pairs = codes.astype(np.int64)
     pairs *= max(1, len(ids))
-    pairs += np.repeat(np.array([place[v] for v in values], np.int32), lengths)
+    pairs += places
     pairs.sort()
     pairs %= max(1, len(ids))
     at = pairs.astype(np.int32)
     del pairs
-    places = zlib.compress(n.tobytes() + np.diff(at, prepend=np.int32(0)).tobytes(), 1)
+    return {
+        "j": pa.array([j], pa.int32()),
+        "ids": pa.array([ids], pa.list_(schema[0])),
+        "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())),
+        "places": pa.array([zlib.compress(n.tobytes() + np.diff(at, prepend=np.int32(0)).tobytes(), 1)], pa.binary()),
+        "plain": pa.array([plain], pa.bool_()),
+        "sizes": pa.array([sizes.tolist()], pa.list_(pa.int64())),
+    }
+
+
+def _unpacked(places: bytes, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of places of each word, and all places."""
+    raw = np.frombuffer(zlib.decompress(places), np.int32)
+    return raw[:n_words], np.cumsum(raw[n_words:], dtype=np.int32)
+
+
+def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block that the pages of a batch are dealt to."""
+    for pages in batches:
+        js = pages.column("j").to_numpy(zero_copy_only=False)
+        order = np.argsort(js, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(js[order])) + 1):
+            if len(rows):
+                own = pages.take(pa.array(rows))
+                values = own.column("page_id").to_pylist()
+                ids = sorted(set(values), key=_first)
+                place = {v: k for k, v in enumerate(ids)}
+                at = np.array([place[v] for v in values], np.int32)
+                words, codes, lengths = _strings(own.column("terms"))
+                sizes = np.zeros(len(ids), np.int64)
+                np.add.at(sizes, at, own.column("size").to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_pydict(_block(int(js[rows[0]]), ids, words, codes, np.repeat(at, lengths), len(ids) == len(values), sizes, (own.column("page_id").type,)))
+
+
+def _merge(key: tuple, parts: pa.Table) -> pa.Table:
+    """One row from those of the batches."""
+    values = parts.column("ids").to_pylist()
+    ids = sorted({v for own in values for v in own}, key=_first)
+    place = {v: k for k, v in enumerate(ids)}
+    maps = [np.array([place[v] for v in own], np.int32) for own in values]
+    plain = sum(map(len, values)) == len(ids) and all(parts.column("plain").to_pylist())
+    words, codes, lengths = _strings(parts.column("words").combine_chunks())
+    ends = np.cumsum(lengths, dtype=np.int64)
+    coded, at, sizes = [np.array([], codes.dtype)], [np.array([], np.int32)], np.zeros(len(ids), np.int64)
+    for k, m in enumerate(maps):
+        held, places = _unpacked(parts.column("places")[k].as_py(), int(lengths[k]))
+        coded.append(np.repeat(codes[ends[k] - lengths[k] : ends[k]], held))
+        # Differences run through all words of a row, so their sums are the places.
+        at.append(m[places] if len(places) else np.array([], np.int32))
+        np.add.at(sizes, m, np.array(parts.column("sizes")[k].as_py(), np.int64))
+    return pa.table(_block(key[0].as_py(), ids, words, np.concatenate(coded), np.concatenate(at), plain, sizes, (parts.schema.field("ids").type.value_type,)))
+
+
+def _pose(key: tuple, questions: pa.Table) -> pa.Table:
+    """One row. codes: the number of terms of each question, then the terms as numbers of `asked`."""
+    column = questions.column("q_id").combine_chunks()
+    values = column.to_pylist()
+    rows: dict = {}
+    for k, v in enumerate(values):
+        rows.setdefault(v, []).append(k)
+    order = np.array([k for own in rows.values() for k in own], np.int64)
+    terms = questions.column("terms").combine_chunks().take(pa.array(order))
+    words, codes, lengths = _strings(terms)
+    firsts = np.cumsum([0, *map(len, rows.values())])[:-1]
     return pa.table(
         {
-            "lefts": pa.array([key[0].as_py()], pa.int32()),
-            "j": pa.array([key[1].as_py()], pa.int32()),
-            "ids": pa.array([ids], pa.list_(column.type)),
-            "words": pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())),
-            "places": pa.array([places], pa.binary()),
-            "plain": pa.array([len(ids) == len(values)], pa.bool_()),
+            "i": pa.array([key[0].as_py()], pa.int32()),
+            "q_ids": pa.array([list(rows)], pa.list_(column.type)),
+            "ns": pa.array([lengths[firsts].tolist()], pa.list_(pa.int32())),
+            "asked": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())),
+            "codes": pa.array([zlib.compress(np.add.reduceat(lengths, firsts).astype(np.int32).tobytes() + codes.astype(np.int32).tobytes(), 1)], pa.binary()),
         }
     )
 
@@ -76,11 +146,9 @@ class Block:
     """A block of pages, made ready for some questions' words (numbers of its words)."""
 
     def __init__(self, n_pages: int, n_words: int, places: bytes, plain: bool, wanted: np.ndarray):
-        raw = np.frombuffer(zlib.decompress(places), np.int32)
         self.n_pages, self.plain = n_pages, plain
-        self.held = raw[:n_words]
+        self.held, self.places = _unpacked(places, n_words)
         self.ends = np.cumsum(self.held, dtype=np.int64)
-        self.places = np.cumsum(raw[n_words:], dtype=np.int32)
         often = wanted[self.held[wanted] * FREQUENT > n_pages]
         self.row = np.full(n_words, -1, np.int32)
         self.row[often] = np.arange(len(often))
@@ -120,24 +188,50 @@ class Block:
         return found[order], shared[order]
 
 
-def _meet(hits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        asked, found, shared, ids = [], [], [], pa.array([], right.schema.field("ids").type.value_type)
-        if left.num_rows and right.num_rows:
-            ids, words = (right.column(c).combine_chunks().flatten() for c in ("ids", "words"))
-            terms = left.column("terms").combine_chunks()
-            lengths = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
-            known = pc.fill_null(pc.index_in(terms.flatten(), value_set=words), -1).to_numpy(zero_copy_only=False)
-            block = Block(len(ids), len(words), right.column("places")[0].as_py(), right.column("plain")[0].as_py(), np.unique(known[known >= 0]))
-            for k, t in enumerate(np.split(known, np.cumsum(lengths)[:-1])):
-                t = t[t >= 0]
-                if len(t):
-                    places, n = block.best(t, hits)
-                    asked.append(np.full(len(places), k))
-                    found.append(places)
-                    shared.append(n)
-        joined = lambda parts: pa.array(np.concatenate(parts).astype(np.int64) if parts else np.array([], np.int64))
-        rows = joined(asked)
-        return pa.table({"q_id": left.column("q_id").take(rows), "page_id": ids.take(joined(found)), "shared": joined(shared), "n": left.column("n").take(rows)})
+def _meet(hits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows hold a block of pages and one of questions each. What a task knows of a block of questions is ranked again after each row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[pa.Array, pa.Array, pa.Table]] = {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, row = batch.column("i")[k].as_py(), batch.slice(k, 1)
+                new = _found(row, hits)
+                if i not in known:
+                    known[i] = row.column("q_ids").flatten(), row.column("ns").flatten(), new
+                else:
+                    known[i] = *known[i][:2], _ranked(pa.concat_tables([known[i][2], new]), hits)
+        for q_ids, ns, best in known.values():
+            rows = best.column("row")
+            yield from pa.table({"q_id": q_ids.take(rows), "page_id": best.column("page_id"), "shared": best.column("shared"), "n": ns.take(rows), "size": best.column("size")}).to_batches()
 
     return run
+
+
+def _found(row: pa.RecordBatch, hits: int) -> pa.Table:
+    """(row, page_id, shared, size) of one pair of blocks; row: the question's place in its block."""
+    asked, found, shared = [], [], []
+    ids, words, terms, sizes = (row.column(c).flatten() for c in ("ids", "words", "asked", "sizes"))
+    lengths, codes = np.split(np.frombuffer(zlib.decompress(row.column("codes")[0].as_py()), np.int32), [len(row.column("q_ids")[0])])
+    numbers = pc.fill_null(pc.index_in(terms, value_set=words), -1).to_numpy(zero_copy_only=False)
+    block = Block(len(ids), len(words), row.column("places")[0].as_py(), row.column("plain")[0].as_py(), np.unique(numbers[numbers >= 0]))
+    for k, t in enumerate(np.split(numbers[codes], np.cumsum(lengths)[:-1])):
+        t = t[t >= 0]
+        if len(t):
+            places, n = block.best(t, hits)
+            asked.append(np.full(len(places), k))
+            found.append(places)
+            shared.append(n)
+    joined = lambda parts: pa.array(np.concatenate(parts).astype(np.int64) if parts else np.array([], np.int64))
+    at = joined(found)
+    return pa.table({"row": joined(asked), "page_id": ids.take(at), "shared": joined(shared), "size": sizes.take(at)})
+
+
+def _ranked(found: pa.Table, hits: int) -> pa.Table:
+    """The first `hits` rows of each question, in order."""
+    smallest = pc.rank(found.column("page_id").combine_chunks(), null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False)
+    row, shared = (found.column(c).to_numpy() for c in ("row", "shared"))
+    order = np.lexsort((smallest, -shared, row))
+    begins = np.flatnonzero(np.diff(row[order], prepend=-1))
+    nth = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+    return found.take(pa.array(order[nth < hits]))
