@@ -182,3 +182,18 @@ def test_a_term_in_all_questions_and_pages(spark):
     assert "SortMergeJoin [term" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin [term" not in plan
     got = {(r.q_id, r.hit): (r.page_id, r.relevance) for r in found.where("q_id in (3, 2999)").collect()}
     assert got == {(q, k + 1): (q % 7 + 7 * k, 1.0) for q in (3, 2999) for k in range(4)}
+
+
+def test_blocks_meet_without_a_shuffle_and_contexts_are_cut_before_they_move(spark):
+    """Blocks are read from the shared folder, not sent to each other; a hit's text is needed only as far as the better ones leave room."""
+    sizes = (4990, 30, 6000, 40, 0)
+    texts = [("term " + "x" * n)[: max(n, 4)] for n in sizes]
+    pages = spark.createDataFrame([(k, "u", t) for k, t in enumerate(texts)] + [(9, "u", None)], "page_id long, url string, text string")
+    questions = spark.createDataFrame([(1, "term"), (2, "none")], "q_id long, question string")
+    asked, words = (df.selectExpr(f"{k}", f"split({t}, ' ') terms") for df, k, t in ((questions, "q_id", "question"), (pages, "page_id", "text")))
+    assert "Exchange" not in search.best_pages(asked, words, 4)._jdf.queryExecution().executedPlan().toString()
+    for some in (pages, pages.where("page_id > 0"), pages.where("page_id > 1")):
+        found = qa.page_hits(questions, some)
+        kept = [t for (t,) in some.where("text is not null").orderBy("page_id").select("text").collect()][:3]
+        assert [r.before for r in found.orderBy("hit").collect()][:3] == [sum(map(len, kept[:k])) for k in range(len(kept))]
+        assert [(r.q_id, r.web) for r in qa.web_context(found).collect()] == [(1, "\n\n".join(kept)[:5000])]
