@@ -3,9 +3,9 @@
 Pages are dealt into blocks by a hash of their id. The pages of a batch are packed where they are read, a row for each block, and a block
 is put together from these: the sorted places of each of its terms. Questions are packed into blocks too. Both are written once to the
 shared folder, and every pair of blocks meets in a product that reads them from there, so what is moved and kept grows with the input
-only; the work grows with the number of pairs of blocks. There, a count that four pages reach bounds the search: a page with that count
-holds one of the question's rarest terms, so only the places of these are gone through, and the frequent terms are looked up for
-what is found. Only the best pages of a question leave a task.
+only; the work grows with the number of pairs of blocks. There, a frequent term is a row of flags, a bit a page. The rows of a question's
+terms are added bit by bit, 64 pages at a time, and the digits of these sums lead to the largest. The few pages of its rare terms are
+counted one by one. Only the best pages of a question leave a task.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialise
 
-# Pages that give a first bound; a term that more than one page in so many holds has a row of flags.
-FIRST, FREQUENT = 2048, 64
+# A term that more than one page in so many holds has a row of flags; questions that are counted together, with at most so
+# many words of flags and places.
+FREQUENT, TOGETHER, AT_ONCE = 256, 64, 1 << 18
 
 
 def best_pages(questions: DataFrame, pages: DataFrame, hits: int, question_block: int = 32768, page_block: int = 16384) -> DataFrame:
@@ -36,7 +37,7 @@ def best_pages(questions: DataFrame, pages: DataFrame, hits: int, question_block
     blocks = lambda df, n: F.lit(max(1, -(-df.count() // n)))
     block = lambda df, name, n: F.pmod(F.xxhash64(name), blocks(df, n)).cast("int")
     dealt = sized.select(block(pages, "page_id", page_block).alias("j"), "page_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
-    kind = f"j int, ids array<{page}>, words array<string>, places binary, plain boolean, sizes array<long>"
+    kind = f"j int, ids array<{page}>, words array<string>, places binary, sizes array<long>"
     packed = dealt.mapInArrow(_pack, kind).groupBy("j").applyInArrow(_merge, kind)
     asked = questions.where(F.size("terms") > 0).select(block(questions, "q_id", question_block).alias("i"), "q_id", "terms")
     posed = asked.groupBy("i").applyInArrow(_pose, f"i int, q_ids array<{question}>, ns array<int>, asked array<string>, codes binary")
@@ -57,7 +58,7 @@ def _first(value: object) -> tuple:
     return value is not None, value
 
 
-def _block(j: int, ids: list, words: pa.Array, codes: np.ndarray, places: np.ndarray, plain: bool, sizes: np.ndarray, schema: tuple[pa.DataType, ...]) -> dict[str, pa.Array]:
+def _block(j: int, ids: list, words: pa.Array, codes: np.ndarray, places: np.ndarray, sizes: np.ndarray, schema: tuple[pa.DataType, ...]) -> dict[str, pa.Array]:
     """One row from the place of each word's page. places: the number of places of each word, then these, each as its difference to the one before."""
     n = np.bincount(codes, minlength=len(words)).astype(np.int32)
     pairs = codes.astype(np.int64)
@@ -72,7 +73,6 @@ def _block(j: int, ids: list, words: pa.Array, codes: np.ndarray, places: np.nda
         "ids": pa.array([ids], pa.list_(schema[0])),
         "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())),
         "places": pa.array([zlib.compress(n.tobytes() + np.diff(at, prepend=np.int32(0)).tobytes(), 1)], pa.binary()),
-        "plain": pa.array([plain], pa.bool_()),
         "sizes": pa.array([sizes.tolist()], pa.list_(pa.int64())),
     }
 
@@ -98,7 +98,7 @@ def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words, codes, lengths = _strings(own.column("terms"))
                 sizes = np.zeros(len(ids), np.int64)
                 np.add.at(sizes, at, own.column("size").to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_pydict(_block(int(js[rows[0]]), ids, words, codes, np.repeat(at, lengths), len(ids) == len(values), sizes, (own.column("page_id").type,)))
+                yield pa.RecordBatch.from_pydict(_block(int(js[rows[0]]), ids, words, codes, np.repeat(at, lengths), sizes, (own.column("page_id").type,)))
 
 
 def _merge(key: tuple, parts: pa.Table) -> pa.Table:
@@ -107,7 +107,6 @@ def _merge(key: tuple, parts: pa.Table) -> pa.Table:
     ids = sorted({v for own in values for v in own}, key=_first)
     place = {v: k for k, v in enumerate(ids)}
     maps = [np.array([place[v] for v in own], np.int32) for own in values]
-    plain = sum(map(len, values)) == len(ids) and all(parts.column("plain").to_pylist())
     words, codes, lengths = _strings(parts.column("words").combine_chunks())
     ends = np.cumsum(lengths, dtype=np.int64)
     coded, at, sizes = [np.array([], codes.dtype)], [np.array([], np.int32)], np.zeros(len(ids), np.int64)
@@ -117,7 +116,7 @@ def _merge(key: tuple, parts: pa.Table) -> pa.Table:
         # Differences run through all words of a row, so their sums are the places.
         at.append(m[places] if len(places) else np.array([], np.int32))
         np.add.at(sizes, m, np.array(parts.column("sizes")[k].as_py(), np.int64))
-    return pa.table(_block(key[0].as_py(), ids, words, np.concatenate(coded), np.concatenate(at), plain, sizes, (parts.schema.field("ids").type.value_type,)))
+    return pa.table(_block(key[0].as_py(), ids, words, np.concatenate(coded), np.concatenate(at), sizes, (parts.schema.field("ids").type.value_type,)))
 
 
 def _pose(key: tuple, questions: pa.Table) -> pa.Table:
@@ -142,50 +141,112 @@ def _pose(key: tuple, questions: pa.Table) -> pa.Table:
     )
 
 
+def _sums(rows: np.ndarray) -> list[np.ndarray]:
+    """How many of the rows have each bit, in binary: the lowest digits of all bits, the next ones and so on."""
+    digits = []
+    while len(rows):
+        carried = [rows[:0]]
+        while len(rows) > 1:
+            n = max(1, len(rows) // 3)
+            a, b, c = rows[:n], rows[n : 2 * n], rows[2 * n : 3 * n]
+            odd = a ^ b
+            carried.append(a & b | odd & c if len(c) else a & b)
+            rows = np.concatenate([odd ^ c, rows[3 * n :]]) if len(c) else odd
+        digits.append(rows[0])
+        rows = np.concatenate(carried)
+    return digits
+
+
+def _ones(words: np.ndarray) -> np.ndarray:
+    """The bits set in each word; of signed numbers NumPy would count those of the absolute value."""
+    return np.bitwise_count(words.view(np.uint64)).astype(np.int64)
+
+
+def _most(digits: list[np.ndarray], hits: int) -> np.ndarray:
+    """Flags of each question's `hits` bits of largest counts over 0, ties to the smaller; a few more of the last count may be set."""
+    above, level = np.zeros_like(digits[0]), np.full_like(digits[0], -1)
+    some = np.zeros(len(above), bool)
+    for digit in reversed(digits):
+        higher = level & digit
+        enough = _ones(above | higher).sum(axis=1) >= hits
+        some |= enough
+        above = np.where(enough[:, None], above, above | higher)
+        level = np.where(enough[:, None], higher, level & ~digit)
+    held = _ones(level)
+    room = hits - _ones(above).sum(axis=1)
+    level[(np.cumsum(held, axis=1) - held >= room[:, None]) | ~some[:, None]] = 0
+    return above | level
+
+
 class Block:
     """A block of pages, made ready for some questions' words (numbers of its words)."""
 
-    def __init__(self, n_pages: int, n_words: int, places: bytes, plain: bool, wanted: np.ndarray):
-        self.n_pages, self.plain = n_pages, plain
+    def __init__(self, n_pages: int, n_words: int, places: bytes, wanted: np.ndarray):
+        self.n_pages = n_pages
         self.held, self.places = _unpacked(places, n_words)
-        self.ends = np.cumsum(self.held, dtype=np.int64)
-        often = wanted[self.held[wanted] * FREQUENT > n_pages]
-        self.row = np.full(n_words, -1, np.int32)
-        self.row[often] = np.arange(len(often))
-        self.flags = np.zeros((len(often), n_pages), np.uint8 if plain else np.int32)
-        for k, w in enumerate(often):
-            if plain:
-                self.flags[k, self.of(w)] = 1
-            else:
-                np.add.at(self.flags[k], self.of(w), 1)
-
-    def of(self, word: int) -> np.ndarray:
-        return self.places[self.ends[word] - self.held[word] : self.ends[word]]
-
-    def counts(self, words: np.ndarray) -> np.ndarray:
-        return np.bincount(np.concatenate([self.of(w) for w in words]), minlength=self.n_pages)
-
-    def best(self, words: np.ndarray, hits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and counts of the pages that hold most of the words, ties to the smaller place. A page must hold one."""
-        words = words[np.argsort(self.held[words], kind="stable")]
-        rows, least, kind = self.row[words], 1, np.uint8 if self.plain and len(words) < 256 else np.int64
-        if self.plain and self.n_pages > hits:  # where rows of an id add up, a page may count a word twice
-            part = self.flags[rows[rows >= 0], :FIRST].sum(axis=0, dtype=kind)
-            if len(part) >= hits:
-                least = max(1, int(np.partition(part, len(part) - hits)[len(part) - hits]))
-        # Of any len(words) - least + 1 words, a page of that count holds one: the rarest lead to all such pages.
-        first = len(words) - least + 1
-        counts = self.counts(words[:first])
-        found = np.flatnonzero(counts)
-        shared, rest = counts[found], rows[first:]
-        if (rest < 0).any():
-            shared = shared + self.counts(words[first:][rest < 0])[found]
-        if (rest >= 0).any():
-            shared = shared + self.flags[rest[rest >= 0][:, None], found].sum(axis=0, dtype=kind)
-        keep = shared >= least
-        found, shared = found[keep], shared[keep]
-        order = np.lexsort((found, -shared))[:hits]
-        return found[order], shared[order]
+        self.begins = np.cumsum(self.held, dtype=np.int64) - self.held
+        self.held, self.row, self.rows = self.held.copy(), np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
+        flags = []
+        for w in wanted[self.held[wanted] * FREQUENT > n_pages]:
+            self.row[w], left = len(flags), self.places[self.begins[w] : self.begins[w] + self.held[w]]
+            # Where rows of an id add up, a page may hold a word twice: the second time has a row of its own, and so on.
+            while len(left) * FREQUENT > n_pages and len(once := left[(new := np.append(True, left[1:] != left[:-1]))]) * FREQUENT > n_pages:
+                own = np.zeros(-(-n_pages // 64) * 64, np.uint8)
+                own[once] = 1
+                flags.append(np.packbits(own, bitorder="little").view("<i8"))
+                left = left[~new]
+            self.rows[w], self.held[w] = len(flags) - self.row[w], len(left)
+            self.places[self.begins[w] : self.begins[w] + len(left)] = left
+        self.flags = np.stack([*flags, np.zeros(-(-n_pages // 64), np.int64)])  # the last row has none
+
+    def best(self, words: np.ndarray, lengths: np.ndarray, hits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(question, place, count) of the pages that hold most of a question's words, ties to the smaller place. A page must hold one."""
+        ends = np.cumsum(lengths)
+        total = lambda n: np.diff(np.append(0, np.cumsum(n[words]))[np.append(0, ends)])
+        n_rows, size = total(self.rows), self.flags.shape[1]
+        cost = n_rows * size + total(self.held)
+        rows = _ranges(self.row[words], self.rows[words])
+        row_begins = np.cumsum(n_rows) - n_rows
+        order, done = np.argsort(n_rows, kind="stable"), 0
+        while done < len(order):
+            # Questions of like numbers of rows go together; the last row fills up.
+            own = order[done : done + TOGETHER]
+            own = own[: max(1, AT_ONCE // max(1, int(cost[own].max())))]
+            done += len(own)
+            nth = np.arange(int(n_rows[own].max()))[:, None]
+            filled = nth < n_rows[own]
+            table = np.full(filled.shape, len(self.flags) - 1)
+            table[filled] = rows[(nth + row_begins[own])[filled]]
+            rare = words[_ranges((ends - lengths)[own], lengths[own])]
+            yield self._together(own, table, rare, np.repeat(np.arange(len(own)), lengths[own]), hits)
+
+    def _together(self, own: np.ndarray, table: np.ndarray, rare: np.ndarray, of: np.ndarray, hits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A page without places left of rare words is among the first by flags alone, or not among the best."""
+        n, digits = self.n_pages, _sums(self.flags[table])
+        found = np.repeat(of, self.held[rare]) * n + self.places[_ranges(self.begins[rare], self.held[rare])]
+        first = np.array([], np.int64)
+        if digits:
+            q, at = np.nonzero(flags := _most(digits, hits))
+            r, bit = np.nonzero(np.unpackbits(flags[q, at].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            first = q[r] * n + at[r] * 64 + bit
+        both = np.sort(np.concatenate([found * 2 + 1, first * 2]))
+        begins = np.flatnonzero(np.diff(both >> 1, prepend=-1))
+        q, place = np.divmod(both[begins] >> 1, n)
+        count = np.add.reduceat(both & 1, begins) if len(begins) else begins
+        for k, digit in enumerate(digits):
+            count = count + ((digit[q, place >> 6] >> (place & 63) & 1) << k)
+        top = int(count.max(initial=0)) + 1
+        ranked = np.sort((q * top + top - 1 - count) * n + place)
+        q, place = np.divmod(ranked, n)
+        q, less = np.divmod(q, top)
+        firsts = np.searchsorted(q, q)
+        keep = np.arange(len(q)) - firsts < hits
+        return own[q[keep]], place[keep], (top - 1 - less)[keep]
+
+
+def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each beginning on, as many as its length."""
+    return np.repeat(begins - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
 
 
 def _meet(hits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -214,14 +275,12 @@ def _found(row: pa.RecordBatch, hits: int) -> pa.Table:
     ids, words, terms, sizes = (row.column(c).flatten() for c in ("ids", "words", "asked", "sizes"))
     lengths, codes = np.split(np.frombuffer(zlib.decompress(row.column("codes")[0].as_py()), np.int32), [len(row.column("q_ids")[0])])
     numbers = pc.fill_null(pc.index_in(terms, value_set=words), -1).to_numpy(zero_copy_only=False)
-    block = Block(len(ids), len(words), row.column("places")[0].as_py(), row.column("plain")[0].as_py(), np.unique(numbers[numbers >= 0]))
-    for k, t in enumerate(np.split(numbers[codes], np.cumsum(lengths)[:-1])):
-        t = t[t >= 0]
-        if len(t):
-            places, n = block.best(t, hits)
-            asked.append(np.full(len(places), k))
-            found.append(places)
-            shared.append(n)
+    block = Block(len(ids), len(words), row.column("places")[0].as_py(), np.unique(numbers[numbers >= 0]))
+    own, held = numbers[codes], np.repeat(np.arange(len(lengths)), lengths)[numbers[codes] >= 0]
+    for q, places, n in block.best(own[own >= 0], np.bincount(held, minlength=len(lengths)), hits):
+        asked.append(q)
+        found.append(places)
+        shared.append(n)
     joined = lambda parts: pa.array(np.concatenate(parts).astype(np.int64) if parts else np.array([], np.int64))
     at = joined(found)
     return pa.table({"row": joined(asked), "page_id": ids.take(at), "shared": joined(shared), "size": sizes.take(at)})

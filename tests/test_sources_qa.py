@@ -6,10 +6,12 @@ import random
 import subprocess
 import sys
 import zipfile
+import zlib
 from collections import Counter
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -197,3 +199,24 @@ def test_blocks_meet_without_a_shuffle_and_contexts_are_cut_before_they_move(spa
         kept = [t for (t,) in some.where("text is not null").orderBy("page_id").select("text").collect()][:3]
         assert [r.before for r in found.orderBy("hit").collect()][:3] == [sum(map(len, kept[:k])) for k in range(len(kept))]
         assert [(r.q_id, r.web) for r in qa.web_context(found).collect()] == [(1, "\n\n".join(kept)[:5000])]
+
+
+def test_frequent_terms_are_counted_by_flags(spark):
+    """A bit a page and term; repeated ids and repeated terms add up; whole blocks of ties; the old counts took a byte a page and term."""
+    rng = random.Random(6)
+    n, n_words = 1500, 60
+    for each in (1, 2, 5):
+        lists = [sorted(k for k in {rng.randrange(n // each) for _ in range(rng.choice((3, 40, n)))} for _ in range(rng.randint(1, each))) for _ in range(n_words)]
+        lists[0] = sorted(list(range(n // each)) * each)
+        held = np.array([len(x) for x in lists], np.int32)
+        places = zlib.compress(held.tobytes() + np.diff(np.concatenate(lists), prepend=0).astype(np.int32).tobytes())
+        block = search.Block(n // each, n_words, places, np.arange(n_words))
+        assert block.flags.nbytes <= (n_words * each + 1) * (n // each + 63) // 8
+        questions = [[0], [], *([rng.randrange(n_words) for _ in range(rng.randrange(40))] for _ in range(150))]
+        got: dict = {}
+        for q, at, c in block.best(np.concatenate(questions).astype(np.int64), np.array([len(q) for q in questions]), 4):
+            for k, x in zip(q.tolist(), zip(at.tolist(), c.tolist())):
+                got.setdefault(k, []).append(x)
+        for k, q in enumerate(questions):
+            counts = Counter(x for w in q for x in lists[w])
+            assert got.get(k, []) == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:4]
