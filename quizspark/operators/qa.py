@@ -49,10 +49,11 @@ def sections(questions: DataFrame, docs: DataFrame, most: int = 5) -> DataFrame:
     return pairs.select("q_id", "doc_id", "question", context.alias("c"), F.substring("text", 1, 2000).alias("start")).select("q_id", "doc_id", "question", F.when(F.col("c") != "", F.col("c")).otherwise(F.col("start")).alias("context"))
 
 
-def page_hits(questions: DataFrame, pages: DataFrame, hits: int = 4) -> DataFrame:
+def page_hits(questions: DataFrame, pages: DataFrame, hits: int = 4, characters: int | None = None) -> DataFrame:
     """(q_id, question, page_id, url, text, relevance, hit, before): the best pages of each question by shared terms, ties to the smaller id.
 
-    before: the characters of the question's better hits. Stands in for a web search. Frequent terms are in most questions and pages, so no
+    before: the characters of the question's better hits. characters: so many of a text are returned (None: all); whole texts are searched
+    and counted, so a context that is cut to no more stays the same. Stands in for a web search. Frequent terms are in most questions and pages, so no
     row is made for a shared term (see search). The texts join last, once the hits are known.
     """
     asked = questions.select("q_id", query_terms(F.col("question"), L.PAGE_COMMON_WORDS).alias("terms"))
@@ -61,8 +62,9 @@ def page_hits(questions: DataFrame, pages: DataFrame, hits: int = 4) -> DataFram
     ranked = Window.partitionBy("q_id").orderBy(F.desc("relevance"), "page_id")
     best = shared.withColumn("hit", F.row_number().over(ranked)).where(F.col("hit") <= hits)
     best = best.withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy("q_id").orderBy("hit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    text = F.col("text") if characters is None else F.substring("text", 1, characters)
     named = best.drop("size").join(questions.select("q_id", "question"), "q_id")
-    return named.join(pages.select("page_id", "url", "text"), "page_id").select("q_id", "question", "page_id", "url", "text", "relevance", "hit", "before")
+    return named.join(pages.select("page_id", "url", text.alias("text")), "page_id").select("q_id", "question", "page_id", "url", "text", "relevance", "hit", "before")
 
 
 def web_context(found: DataFrame, least: float = LEAST_RELEVANCE, hits: int = CONTEXT_HITS) -> DataFrame:
@@ -101,7 +103,7 @@ def answer(questions: DataFrame, docs: DataFrame | None = None, pages: DataFrame
     out = questions.select("q_id", "question")
     out = out.join(sections(questions, docs).select("q_id", F.col("context").alias("doc")), "q_id", "left") if docs is not None else out.withColumn("doc", F.lit(None).cast("string"))
     if pages is not None:
-        found = page_hits(questions, pages)
+        found = page_hits(questions, pages, characters=WEB_CHARACTERS)
         sources = F.transform(F.array_sort(F.collect_list(F.struct("hit", "url"))), lambda x: x["url"])
         out = out.join(found.groupBy("q_id").agg(_web(_kept(LEAST_RELEVANCE, CONTEXT_HITS)).alias("web"), sources.alias("sources")), "q_id", "left")
     else:

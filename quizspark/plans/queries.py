@@ -476,7 +476,7 @@ def page_relevance(spark, d):
 
 @query
 def web_context(spark, d):
-    return qa.web_context(qa.page_hits(_asked(spark, d), _plain_pages(spark, d)))
+    return qa.web_context(qa.page_hits(_asked(spark, d), _plain_pages(spark, d), characters=qa.WEB_CHARACTERS))
 
 
 @query

@@ -199,6 +199,9 @@ def test_blocks_meet_without_a_shuffle_and_contexts_are_cut_before_they_move(spa
         kept = [t for (t,) in some.where("text is not null").orderBy("page_id").select("text").collect()][:3]
         assert [r.before for r in found.orderBy("hit").collect()][:3] == [sum(map(len, kept[:k])) for k in range(len(kept))]
         assert [(r.q_id, r.web) for r in qa.web_context(found).collect()] == [(1, "\n\n".join(kept)[:5000])]
+        short = qa.page_hits(questions, some, characters=qa.WEB_CHARACTERS)
+        assert qa.web_context(short).collect() == qa.web_context(found).collect()
+        assert short.select("hit", "before").collect() == found.select("hit", "before").collect() and short.where("length(text) > 5000").count() == 0
 
 
 def test_frequent_terms_are_counted_by_flags(spark):
